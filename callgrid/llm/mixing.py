@@ -141,7 +141,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     joined = joined.withColumn("_times", F.when(F.col("_source_size") > 0, times).otherwise(0))
     # the permuted block of pass p: a rotation of the blocks, themselves cut from a random order
     place = F.expr("transform(sequence(1, _times), p -> case when p <= _passes then (p - 1) * _per_pass + pmod(_block + 7919 * (p - 1), _per_pass) else _passes * _per_pass + _block end)")
-    last = F.expr(f"transform(_at, a -> struct(coalesce(element_at(filter(_runs, r -> r._from <= a and a < r._to), 1)._shard, {shards - 1}) as shard, xxhash64({seed}, a, _h) as order))")
+    last = F.expr(f"transform(_at, a -> struct(coalesce(try_element_at(filter(_runs, r -> r._from <= a and a < r._to), 1)._shard, {shards - 1}) as shard, xxhash64({seed}, a, _h) as order))")
     joined = joined.withColumn("_at", F.when(F.col("_times") > 0, place).otherwise(F.expr("array()").cast("array<long>"))).withColumn("_places", last)
     return joined.select("doc_id", "_h", "_size", "_source_size", "_target", "_places")
 
