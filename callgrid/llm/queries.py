@@ -30,10 +30,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callgrid.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), texts=False)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 OP6_SQL = r"""
