@@ -36,9 +36,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), texts=False)
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callgrid.llm.ngram_join import similar_components
+
+    return similar_components(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
 }
