@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrid.llm.common import documents
+from callgrid.llm.common import crc_bucket, documents
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +42,29 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(documents(spark, sf_dir))
 
 
+def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callgrid.llm.quality import score, train
+
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_bucket("doc_id") != 0)
+    model = train(docs, labels)
+    scored = score(docs, model)
+    return scored.select("doc_id", F.coalesce(crc_bucket("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callgrid.llm.language_id import fit, predict
+
+    docs = documents(spark, sf_dir)
+    model = fit(docs, crc_bucket("doc_id") != 0)
+    found = predict(docs, model, [F.col("doc_id")])
+    return found.select("doc_id", F.coalesce(crc_bucket("doc_id") == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_quality_ranking": op3_quality_ranking,
+    "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_token_counts": op9_token_counts,
