@@ -42,6 +42,12 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(documents(spark, sf_dir))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callgrid.llm.line_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), texts=False)
+
+
 def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callgrid.llm.quality import score, train
 
@@ -63,6 +69,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality_ranking": op3_quality_ranking,
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
@@ -78,4 +85,18 @@ k as (select norm, doc_id keep_id from r where rk = 1)
 select r.doc_id, k.keep_id, r.group_size::bigint group_size, r.rk = 1 kept, sha256(r.norm) text_sha256 from r join k using (norm)
 """
 
-ORACLES = {"op6_exact_dedup": OP6_SQL}
+OP2_SQL = r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
+l as (select doc_id, n, ls[n] line, trim(ls[n], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) k from (select doc_id, ls, unnest(range(1, len(ls) + 1)) n from d)),
+s as (select *, row_number() over (partition by doc_id order by n) pos from l where k <> ''),
+w as (select doc_id, pos, k, lead(k) over (partition by doc_id order by pos) k2 from s),
+f as (select *, row_number() over (partition by k, k2 order by doc_id, pos) rk from w where k2 is not null),
+gone as (select distinct doc_id, p pos from (select doc_id, unnest([pos, pos + 1]) p from f where rk > 1)),
+a as (select l.doc_id, l.n, l.line, s.pos, gone.pos is not null removed, l.n = max(l.n) over (partition by l.doc_id) last
+      from l left join s on s.doc_id = l.doc_id and s.n = l.n left join gone on gone.doc_id = s.doc_id and gone.pos = s.pos)
+select doc_id, count(pos)::bigint n_lines, count(case when removed then 1 end)::bigint n_removed,
+  sha256(coalesce(string_agg(case when not removed then line || case when last then '' else chr(10) end end, '' order by n), '')) kept_sha256
+from a group by doc_id
+"""
+
+ORACLES = {"op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL}
