@@ -22,6 +22,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_groups(documents(spark, sf_dir))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from callgrid.llm.pieces import encode
+
+    return encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), [F.col("doc_id")])
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,6 +82,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
 }
