@@ -66,6 +66,13 @@ def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(crc_bucket("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callgrid.llm.neighbours import nearest
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callgrid.llm.language_id import fit, predict
 
@@ -79,6 +86,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_ranking": op3_quality_ranking,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
