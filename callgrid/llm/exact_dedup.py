@@ -16,7 +16,7 @@ from pyspark.sql import Window
 
 from callgrid.llm.common import SPACE, n_parts, order_id, text_of
 
-SALTS = 1024
+SALTS, HEAD = 1024, 32
 
 
 def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
@@ -29,11 +29,12 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         norm.alias("_norm"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).alias("_salt"),
     )
-    near = Window.partitionBy("_norm", "_salt").orderBy(F.desc("_len"), "_id")
-    # the range partitioning serves the window: no second exchange, and equals are neighbours
-    local = (
-        rows.repartitionByRange(n_parts(docs), "_norm", "_salt")
-        .select("doc_id", "_id", "_len", F.sha2("_norm", 256).alias("text_sha256"), F.row_number().over(near).alias("_rank"), F.count(F.lit(1)).over(Window.partitionBy("_norm", "_salt")).alias("_n"))
+    # splitters are sampled from heads of the texts, which bounds what the driver gets; the range
+    # partitioning serves the windows: no second exchange, and equals are neighbours
+    rows = rows.withColumn("_head", F.substring("_norm", 1, HEAD))
+    equal = Window.partitionBy("_head", "_salt", "_norm")
+    local = rows.repartitionByRange(n_parts(docs), "_head", "_salt").select(
+        "doc_id", "_id", "_len", F.sha2("_norm", 256).alias("text_sha256"), F.row_number().over(equal.orderBy(F.desc("_len"), "_id")).alias("_rank"), F.count(F.lit(1)).over(equal).alias("_n")
     )
     survivors = local.filter("_rank = 1").groupBy(F.unhex("text_sha256").alias("_key")).agg(
         F.min(F.struct((-F.col("_len")).alias("l"), F.col("_id").alias("i"), F.col("doc_id").alias("d"))).alias("_best"), F.sum("_n").alias("group_size")
@@ -54,12 +55,7 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns. Rows that share identifier and text are one row."""
-    kept = content_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    mark = F.sha2(F.translate(text_of(text_col), SPACE, ""), 256)
-    return (
-        docs.withColumn("_sha2", mark)
-        .withColumn("_copy", F.row_number().over(Window.partitionBy(F.col(id_col), F.col("_sha2")).orderBy(F.desc(F.char_length(text_of(text_col))), text_of(text_col))))
-        .join(kept, F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_sha2") == F.col("_sha")), "left_semi")
-        .filter("_copy = 1")
-        .drop("_sha2", "_copy")
-    )
+    kept = content_groups(docs, id_col, text_col).filter("kept").select(order_id("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    keyed = docs.withColumn("_id", order_id(id_col)).withColumn("_sha", F.sha2(F.translate(text_of(text_col), SPACE, ""), 256))
+    alike = Window.partitionBy("_id", "_sha").orderBy(F.desc(F.char_length(text_of(text_col))), text_of(text_col))
+    return keyed.withColumn("_copy", F.row_number().over(alike)).join(kept, ["_id", "_sha"], "left_semi").filter("_copy = 1").select(*docs.columns)

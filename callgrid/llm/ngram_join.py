@@ -4,13 +4,14 @@ Texts are lower-cased (A-Z), cut into words, and become sets of n-word shingles.
 form a class; the join runs over classes. Shingles are ordered rarest first, by counts over all
 documents kept in a table of fixed size, then by hash: one order for all, so two sets of Jaccard
 similarity t share one of their first n - ceil(t * n) + 1 shingles. Classes meet on those prefix
-shingles under the length and positional filters; a suffix filter (differences of the counts of both
-sets in parts of the hash space) precedes the one exact verification of a pair.
+shingles under the length and positional filters; the suffix filter (a bound on the
+overlap from the counts of both sets in parts of the hash space) precedes the one exact verification of
+a pair.
 
-Components lose no link although not all pairs are made: first each member of a prefix shingle's group
-is held against one pivot of the group, verified links are contracted, and groups inside one component
-are done. When the pairs left between different components are few, all of them are verified; until
-then another pivot is taken.
+Components lose no link although not all pairs are made: small groups of a prefix shingle give all
+their pairs; in a large one each member is held against a pivot, verified links are contracted, and
+groups inside one component are done. When the pairs left between different components are no more than
+the groups' rows, all of them are verified; until then another pivot is taken, a few times.
 
 A text without words, null or empty, has an empty set and no links. A null identifier comes after all
 others. Rows that share an identifier count as one document for the links.
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from callgrid.llm.common import _BASE2, NULL_ID, grams, mix, order_id, range_hash, signed, slices, stash, text_buffers, text_of, words
 from callgrid.llm.components import components
 
-BUCKETS, PARTS, ROUNDS = 1 << 16, 16, 6
+BITS, PART_BITS, ROUNDS, SMALL = 20, 6, 4, 24
+BUCKETS, PARTS, BROADCAST_NODES = 1 << BITS, 1 << PART_BITS, 1_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -59,27 +61,40 @@ def packed(rows: np.ndarray, values: np.ndarray, n_rows: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n_rows, [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
+def parts(rows: np.ndarray, h: np.ndarray, n_rows: int) -> pa.Array:
+    """For each row, how many of its hashes lie in each part of the hash space."""
+    counts = np.bincount(rows * PARTS + (h & np.uint64(PARTS - 1)).astype(np.int64), minlength=n_rows * PARTS)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(PARTS * 4), n_rows, [None, pa.py_buffer(counts.astype(np.int32).tobytes())]).cast(pa.binary())
+
+
 def frequencies(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
-    """Shingle counts over all documents, in BUCKETS parts of the hash space."""
+    """Shingle counts over all documents, in BUCKETS parts of the hash space. Every task sends its counts
+    in blocks of fixed size; the blocks are added up in two steps, so no task meets those of all others."""
+    blocks = 256
+    schema = "block int, salt int, counts binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "_text"):
                 _, h = shingle_sets(part, "_text", n)
-                total += np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
+                total += np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=BUCKETS)
+        salt = int(total.sum()) % 64
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array(np.full(blocks, salt, np.int32)), pa.array([x.tobytes() for x in np.split(total, blocks)], pa.binary())], ["block", "salt", "counts"])
 
-    table = docs.select(text_of(text_col).alias("_text")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = table.toPandas()  # BUCKETS rows at most
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    out[got["bucket"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
-    return out
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
+        return pa.table({"block": table.column("block")[:1], "salt": table.column("salt")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    sums = docs.select(text_of(text_col).alias("_text")).mapInArrow(count, schema).groupBy("block", "salt").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
+    out = np.zeros((blocks, BUCKETS // blocks), dtype=np.int64)
+    for r in sums.collect():  # BUCKETS counts
+        out[r["block"]] = np.frombuffer(r["counts"], np.int64)
+    return np.minimum(out.ravel(), 2**31 - 1).astype(np.int32)
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """doc_id, _id, n_shingles, a 128-bit fingerprint of the set (f1, f2) and the packed prefix."""
+    """doc_id, _id, n_shingles, a 128-bit fingerprint of the set (f1, f2), the packed prefix and the counts of the set's parts."""
     often = frequencies(docs, text_col, n)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,14 +106,14 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
                 with np.errstate(over="ignore"):
                     sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (mix(h ^ np.uint64(0xA5A5)), mix(h + np.uint64(0x5DEECE66D)))]
                     f1, f2 = (s[edge[1:]] - s[edge[:-1]] for s in sums)
-                order = np.lexsort((h, often[(h >> np.uint64(48)).astype(np.int64)], rows))
+                order = np.lexsort((h, often[(h >> np.uint64(64 - BITS)).astype(np.int64)], rows))
                 rank = np.arange(len(h)) - edge[rows]
                 first = rank < (size - (percent * size + 99) // 100 + 1)[rows]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_id"), pa.array(size), pa.array(signed(f1)), pa.array(signed(f2)), packed(rows[first], h[order][first], part.num_rows)], ["doc_id", "_id", "n_shingles", "f1", "f2", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_id"), pa.array(size), pa.array(signed(f1)), pa.array(signed(f2)), packed(rows[first], h[order][first], part.num_rows), parts(rows, h, part.num_rows)], ["doc_id", "_id", "n_shingles", "f1", "f2", "prefix", "parts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), order_id(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    return rows.mapInArrow(profile, f"doc_id {kind}, _id long, n_shingles long, f1 long, f2 long, prefix binary")
+    return rows.mapInArrow(profile, f"doc_id {kind}, _id long, n_shingles long, f1 long, f2 long, prefix binary, parts binary")
 
 
 def packed_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -110,27 +125,36 @@ def packed_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n
                 rows, h = shingle_sets(part, "_text", n)
                 yield pa.RecordBatch.from_arrays([part.column("node"), packed(rows, h, part.num_rows)], ["node", "set"])
 
-    rows = docs.select(order_id(id_col).alias("node"), text_of(text_col).alias("_text")).join(nodes, "node")
+    few = nodes.count() <= BROADCAST_NODES
+    rows = docs.select(order_id(id_col).alias("node"), text_of(text_col).alias("_text")).join(F.broadcast(nodes) if few else nodes, "node")
     return rows.mapInArrow(sets, "node long, set binary")
 
 
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The suffix filter: pairs (a, b) whose sets, by the counts of their parts, may be similar enough."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, PARTS).astype(np.int64) for c in ("x", "y"))
+            both = x.sum(axis=1) + y.sum(axis=1)
+            keep = pa.array(np.flatnonzero(both - np.abs(x - y).sum(axis=1) >= 2 * -(-percent * both // (100 + percent))))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
+
+    x, y = (nodes.select(F.col("node").alias(n), F.col("parts").alias(p)) for n, p in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").mapInArrow(check, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough."""
+    """Those of the pairs (a, b) whose sets are similar enough, each pair held against the bound once."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                least = -(-percent * (len(x) + len(y)) // (100 + percent))
-                if min(len(x), len(y)) < least:
-                    continue
-                parts = [np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=PARTS) for s in (x, y)]
-                if len(x) + len(y) - int(np.abs(parts[0] - parts[1]).sum()) < 2 * least:
-                    continue
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
-                if int((y[at] == x).sum()) >= least:
+                if int((y[at] == x).sum()) >= -(-percent * (len(x) + len(y)) // (100 + percent)):
                     keep.append(i)
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], ["a", "b"])
@@ -143,7 +167,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row a document: doc_id, n_shingles, component_id (the smallest identifier reachable by links)."""
     rows = stash(profiles(docs, id_col, text_col, n, percent))
     classes = stash(rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("_id").alias("node")))
-    stand = rows.join(classes, ["f1", "f2"]).filter("_id = node").dropDuplicates(["node", "f1"]).select("node", F.col("n_shingles").cast("int").alias("n"), "prefix")
+    stand = rows.join(classes, ["f1", "f2"]).filter("_id = node").dropDuplicates(["node"]).select("node", F.col("n_shingles").cast("int").alias("n"), "prefix")
+    nodes = rows.select(F.col("_id").alias("node"), "parts").dropDuplicates(["node"])
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,10 +179,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column("node").take(of), batch.column("n").take(of), pa.array(pos.astype(np.int32))], ["token", "node", "n", "pos"])
 
     prefix = stand.mapInArrow(tokens, "token long, node long, n int, pos int")
-    shared = prefix.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("token")
+    # a node has a token once: tokens of several nodes are those counted more than once
+    shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
     groups = stash(prefix.join(shared, "token"))
-    sets = stash(packed_sets(docs, groups.select("node").distinct(), id_col, text_col, n))
-    found = linked(groups, sets, percent)
+    found = linked(groups, nodes, lambda some: packed_sets(docs, some, id_col, text_col, n), percent)
 
     of = rows.join(classes, ["f1", "f2"], "left").join(found, "node", "left")
     component = F.coalesce("label", "node", "_id")
@@ -165,34 +190,45 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return of.select("doc_id", "n_shingles", F.when(component == NULL_ID, None).otherwise(component).alias("component_id"))
 
 
-def linked(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """node, label over all links among the nodes of each token's group."""
+def linked(groups: DataFrame, nodes: DataFrame, sets_of, percent: int) -> DataFrame:
+    """node, label over all links among the nodes of each token's group. sets_of(nodes) gives their sets."""
     total = groups.count()
     labels = tested = links = None
     for step in range(ROUNDS + 1):
         now = groups.withColumn("label", F.col("node")) if labels is None else groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64(F.lit(step), "node").alias("h"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))).alias("pivot")).filter("lo <> hi")
-        open_ = stash(open_)
+        pivot = F.min(F.struct(F.xxhash64(F.lit(step), "node").alias("h"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))).alias("pivot")
+        open_ = stash(now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c"), pivot).filter("lo <> hi"))
         pairs_left = open_.agg(F.sum(F.expr("cast(c as double) * (c - 1) / 2"))).first()[0]
         if not pairs_left:
             break
-        last = pairs_left <= total or step == ROUNDS
+        # small groups give all their pairs at once, large ones those with a pivot
+        small = F.lit(True) if pairs_left <= total or step == ROUNDS else F.col("c") <= SMALL
         member = now.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
-        if last:
-            some = now.join(open_.select("token"), "token", "left_semi")
-            pairs = some.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la")).join(member, "token").filter("a < b")
-        else:
-            pairs = member.join(open_.select("token", "pivot.*"), "token")
+        some = now.join(open_.filter(small).select("token"), "token").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
         least = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
-        reach = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-        pairs = pairs.filter("la <> lb").filter(F.least("na", "nb") >= least).filter(reach >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        reach = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+        fits = (F.col("la") != F.col("lb")) & (F.least("na", "nb") >= least) & (reach >= least)
+        pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+        large = open_.filter(~small).select("token", "pivot.*")
+        pairs = some.join(member, "token").filter("a < b").filter(fits).select(pair).unionByName(member.join(large, "token").filter(fits).select(pair)).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stash(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        tested_now = stash(pairs)
+        pairs = stash(plausible(tested_now, nodes, percent))
+        tested = tested_now if tested is None else tested.unionByName(tested_now)
+        sets = stash(sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()))
         got = stash(verified(pairs, sets, percent))
         links = got if links is None else links.unionByName(got)
-        labels = components(links)
-        if last:
+        groups = stash(groups.join(large.select("token"), "token", "left_semi"))
+        if groups.isEmpty():
+            labels = components(links)
             break
+        labels = components(links)
     return labels if labels is not None else groups.select("node", F.col("node").alias("label")).limit(0)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+    """The documents, all columns as they are, with the smallest identifier of their component."""
+    found = similar_components(docs, id_col, text_col, n, percent)
+    first = found.filter(order_id("doc_id") == order_id("component_id")).select(order_id("doc_id").alias("_id")).distinct()
+    return docs.withColumn("_id", order_id(id_col)).join(first, "_id", "left_semi").select(*docs.columns)

@@ -1,8 +1,31 @@
 """All queries of the library by name, with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return spark.range(1)
+from pyspark.sql import DataFrame, SparkSession
+
+from callgrid.sources.derived import with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query, and its SQL over the raw tables where there is one."""
+
+    def register(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = with_views(sql)
+        return f
+
+    return register
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["team_report"](spark, sf_dir)
+
+
+from callgrid.plans import calls, language, live, reporting  # noqa: E402, F401
