@@ -45,6 +45,17 @@ def text_of(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def carried(columns: list[str], outputs: tuple[str, ...] = ()) -> Column:
+    """The columns as one struct, out of reach of an operator's own names; a column whose name is
+    among the outputs is left out, as the output takes its place."""
+    taken = {x.lower() for x in outputs}
+    return F.struct(*[quoted(c).alias(c) for c in columns if c.lower() not in taken])
+
+
 def n_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

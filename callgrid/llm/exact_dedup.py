@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from callgrid.llm.common import SPACE, n_parts, order_id, text_of
+from callgrid.llm.common import SPACE, carried, n_parts, order_id, text_of
 
 SALTS, HEAD = 1024, 32
 
@@ -54,8 +54,9 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns. Rows that share identifier and text are one row."""
+    """The documents that stay, with all their columns. Rows that share identifier and text are one row:
+    the one whose other columns hash highest."""
     kept = content_groups(docs, id_col, text_col).filter("kept").select(order_id("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_id", order_id(id_col)).withColumn("_sha", F.sha2(F.translate(text_of(text_col), SPACE, ""), 256))
-    alike = Window.partitionBy("_id", "_sha").orderBy(F.desc(F.char_length(text_of(text_col))), text_of(text_col))
-    return keyed.withColumn("_copy", F.row_number().over(alike)).join(kept, ["_id", "_sha"], "left_semi").filter("_copy = 1").select(*docs.columns)
+    keyed = docs.select(carried(docs.columns).alias("_row"), order_id(id_col).alias("_id"), F.sha2(F.translate(text_of(text_col), SPACE, ""), 256).alias("_sha"), F.char_length(text_of(text_col)).alias("_len"))
+    one = keyed.join(kept, ["_id", "_sha"], "left_semi").groupBy("_id", "_sha").agg(F.max_by("_row", F.struct("_len", F.xxhash64(F.to_json("_row")))).alias("_row"))
+    return one.select("_row.*")

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from callgrid.llm.common import _BASE, slices, text_buffers, text_of
+from callgrid.llm.common import carried, slices, text_buffers, text_of
 
 DIM, UNKNOWN, SCALE, MAX_LANGUAGES = 1 << 14, "und", 24.0, 1024
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -116,11 +117,13 @@ def decode(model: dict, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray,
     return best, np.clip(share[np.arange(len(size)), best], 0, 1), lead
 
 
-def predict(docs: DataFrame, model: dict, keep: list[Column], text_col: str = "text", least_lead: float = 0.2) -> DataFrame:
-    """The columns in `keep`, then lang_pred, score and ambiguous, of every text."""
-    rows = docs.select(*keep, text_of(text_col).alias("_text"), text_of(text_col).rlike(r"\p{L}").alias("_letters"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
-    names = [f.name for f in rows.schema.fields[:-2]]
+OUTPUTS = ("lang_pred", "score", "ambiguous")
+
+
+def decoded(docs: DataFrame, model: dict, row: Column, text_col: str, least_lead: float) -> DataFrame:
+    """_row, lang_pred, score and ambiguous of every text."""
+    rows = docs.select(row.alias("_row"), text_of(text_col).alias("_text"), text_of(text_col).rlike(r"\p{L}").alias("_letters"))
+    schema = T.StructType([rows.schema["_row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = np.array([*model["langs"], UNKNOWN], dtype=object)
@@ -132,11 +135,16 @@ def predict(docs: DataFrame, model: dict, keep: list[Column], text_col: str = "t
                 else:
                     best, score, lead = (np.zeros(part.num_rows, np.int64), *np.zeros((2, part.num_rows)))
                 best = np.where(letters, best, len(langs) - 1)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(list(langs[best]), pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(~letters | (lead < least_lead))], [*names, "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(list(langs[best]), pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(~letters | (lead < least_lead))], ["_row", *OUTPUTS])
+
+    return rows.mapInArrow(run, schema)
+
 
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
+def predict(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text", least_lead: float = 0.2) -> DataFrame:
+    """The columns named in `keep`, then lang_pred, score and ambiguous, of every text."""
+    return decoded(docs, model, carried(keep, OUTPUTS), text_col, least_lead).select("_row.*", *OUTPUTS)
 
 
 def identified(docs: DataFrame, model: dict, text_col: str = "text", least_lead: float = 0.2) -> DataFrame:
     """The documents, all columns as they are, whose language is found and not in doubt."""
-    return predict(docs, model, [F.col(c) for c in docs.columns], text_col, least_lead).filter(f"lang_pred <> '{UNKNOWN}' and not ambiguous").select(*docs.columns)
+    return decoded(docs, model, carried(docs.columns), text_col, least_lead).filter(f"lang_pred <> '{UNKNOWN}' and not ambiguous").select("_row.*")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from callgrid.llm.common import stash, text_of
+from callgrid.llm.common import carried, stash, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_SOURCES = 100_000
@@ -151,6 +151,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = plan_mix(docs, id_col, text_col, source_col, seed=seed, **options)
     places = plan.groupBy("_h").agg(F.flatten(F.collect_list("_places")).alias("_places"))
     # rows alike in identifier, source and text are one row here, with the places of all
-    rows = docs.withColumn("_h", row_hash(seed, id_col, text_col, source_col)).dropDuplicates(["_h"]).join(places, "_h")
-    rows = rows.select(*docs.columns, F.explode("_places").alias("_place"))
-    return rows.repartition("_place.shard").sortWithinPartitions("_place.shard", "_place.order").select(*docs.columns)
+    rows = docs.select(carried(docs.columns).alias("_row"), row_hash(seed, id_col, text_col, source_col).alias("_h")).dropDuplicates(["_h"]).join(places, "_h")
+    rows = rows.select("_row", F.explode("_places").alias("_place"))
+    return rows.repartition("_place.shard").sortWithinPartitions("_place.shard", "_place.order").select("_row.*")

@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgrid.llm.common import _BASE2, NULL_ID, grams, mix, order_id, range_hash, signed, slices, stash, text_buffers, text_of, words
+from callgrid.llm.common import _BASE2, NULL_ID, carried, grams, mix, order_id, range_hash, signed, slices, stash, text_buffers, text_of, words
 from callgrid.llm.components import components
 
+N, PERCENT = 5, 80
 BITS, PART_BITS, ROUNDS, SMALL = 20, 6, 4, 24
 BUCKETS, PARTS, BROADCAST_NODES = 1 << BITS, 1 << PART_BITS, 1_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -163,7 +164,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").mapInArrow(check, "a long, b long")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest identifier reachable by links)."""
     rows = stash(profiles(docs, id_col, text_col, n, percent))
     classes = stash(rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("_id").alias("node")))
@@ -227,8 +228,9 @@ def linked(groups: DataFrame, nodes: DataFrame, sets_of, percent: int) -> DataFr
     return labels if labels is not None else groups.select("node", F.col("node").alias("label")).limit(0)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """The documents, all columns as they are, with the smallest identifier of their component."""
     found = similar_components(docs, id_col, text_col, n, percent)
     first = found.filter(order_id("doc_id") == order_id("component_id")).select(order_id("doc_id").alias("_id")).distinct()
-    return docs.withColumn("_id", order_id(id_col)).join(first, "_id", "left_semi").select(*docs.columns)
+    rows = docs.select(carried(docs.columns).alias("_row"), order_id(id_col).alias("_id"))
+    return rows.join(first, "_id", "left_semi").select("_row.*")

@@ -20,10 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from callgrid.llm.common import range_hash, slices, text_buffers, text_of
+from callgrid.llm.common import carried, quoted, range_hash, slices, text_buffers, text_of
 
 MARK = np.frombuffer("▁".encode(), np.uint8)
 NONE = np.int32(2**31 - 1)
@@ -276,12 +277,14 @@ class Encoder:
         return ids, edges
 
 
-def encode(docs: DataFrame, path: str, keep: list[Column], text_col: str = "text") -> DataFrame:
-    """The columns in `keep`, then ids (array of piece numbers), n_tokens, ids_sha256 (of the numbers as
-    little-endian 32 bits) and round_trip (whether decoding gives the text back)."""
-    rows = docs.select(*keep, text_of(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    names = [f.name for f in rows.schema.fields[:-1]]
+OUTPUTS = ("ids", "n_tokens", "ids_sha256", "round_trip")
+
+
+def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns named in `keep`, then ids (array of piece numbers), n_tokens, ids_sha256 (of the
+    numbers as little-endian 32 bits) and round_trip (whether decoding gives the text back)."""
+    rows = docs.select(carried(keep, OUTPUTS).alias("_row"), text_of(text_col).alias("_text"))
+    schema = T.StructType([rows.schema["_row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Model(path))
@@ -296,16 +299,15 @@ def encode(docs: DataFrame, path: str, keep: list[Column], text_col: str = "text
                 whole = np.array_equal(off, back) and np.array_equal(raw, data)
                 same = np.ones(part.num_rows, bool) if whole else np.array([np.array_equal(raw[c:d], data[a:b]) for a, b, c, d in zip(off[:-1], off[1:], back[:-1], back[1:])], dtype=bool)
                 lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), lists, pa.array(np.diff(edges)), pa.array(sha, pa.string()), pa.array(same)], [*names, "ids", "n_tokens", "ids_sha256", "round_trip"])
+                yield pa.RecordBatch.from_arrays([part.column("_row"), lists, pa.array(np.diff(edges)), pa.array(sha, pa.string()), pa.array(same)], ["_row", *OUTPUTS])
 
-    return rows.mapInArrow(run, f"{schema}, ids array<int>, n_tokens long, ids_sha256 string, round_trip boolean")
+    return rows.mapInArrow(run, schema).select("_row.*", *OUTPUTS)
 
 
-def decode(rows: DataFrame, path: str, keep: list[Column], ids_col: str = "ids") -> DataFrame:
-    """The columns in `keep`, then text: what the piece numbers stand for (null for null)."""
-    rows = rows.select(*keep, F.col(ids_col).alias("_ids"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    names = [f.name for f in rows.schema.fields[:-1]]
+def decode(rows: DataFrame, path: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
+    """The columns named in `keep`, then text: what the piece numbers stand for (null for null)."""
+    rows = rows.select(carried(keep, ("text",)).alias("_row"), quoted(ids_col).alias("_ids"))
+    schema = T.StructType([rows.schema["_row"], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(path)
@@ -315,6 +317,6 @@ def decode(rows: DataFrame, path: str, keep: list[Column], ids_col: str = "ids")
             raw, off = model.decode(np.asarray(lists.flatten()).astype(np.int64), np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
             data = raw.tobytes()
             texts = [data[a:b].decode(errors="replace") if ok else None for a, b, ok in zip(off[:-1], off[1:], lists.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(texts, pa.string())], [*names, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], ["_row", "text"])
 
-    return rows.mapInArrow(run, (schema + ", " if schema else "") + "text string")
+    return rows.mapInArrow(run, schema).select("_row.*", "text")

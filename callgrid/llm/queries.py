@@ -27,7 +27,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from callgrid.llm.pieces import encode
 
-    return encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), [F.col("doc_id")])
+    return encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callgrid.llm.ngram_join import similar_components
 
-    return similar_components(documents(spark, sf_dir))
+    return similar_components(documents(spark, sf_dir), n=4, percent=85)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     model = fit(docs, crc_bucket("doc_id") != 0)
-    found = predict(docs, model, [F.col("doc_id")])
+    found = predict(docs, model, ["doc_id"])
     return found.select("doc_id", F.coalesce(crc_bucket("doc_id") == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 

@@ -2,7 +2,7 @@
 
 1. language_id: documents without letters, or whose language stays in doubt, go.
 2. exact_dedup: of texts equal but for white space, the longest (then the smallest doc_id) stays.
-3. near_dedup: of each component of 85 % similar shingle sets, the smallest doc_id stays.
+3. near_dedup: of each component of sets of five-word shingles that are 80 % similar, the smallest doc_id stays.
 4. mix: sources are brought to target shares (weights 1, 2, 3 in turn, at most 3 times each document),
    so documents of sources above their share are dropped and others repeat.
 5. encode: piece numbers of every text, with a round trip.
@@ -41,7 +41,7 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     import public_tokenizers
 
     ship(spark)
-    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), [F.col(c) for c in docs.columns])
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), docs.columns)
 
 
 STAGES = [("language_id", language_stage), ("exact_dedup", exact_stage), ("near_dedup", near_stage), ("mix", mix_stage), ("encode", encode_stage)]
