@@ -75,9 +75,16 @@ def word_hashes(part: pa.RecordBatch, col: str):
     return range_hash(data, starts, ends), first, starts, ends, off, data
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = GRAM) -> DataFrame:
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, _id, _th, _text. A text's hash tells rows of one identifier apart: 32 bits, but 64 where
+    the identifier is null and any number of rows share it."""
+    full = F.xxhash64(text_of(text_col))
+    short = F.shiftrightunsigned(full, 32)
+    return docs.select(F.col(id_col).alias("doc_id"), order_id(id_col).alias("_id"), F.when(F.col(id_col).isNull(), full).otherwise(short).alias("_th"), text_of(text_col).alias("_text"))
+
+
+def repeats(keyed: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
     """Stretches that occur earlier: _id, _th, s, e (words from s to before e); they may overlap."""
-    keyed = docs.select(order_id(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_th"), text_of(text_col).alias("_text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,16 +94,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 take = pa.array(d)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(signed(span)), part.column("_id").take(take), part.column("_th").take(take), pa.array((w0 - first[d]).astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "span", "_id", "_th", "pos", "n"])
 
-    found = keyed.mapInArrow(anchors, "h long, span long, _id long, _th long, pos int, n int")
+    found = keyed.select("_id", "_th", "_text").mapInArrow(anchors, "h long, span long, _id long, _th long, pos int, n int")
     shared = found.groupBy("h").agg(F.min("span").alias("lo"), F.max("span").alias("hi"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", (F.col("lo") != F.col("hi")).alias("many"))
     seeds = stash(found.join(shared, "h"))
     place = F.struct("_id", "_th", "pos")
-    firsts = seeds.groupBy("h", "span").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("many").alias("many"))
-    copies = seeds.drop("many").join(firsts.drop("n"), ["h", "span"]).filter(place > F.col("first")).select("_id", "_th", F.col("pos").alias("s"), (F.col("pos") + F.col("n") + length - 1).alias("e"))
+    # the span's hash covers anchor and length, so it is the only key, and its first has the length
+    firsts = seeds.groupBy("span").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("many").alias("many"))
+    copies = seeds.drop("h", "n", "many").join(firsts.drop("many"), "span").filter(place > F.col("first")).select("_id", "_th", F.col("pos").alias("s"), (F.col("pos") + F.col("n") + length - 1).alias("e"))
 
     # where one anchor has several extensions, the first of each is compared window by window
     kinds = firsts.filter("many").select("first.*", "n").groupBy("_id", "_th").agg(F.collect_list(F.struct("pos", "n")).alias("at"))
-    at_text = keyed.join(kinds, ["_id", "_th"]).select("_id", "_th", "_text", F.col("at.pos").alias("_pos"), F.col("at.n").alias("_n"))
+    # with doc_id, so that these rows are dealt out once for this join and the caller's
+    at_text = keyed.join(kinds, ["_id", "_th"]).select("doc_id", "_id", "_th", "_text", F.col("at.pos").alias("_pos"), F.col("at.n").alias("_n"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,8 +136,8 @@ def pc_lengths(lists: pa.Array) -> np.ndarray:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = GRAM, texts: bool = True) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (the
     kept words joined by one space)."""
-    marks = stash(repeats(docs, id_col, text_col, length, k)).groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "e")).alias("m"))
-    keyed = docs.select(F.col(id_col).alias("doc_id"), order_id(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_th"), text_of(text_col).alias("_text"))
+    keyed = keyed_texts(docs, id_col, text_col)
+    marks = repeats(keyed, length, k).groupBy("_id", "_th").agg(F.collect_set(F.struct("s", "e")).alias("m"))
     rows = keyed.join(marks, ["_id", "_th"], "left").select("doc_id", "_text", F.coalesce(F.col("m.s"), F.expr("array()").cast("array<int>")).alias("_s"), F.coalesce(F.col("m.e"), F.expr("array()").cast("array<int>")).alias("_e"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
