@@ -112,7 +112,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], raw[off[0] : off[-1]]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch with at most so many bytes of text, or one row."""
     off, _ = text_buffers(batch.column(text)) if batch.num_rows else (np.zeros(1, np.int64), None)
     at = 0
