@@ -9,9 +9,15 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for each Spark context."""
+    """Sends this package to the executors' Python workers, once for each Spark context. Arrow batches are
+    bounded in bytes, so that rows of long texts don't add up; a bound that the user has set stays."""
     sc = spark.sparkContext
+    if sc.getConf().get(ARROW_BYTES) is None:
+        spark.conf.set(ARROW_BYTES, str(8 << 20))
     if getattr(sc, "_callgrid_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(__file__))
