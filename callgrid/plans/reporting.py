@@ -73,11 +73,11 @@ def own_scores(spark, sf_dir):
     return rows.select("call_id", "audit_id", _day("created_at").alias("created"), "revision", F.col("overall_score").cast("double").alias("machine_score"), "decision", "version", "action", F.col("effective_score").cast("double").alias("reviewed_score"), "effective_decision")
 
 
-@query("own_scores_average", f"with {_CURRENT} select agent_id, count(*) n, round(avg(cast(effective_score as double)), 2) average from cur join head on head.audit_id = cur.audit_id where organisation_id = 'org-1' and effective_score is not null and action in ('ACCEPT', 'OVERRIDE') group by 1")
+@query("own_scores_average", f"with {_CURRENT} select agent_id, count(*) n, ((2 * sum(cast(effective_score * 100 as bigint)) + count(*)) // (2 * count(*))) / 100.0::double average from cur join head on head.audit_id = cur.audit_id where organisation_id = 'org-1' and effective_score is not null and action in ('ACCEPT', 'OVERRIDE') group by 1")
 def own_scores_average(spark, sf_dir):
     final = latest.latest_reviews(view(spark, sf_dir, "v_reviews")).filter("effective_score is not null and action in ('ACCEPT', 'OVERRIDE')").drop("call_id")
     rows = latest.current_audits(scoped(view(spark, sf_dir, "v_calls"), ANALYST).filter("tombstoned_at is null"), view(spark, sf_dir, "v_audits")).join(final, "audit_id")
-    return rows.groupBy("agent_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("effective_score").cast("double")), 2).alias("average"))
+    return rows.groupBy("agent_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("effective_score").cast("decimal(6,2)")) / F.count(F.lit(1)), 2).cast("double").alias("average"))
 
 
 @query(
