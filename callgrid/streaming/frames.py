@@ -15,11 +15,12 @@ RESULT = "session string, sequence long, status string, missing array<long>, at_
 STATE = "last long, bytes long, stopped boolean"
 
 
-def ordered_frames(frames: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+def ordered_frames(frames: DataFrame, max_bytes: int = MAX_BYTES, forget: bool = True) -> DataFrame:
     """frames: session, sequence, kind (start, media or stop), n_bytes. One row a frame: status OK, LATE
     (a sequence again or out of order: an error, never reordered), CLOSED (after stop) or TOO_LARGE; the
     sequences missing before it; and the time at which its sound begins. A batch's frames are taken by
-    sequence; a session without frames for IDLE_S seconds loses its state."""
+    sequence; with `forget`, a session without frames for IDLE_S seconds loses its state (such a query runs
+    on and on; one that is to end with its input goes without)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -41,11 +42,12 @@ def ordered_frames(frames: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
             out.append((key[0], int(r.sequence), status, missing, total // BYTES_PER_MS))
             total += size if status == "OK" else 0
         state.update((last, total, stopped))
-        state.setTimeoutDuration(IDLE_S * 1000)
+        if forget:
+            state.setTimeoutDuration(IDLE_S * 1000)
         yield pd.DataFrame(out, columns=["session", "sequence", "status", "missing", "at_ms"])
 
     rows = frames.select("session", "sequence", "kind", "n_bytes").filter("session is not null and sequence is not null")
-    return rows.groupBy("session").applyInPandasWithState(step, RESULT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("session").applyInPandasWithState(step, RESULT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
 
 
 def sessions(events: DataFrame, late: str = "1 minute", gap: str = f"{IDLE_S} seconds") -> DataFrame:

@@ -70,7 +70,7 @@ def test_frame_stream_reports_gaps(spark, tmp_path):
     for batch in rows:
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").json(str(src))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
-    query = frames.ordered_frames(stream).writeStream.format("memory").queryName("frames_out").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    query = frames.ordered_frames(stream, forget=False).writeStream.format("memory").queryName("frames_out").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(120)
     got = {(r["session"], r["sequence"], r["status"], tuple(r["missing"])) for r in spark.table("frames_out").collect()}
     assert got == {("s", 1, "OK", ()), ("s", 3, "OK", (2,)), ("t", 1, "OK", ()), ("s", 5, "OK", (4,)), ("s", 3, "LATE", ()), ("s", 6, "OK", ()), ("s", 7, "CLOSED", ())}
