@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,12 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stash(df: DataFrame) -> DataFrame:
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stash(df: DataFrame, rows: float | None = None) -> DataFrame:
     """Writes a table into the shared folder and reads it again: lineage ends there, and the table
-    outlives any executor."""
-    path = f"{shared_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    outlives any executor. The shuffle files of the job go with it. rows: a bound on small rows, so
+    that a table of few rows is written by few tasks, though never by fewer than there are cores."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
+    few = df if rows is None else df.coalesce(max(8, spark.sparkContext.defaultParallelism, math.ceil(rows / 50_000)))
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        few.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def order_id(col: str | Column) -> Column:

@@ -12,19 +12,23 @@ def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long, in any order). Returns node, label for every node of an edge; the label is the
     smallest node of its component. Each step is a grouped minimum and a join with it."""
     now = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    if now.isEmpty():
+    n = now.count()
+    if not n:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
-    seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = stash(small)
-        at = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003)).first())
-        if at == seen:
+        now = stash(small, n)
+        if stars(now):
             break
-        seen = at
-    stars = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
-    return stash(stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))
+        n = now.count()
+    return stash(now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), 2 * n)
+
+
+def stars(now: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("top")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("top")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("top").alias("top")).filter("up > 1 or (up = 1 and top = 1)").count() == 0
