@@ -11,7 +11,9 @@ a pair.
 Components lose no link although not all pairs are made: small groups of a prefix shingle give all
 their pairs; in a large one each member is held against a pivot, verified links are contracted, and
 groups inside one component are done. When the pairs left between different components are no more than
-the groups' rows, all of them are verified; until then another pivot is taken, a few times.
+the groups' rows, all of them are verified; until then another pivot is taken, a few times. Members
+outside a group's most frequent component are joined with all, so that a group that is nearly one
+component costs little more than its pairs left.
 
 A text without words, null or empty, has an empty set and no links. A null identifier comes after all
 others. Rows that share an identifier count as one document for the links.
@@ -30,7 +32,7 @@ from callgrid.llm.common import _BASE2, NULL_ID, carried, grams, mix, order_id,
 from callgrid.llm.components import components
 
 N, PERCENT = 5, 80
-BITS, PART_BITS, ROUNDS, SMALL = 20, 6, 4, 24
+BITS, PART_BITS, ROUNDS, SMALL = 18, 6, 4, 24
 BUCKETS, PARTS, BROADCAST_NODES = 1 << BITS, 1 << PART_BITS, 1_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -69,10 +71,8 @@ def parts(rows: np.ndarray, h: np.ndarray, n_rows: int) -> pa.Array:
 
 
 def frequencies(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
-    """Shingle counts over all documents, in BUCKETS parts of the hash space. Every task sends its counts
-    in blocks of fixed size; the blocks are added up in two steps, so no task meets those of all others."""
-    blocks = 256
-    schema = "block int, salt int, counts binary"
+    """Shingle counts over all documents, in BUCKETS parts of the hash space. Each task counts into a
+    table of fixed size; a grouped sum adds the tables up, and BUCKETS sums at most come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
@@ -80,18 +80,13 @@ def frequencies(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
             for part in slices(batch, "_text"):
                 _, h = shingle_sets(part, "_text", n)
                 total += np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=BUCKETS)
-        salt = int(total.sum()) % 64
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array(np.full(blocks, salt, np.int32)), pa.array([x.tobytes() for x in np.split(total, blocks)], pa.binary())], ["block", "salt", "counts"])
+        for at in np.array_split(np.flatnonzero(total), 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "c"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
-        return pa.table({"block": table.column("block")[:1], "salt": table.column("salt")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    sums = docs.select(text_of(text_col).alias("_text")).mapInArrow(count, schema).groupBy("block", "salt").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
-    out = np.zeros((blocks, BUCKETS // blocks), dtype=np.int64)
-    for r in sums.collect():  # BUCKETS counts
-        out[r["block"]] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(out.ravel(), 2**31 - 1).astype(np.int32)
+    sums = docs.select(text_of(text_col).alias("_text")).mapInArrow(count, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(BUCKETS, dtype=np.int32)
+    out[np.asarray(sums.column("bucket").combine_chunks())] = np.minimum(np.asarray(sums.column("c").combine_chunks()), 2**31 - 1)
+    return out
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
@@ -167,7 +162,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest identifier reachable by links)."""
     rows = stash(profiles(docs, id_col, text_col, n, percent))
-    classes = stash(rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("_id").alias("node")))
+    n_rows, n_tokens = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("prefix") / 8), F.lit(0))).first()
+    classes = stash(rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("_id").alias("node")), n_rows)
     stand = rows.join(classes, ["f1", "f2"]).filter("_id = node").dropDuplicates(["node"]).select("node", F.col("n_shingles").cast("int").alias("n"), "prefix")
     nodes = rows.select(F.col("_id").alias("node"), "parts").dropDuplicates(["node"])
 
@@ -182,7 +178,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prefix = stand.mapInArrow(tokens, "token long, node long, n int, pos int")
     # a node has a token once: tokens of several nodes are those counted more than once
     shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
-    groups = stash(prefix.join(shared, "token"))
+    groups = stash(prefix.join(shared, "token"), n_tokens)
     found = linked(groups, nodes, lambda some: packed_sets(docs, some, id_col, text_col, n), percent)
 
     of = rows.join(classes, ["f1", "f2"], "left").join(found, "node", "left")
@@ -198,29 +194,33 @@ def linked(groups: DataFrame, nodes: DataFrame, sets_of, percent: int) -> DataFr
     for step in range(ROUNDS + 1):
         now = groups.withColumn("label", F.col("node")) if labels is None else groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         pivot = F.min(F.struct(F.xxhash64(F.lit(step), "node").alias("h"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))).alias("pivot")
-        open_ = stash(now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c"), pivot).filter("lo <> hi"))
-        pairs_left = open_.agg(F.sum(F.expr("cast(c as double) * (c - 1) / 2"))).first()[0]
+        alike = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"), pivot)
+        # top: the label that most of a group have; every pair of different labels has a member outside it
+        whole = [F.sum("k").alias("c"), F.sum(F.expr("cast(k as double) * k")).alias("kk"), F.max(F.struct("k", "label")).alias("top"), F.min("pivot").alias("pivot")]
+        open_ = stash(alike.groupBy("token").agg(*whole).filter("top.k < c").withColumn("top", F.col("top.label")), total)
+        pairs_left = open_.agg(F.sum(F.expr("(cast(c as double) * c - kk) / 2"))).first()[0]
         if not pairs_left:
             break
         # small groups give all their pairs at once, large ones those with a pivot
         small = F.lit(True) if pairs_left <= total or step == ROUNDS else F.col("c") <= SMALL
         member = now.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
-        some = now.join(open_.filter(small).select("token"), "token").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
+        some = now.join(open_.filter(small).select("token", "top"), "token").filter("label <> top").select("token", "top", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
         least = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
         reach = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
         fits = (F.col("la") != F.col("lb")) & (F.least("na", "nb") >= least) & (reach >= least)
         pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
         large = open_.filter(~small).select("token", "pivot.*")
-        pairs = some.join(member, "token").filter("a < b").filter(fits).select(pair).unionByName(member.join(large, "token").filter(fits).select(pair)).distinct()
+        pairs = some.join(member, "token").filter("lb = top or a < b").filter(fits).select(pair).unionByName(member.join(large, "token").filter(fits).select(pair)).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        tested_now = stash(pairs)
-        pairs = stash(plausible(tested_now, nodes, percent))
+        tested_now = stash(pairs, min(pairs_left, SMALL * total) if step < ROUNDS else pairs_left)
+        n_pairs = tested_now.count()
+        pairs = stash(plausible(tested_now, nodes, percent), n_pairs)
         tested = tested_now if tested is None else tested.unionByName(tested_now)
         sets = stash(sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()))
-        got = stash(verified(pairs, sets, percent))
+        got = stash(verified(pairs, sets, percent), n_pairs)
         links = got if links is None else links.unionByName(got)
-        groups = stash(groups.join(large.select("token"), "token", "left_semi"))
+        groups = stash(groups.join(large.select("token"), "token", "left_semi"), total)
         if groups.isEmpty():
             labels = components(links)
             break
