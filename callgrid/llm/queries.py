@@ -56,6 +56,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), texts=False)
 
 
+def op2_line_dedup_from_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs from one line up; ``op2_line_dedup`` and its SQL take them from two lines up."""
+    from callgrid.llm.line_dedup import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), min_lines=1, texts=False)
+
+
 def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     from callgrid.llm.quality import score, train
 
@@ -85,6 +92,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_dedup": op2_line_dedup,
+    "op2_line_dedup_from_one": op2_line_dedup_from_one,
     "op3_quality_ranking": op3_quality_ranking,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_language_id": op5_language_id,

@@ -79,6 +79,13 @@ def test_line_dedup_matches_brute_force(spark, docs, odd, odd_rows, least):
     assert got == {doc: v for (doc, _), v in want.items()}
 
 
+def test_line_dedup_from_one_leaves_no_repeat(spark, docs):
+    want = line_brute(pairs(docs), 1)
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in queries.QUERIES["op2_line_dedup_from_one"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {doc: v for (doc, _), v in want.items()}
+    assert sum(v[1] for v in got.values()) > sum(v[1] for v in line_brute(pairs(docs), 2).values())
+
+
 def test_line_dedup_of_odd_rows(odd, odd_rows):
     got = line_dedup.remove_repeats(odd).collect()
     assert len(got) == len(odd_rows)
