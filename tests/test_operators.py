@@ -1,11 +1,14 @@
 """Pinned cases for operators, sources and streams."""
 
 import json
+import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
-from callgrid.operators import evaluation, intervals, privacy, sentiment
+from callgrid.operators import evaluation, intervals, privacy, sentiment, wer
+from callgrid.plans import language
 from callgrid.sources import files
 from callgrid.streaming import frames
 
@@ -74,3 +77,50 @@ def test_frame_stream_reports_gaps(spark, tmp_path):
     query.awaitTermination(120)
     got = {(r["session"], r["sequence"], r["status"], tuple(r["missing"])) for r in spark.table("frames_out").collect()}
     assert got == {("s", 1, "OK", ()), ("s", 3, "OK", (2,)), ("t", 1, "OK", ()), ("s", 5, "OK", (4,)), ("s", 3, "LATE", ()), ("s", 6, "OK", ()), ("s", 7, "CLOSED", ())}
+
+
+def full_table_align(ref, hyp):
+    """Ops over the whole table of edit distances, with the operator's order on equal cost."""
+    d = [[i + j if not i or not j else 0 for j in range(len(hyp) + 1)] for i in range(len(ref) + 1)]
+    for i in range(1, len(ref) + 1):
+        for j in range(1, len(hyp) + 1):
+            d[i][j] = min(d[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]), d[i - 1][j] + 1, d[i][j - 1] + 1)
+    ops, i, j = [], len(ref), len(hyp)
+    while i or j:
+        if i and j and ref[i - 1] == hyp[j - 1] and d[i - 1][j - 1] == d[i][j]:
+            op, i, j = ("match", ref[i - 1], hyp[j - 1]), i - 1, j - 1
+        elif j and d[i][j - 1] + 1 == d[i][j]:
+            op, j = ("insert", None, hyp[j - 1]), j - 1
+        elif i and d[i - 1][j] + 1 == d[i][j]:
+            op, i = ("delete", ref[i - 1], None), i - 1
+        else:
+            op, i, j = ("substitute", ref[i - 1], hyp[j - 1]), i - 1, j - 1
+        ops.append(op)
+    return ops[::-1]
+
+
+@pytest.mark.parametrize("block", [0, 40, 1 << 20])
+def test_alignment_by_blocks_is_that_of_the_whole_table(monkeypatch, block):
+    monkeypatch.setattr(wer, "BLOCK", block)
+    rng = random.Random(3)
+    for n, m in [(0, 0), (0, 5), (5, 0), (1, 1), (9, 30), (30, 9), (64, 60), (100, 101)]:
+        ref, hyp = ([rng.choice("abcd") for _ in range(k)] for k in (n, m))
+        assert wer.align(ref, hyp) == full_table_align(ref, hyp)
+
+
+def test_alignment_of_long_texts_is_bounded():
+    ref = [f"w{i}" for i in range(8000)]
+    hyp = [w for i, w in enumerate(ref) if i % 10]
+    tracemalloc.start()
+    kinds = [o[0] for o in wer.align(ref, hyp)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (kinds.count("match"), kinds.count("delete"), len(kinds)) == (7200, 800, 8000) and peak < 64 << 20
+
+
+def test_word_errors_takes_whole_turns(spark, monkeypatch):
+    text = " ".join(f"word{i}" for i in range(600))
+    turns = spark.createDataFrame([(1, 0, "CUSTOMER", text + " tail"), (1, 1, "AGENT", text + " other more")], "call_id long, turn long, role string, text string")
+    monkeypatch.setattr(language, "view", lambda spark, sf_dir, name: turns)
+    r = language.word_errors(spark, "").first()
+    assert (r["n_reference"], r["matches"], r["substitutions"], r["deletions"], r["insertions"]) == (601, 600, 1, 0, 1)
