@@ -32,7 +32,13 @@ def hold_overlap(spark, sf_dir):
       select call_id, max(at_) deadline_ms from w group by 1""",
 )
 def hold_deadline(spark, sf_dir):
-    by = view(spark, sf_dir, "v_intervals").filter("call_id % 3 = 0").groupBy("call_id").agg(F.collect_list(F.struct("start_ms", "end_ms")).alias("h"))
+    return hold_deadlines(spark, sf_dir).filter("call_id % 3 = 0")
+
+
+@query("hold_deadlines")
+def hold_deadlines(spark, sf_dir):
+    """The deadlines of all calls; ``hold_deadline`` and its SQL take a third of them."""
+    by = view(spark, sf_dir, "v_intervals").groupBy("call_id").agg(F.collect_list(F.struct("start_ms", "end_ms")).alias("h"))
     return by.select("call_id", intervals.paused_deadline(F.col("call_id") * 100, F.lit(30000), intervals.merged_array(F.col("h"))).alias("deadline_ms"))
 
 

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from callgrid.operators import evaluation, intervals, privacy, sentiment, wer
 from callgrid.plans import language
+from callgrid.plans.catalog import QUERIES
 from callgrid.sources import files
+from callgrid.sources.derived import view
 from callgrid.streaming import frames
 
+SF = "/root/testdata/sf0.001"
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
@@ -124,3 +128,20 @@ def test_word_errors_takes_whole_turns(spark, monkeypatch):
     monkeypatch.setattr(language, "view", lambda spark, sf_dir, name: turns)
     r = language.word_errors(spark, "").first()
     assert (r["n_reference"], r["matches"], r["substitutions"], r["deletions"], r["insertions"]) == (601, 600, 1, 0, 1)
+
+
+def test_every_call_gets_its_hold_deadline(spark):
+    holds = {}
+    for r in view(spark, SF, "v_intervals").select("call_id", "start_ms", "end_ms").collect():
+        holds.setdefault(r["call_id"], []).append((r["start_ms"], r["end_ms"]))
+    want = {}
+    for c, spans in holds.items():
+        held = sorted(spans)
+        at, clock = c * 100 + 30000, c * 100
+        for a, b in held:  # holds may overlap: what lies before the clock has been counted
+            if a >= at:
+                break
+            at, clock = at + max(0, b - max(a, clock)), max(clock, b)
+        want[c] = at
+    assert {c % 3 for c in want} == {0, 1, 2}
+    assert {r["call_id"]: r["deadline_ms"] for r in QUERIES["hold_deadlines"](spark, SF).collect()} == want
