@@ -16,7 +16,8 @@ outside a group's most frequent component are joined with all, so that a group t
 component costs little more than its pairs left.
 
 A text without words, null or empty, has an empty set and no links. A null identifier comes after all
-others. Rows that share an identifier count as one document for the links.
+others. Rows that share identifier and text are one document; rows that share an identifier only are
+documents of their own, as all rows without an identifier may be.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ def frequencies(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """doc_id, _id, n_shingles, a 128-bit fingerprint of the set (f1, f2), the packed prefix and the counts of the set's parts."""
+    """doc_id, _id, _th, n_shingles, a 128-bit fingerprint of the set (f1, f2), the packed prefix and the counts of the set's parts."""
     often = frequencies(docs, text_col, n)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,15 +106,15 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
                 order = np.lexsort((h, often[(h >> np.uint64(64 - BITS)).astype(np.int64)], rows))
                 rank = np.arange(len(h)) - edge[rows]
                 first = rank < (size - (percent * size + 99) // 100 + 1)[rows]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_id"), pa.array(size), pa.array(signed(f1)), pa.array(signed(f2)), packed(rows[first], h[order][first], part.num_rows), parts(rows, h, part.num_rows)], ["doc_id", "_id", "n_shingles", "f1", "f2", "prefix", "parts"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_id"), part.column("_th"), pa.array(size), pa.array(signed(f1)), pa.array(signed(f2)), packed(rows[first], h[order][first], part.num_rows), parts(rows, h, part.num_rows)], ["doc_id", "_id", "_th", "n_shingles", "f1", "f2", "prefix", "parts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), order_id(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    return rows.mapInArrow(profile, f"doc_id {kind}, _id long, n_shingles long, f1 long, f2 long, prefix binary, parts binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), order_id(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_th"), text_of(text_col).alias("_text"))
+    return rows.mapInArrow(profile, f"doc_id {kind}, _id long, _th long, n_shingles long, f1 long, f2 long, prefix binary, parts binary")
 
 
 def packed_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """node, set (packed shingles, sorted) of the documents that stand for these nodes."""
+    """node, set (packed shingles, sorted) of nodes: node, _id, _th (the document that stands for it)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +123,8 @@ def packed_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n
                 yield pa.RecordBatch.from_arrays([part.column("node"), packed(rows, h, part.num_rows)], ["node", "set"])
 
     few = nodes.count() <= BROADCAST_NODES
-    rows = docs.select(order_id(id_col).alias("node"), text_of(text_col).alias("_text")).join(F.broadcast(nodes) if few else nodes, "node")
+    rows = docs.select(order_id(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_th"), text_of(text_col).alias("_text"))
+    rows = rows.join(F.broadcast(nodes) if few else nodes, ["_id", "_th"]).select("node", "_text")
     return rows.mapInArrow(sets, "node long, set binary")
 
 
@@ -161,11 +163,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest identifier reachable by links)."""
-    rows = stash(profiles(docs, id_col, text_col, n, percent))
+    rows, heads = headed(docs, id_col, text_col, n, percent)
+    of = rows.join(heads, ["f1", "f2"], "left")
+    component = F.coalesce("head._id", "_id")
+    # a null identifier stays null
+    return of.select("doc_id", "n_shingles", F.when(component == NULL_ID, None).otherwise(component).alias("component_id"))
+
+
+def headed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The documents' profiles; and f1, f2, head for every class: the document (_id, _th) with the
+    smallest identifier, then the smallest text hash, of the class's component."""
+    # _row tells rows apart whatever their identifiers; it is made once, as the table is written
+    rows = stash(profiles(docs, id_col, text_col, n, percent).withColumn("_row", F.monotonically_increasing_id()))
     n_rows, n_tokens = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("prefix") / 8), F.lit(0))).first()
-    classes = stash(rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("_id").alias("node")), n_rows)
-    stand = rows.join(classes, ["f1", "f2"]).filter("_id = node").dropDuplicates(["node"]).select("node", F.col("n_shingles").cast("int").alias("n"), "prefix")
-    nodes = rows.select(F.col("_id").alias("node"), "parts").dropDuplicates(["node"])
+    first = F.min(F.struct("_id", "_th", "_row"))
+    classes = stash(rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(first.alias("first")).select("f1", "f2", F.col("first._row").alias("node"), F.struct("first._id", "first._th").alias("first")), n_rows)
+    stand = rows.join(classes.select(F.col("node").alias("_row")), "_row").select(F.col("_row").alias("node"), F.col("n_shingles").cast("int").alias("n"), "prefix")
+    nodes = rows.select(F.col("_row").alias("node"), "parts")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,12 +193,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # a node has a token once: tokens of several nodes are those counted more than once
     shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
     groups = stash(prefix.join(shared, "token"), n_tokens)
-    found = linked(groups, nodes, lambda some: packed_sets(docs, some, id_col, text_col, n), percent)
+    standing = classes.select("node", "first._id", "first._th")
+    found = linked(groups, nodes, lambda some: packed_sets(docs, some.join(standing, "node"), id_col, text_col, n), percent)
 
-    of = rows.join(classes, ["f1", "f2"], "left").join(found, "node", "left")
-    component = F.coalesce("label", "node", "_id")
-    # a null identifier stays null
-    return of.select("doc_id", "n_shingles", F.when(component == NULL_ID, None).otherwise(component).alias("component_id"))
+    # only linked classes have a label
+    named = classes.join(found, "node")
+    heads = named.join(named.groupBy("label").agg(F.min("first").alias("head")), "label").select("node", "head")
+    return rows, stash(classes.join(heads, "node", "left").select("f1", "f2", F.coalesce("head", "first").alias("head")), n_rows)
 
 
 def linked(groups: DataFrame, nodes: DataFrame, sets_of, percent: int) -> DataFrame:
@@ -229,8 +244,9 @@ def linked(groups: DataFrame, nodes: DataFrame, sets_of, percent: int) -> DataFr
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The documents, all columns as they are, with the smallest identifier of their component."""
-    found = similar_components(docs, id_col, text_col, n, percent)
-    first = found.filter(order_id("doc_id") == order_id("component_id")).select(order_id("doc_id").alias("_id")).distinct()
-    rows = docs.select(carried(docs.columns).alias("_row"), order_id(id_col).alias("_id"))
-    return rows.join(first, "_id", "left_semi").select("_row.*")
+    """The documents, all columns as they are, with the smallest identifier of their component; of
+    several such documents one stays. Those without words all stay."""
+    rows, heads = headed(docs, id_col, text_col, n, percent)
+    first = heads.select("head._id", "head._th").unionByName(rows.filter("n_shingles = 0").select("_id", "_th")).distinct()
+    rows = docs.select(carried(docs.columns).alias("_row"), order_id(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_th"))
+    return rows.join(first, ["_id", "_th"], "left_semi").select("_row.*")

@@ -179,6 +179,21 @@ def test_ngram_join_of_null_identifiers(odd, odd_rows):
     assert left.columns == odd.columns and {r["_id"] for r in left.collect()} == {7}
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_ngram_join_tells_texts_of_one_identifier_apart(spark, shared):
+    """A document unlike all others and a near copy of document 3 under one identifier, both ways round."""
+    base, other = ([f"{x}{i}" for i in range(100)] for x in "bo")
+    near, twin = " ".join([*base, "tail"]), " ".join([*other, "end"])
+    third = " ".join(f"t{i}" for i in range(100))
+    rows = [(shared, " ".join(other)), (shared, near), (3, " ".join(base)), (shared, third), (5, "x y z"), (shared, twin)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        texts = {r["text"] for r in ngram_join.one_of_each(df, n=4, percent=85).collect()}
+        assert len(texts) == 4 and {" ".join(base), third, "x y z"} < texts and len(texts & {" ".join(other), twin}) == 1
+        got = ngram_join.similar_components(df, n=4, percent=85).collect()
+        assert sorted((key(r["doc_id"]), key(r["component_id"])) for r in got) == sorted([(3, 3), (5, 5), (key(shared), 3), *[(key(shared), key(shared))] * 3])
+
+
 def test_empty_tables(empty):
     assert exact_dedup.content_groups(empty).count() == 0
     assert exact_dedup.drop_copies(empty).columns == empty.columns
