@@ -118,7 +118,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                     yield pa.RecordBatch.from_arrays([part.column("dim"), pa.array(np.full(part.num_rows, t, np.int32)), pa.array(codes[t]), part.column("id"), part.column("v")], ["dim", "t", "bucket", "id", "v"])
 
     alike = Window.partitionBy("v").orderBy("id")
-    kept = base.withColumn("_copy", F.row_number().over(alike)).filter(F.col("_copy") <= k + 1).drop("_copy")
+    # repeated rows go first: copies are counted over identifiers
+    kept = base.dropDuplicates(["id", "v"]).withColumn("_copy", F.row_number().over(alike)).filter(F.col("_copy") <= k + 1).drop("_copy")
     index = stash(kept.mapInArrow(hashed, "dim int, t int, bucket long, id long, v array<double>"))
     sizes = stash(index.groupBy("dim", "t", "bucket").agg(F.count(F.lit(1)).alias("n")))
     chunks = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("dim") / CHUNK_VALUES))
@@ -165,8 +166,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                     dim = batch.column("dim")[r].as_py()
                     ids, qids = (np.asarray(batch.column(c)[r].values) for c in ("ids", "qids"))
                     vs, qs = (np.asarray(batch.column(c)[r].values).reshape(-1, dim) for c in ("vs", "qs"))
+                    single = len(np.unique(ids)) == len(ids)
                     for q, x in zip(qids.tolist(), qs):
                         d, i = np.sqrt(((vs - x) ** 2).sum(axis=1)), ids
+                        if not single:  # an identifier counts once, at its smallest distance
+                            order = np.lexsort((d, i))
+                            d, i = d[order], i[order]
+                            new = np.append(True, i[1:] != i[:-1])
+                            d, i = d[new], i[new]
                         if len(d) > k + 1:
                             near = d <= np.partition(d, k)[k]
                             d, i = d[near], i[near]

@@ -97,6 +97,19 @@ def test_neighbours_of_odd_vectors(spark):
     assert [r["vec_id"] for r in neighbours.nearest(same, same.filter("vec_id = 100"), k=3).orderBy("rank").collect()] == [0, 1, 2]
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """Many rows of one identifier, with one vector or with several, hide no other identifier."""
+    copies = [(1, [1.0, 0.0])] * 30 + [(i, [1.0, 0.0]) for i in (2, 3, 4)] + [(i, [0.0, float(i)]) for i in range(10, 30)]
+    table = spark.createDataFrame(copies, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(table, table.filter("vec_id in (1, 2)").distinct(), k=5, mass=1.0).collect()
+    ids = {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (1, 2)}
+    assert ids == {1: [2, 3, 4, 10, 11], 2: [1, 3, 4, 10, 11]}
+    several = [(0, [1.0, 0.0])] + [(1, [1.0, 0.001 * i]) for i in range(1, 31)] + [(i, [1.0, 0.01 * i]) for i in range(10, 16)]
+    table = spark.createDataFrame(several, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(table, table.filter("vec_id = 0"), k=5).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 10, 11, 12, 13]
+
+
 def test_pieces_match_the_library(docs, odd, odd_rows):
     from sentencepiece import SentencePieceProcessor
 
