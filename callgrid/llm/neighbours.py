@@ -3,7 +3,8 @@
 A table hashes a vector by `functions` random projections, each cut into cells of one width (the outer
 cells are open), so a table has at most cells ** functions buckets. A neighbour's projection lies
 normally around the query's, with the distance of its k-th neighbour, estimated on a sample, as its spread; the product over the
-functions is a bucket's estimated success. A query visits the occupied buckets of every table in that
+functions is a bucket's estimated success. With the default of two cells both are open, so a function is
+the sign of a shifted projection and the width takes no part in a bucket. A query visits the occupied buckets of every table in that
 order until their estimated success adds up to `mass`. Candidates of all tables are merged and reranked
 by their exact distance in double precision. Queries that found fewer than k visit every bucket.
 
