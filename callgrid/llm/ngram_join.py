@@ -1,19 +1,23 @@
 """N-gram Jaccard join by rare-first prefix filtering.
 
 Texts are lower-cased (A-Z), cut into words, and become sets of n-word shingles. Texts with equal sets
-form a class; the join runs over classes. Shingles are ordered rarest first, by counts over all
-documents kept in a table of fixed size, then by hash: one order for all, so two sets of Jaccard
-similarity t share one of their first n - ceil(t * n) + 1 shingles. Classes meet on those prefix
-shingles under the length and positional filters; the suffix filter (a bound on the
-overlap from the counts of both sets in parts of the hash space) precedes the one exact verification of
-a pair.
+form a class; the join runs over classes, in two passes of prefix filtering. Under any one order of all
+shingles, two sets of Jaccard similarity t share one of their first n - ceil(t * n) + 1 shingles.
+
+The first pass orders shingles by counts kept in a table of fixed size, then by hash, and only finds the
+classes that share a prefix shingle with another. Their sets are then counted exactly, shingle by
+shingle, and ordered rarest first (those in the table's heaviest buckets come last, by bucket, so no hot
+shingle is gathered). Classes meet on prefix shingles of that order. The first shingle that a pair has
+in common leaves at most n - position for its overlap, in both sets: that is the positional filter, and
+the bound itself is the length filter. The suffix filter (a bound on the overlap from the counts of both
+sets in parts of the hash space) precedes the one exact verification of a pair.
 
 Components lose no link although not all pairs are made: small groups of a prefix shingle give all
 their pairs; in a large one each member is held against a pivot, verified links are contracted, and
-groups inside one component are done. When the pairs left between different components are no more than
-the groups' rows, all of them are verified; until then another pivot is taken, a few times. Members
-outside a group's most frequent component are joined with all, so that a group that is nearly one
-component costs little more than its pairs left.
+groups inside one component are done. This is repeated with other pivots while it finds links, a few
+times; then every pair of different components that passes the filters is verified. A set is sent once to each task that holds pairs of
+its hub. Unlike near copies that share rare shingles but are not similar enough still cost a
+verification each: no exact join can leave them out.
 
 A text without words, null or empty, has an empty set and no links. A null identifier comes after all
 others. Rows that share identifier and text are one document; rows that share an identifier only are
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from callgrid.llm.common import _BASE2, NULL_ID, carried, grams, mix, order_id, range_hash, signed, slices, stash, text_buffers, text_of, words
@@ -34,6 +39,8 @@ from callgrid.llm.components import components
 
 N, PERCENT = 5, 80
 BITS, PART_BITS, ROUNDS, SMALL = 18, 6, 4, 24
+#: A bucket is heavy at so many times the mean count, and this at least; a hub's pairs go to tasks of so many.
+HEAVY, HEAVY_LEAST, HUB_PAIRS = 16, 1024, 4096
 BUCKETS, PARTS, BROADCAST_NODES = 1 << BITS, 1 << PART_BITS, 1_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -90,9 +97,8 @@ def frequencies(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
     return out
 
 
-def profiles(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """doc_id, _id, _th, n_shingles, a 128-bit fingerprint of the set (f1, f2), the packed prefix and the counts of the set's parts."""
-    often = frequencies(docs, text_col, n)
+def profiles(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, often: np.ndarray) -> DataFrame:
+    """doc_id, _id, _th, n_shingles, a 128-bit fingerprint of the set (f1, f2), and the packed prefix."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,59 +112,83 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int)
                 order = np.lexsort((h, often[(h >> np.uint64(64 - BITS)).astype(np.int64)], rows))
                 rank = np.arange(len(h)) - edge[rows]
                 first = rank < (size - (percent * size + 99) // 100 + 1)[rows]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_id"), part.column("_th"), pa.array(size), pa.array(signed(f1)), pa.array(signed(f2)), packed(rows[first], h[order][first], part.num_rows), parts(rows, h, part.num_rows)], ["doc_id", "_id", "_th", "n_shingles", "f1", "f2", "prefix", "parts"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_id"), part.column("_th"), pa.array(size), pa.array(signed(f1)), pa.array(signed(f2)), packed(rows[first], h[order][first], part.num_rows)], ["doc_id", "_id", "_th", "n_shingles", "f1", "f2", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), order_id(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_th"), text_of(text_col).alias("_text"))
-    return rows.mapInArrow(profile, f"doc_id {kind}, _id long, _th long, n_shingles long, f1 long, f2 long, prefix binary, parts binary")
+    return rows.mapInArrow(profile, f"doc_id {kind}, _id long, _th long, n_shingles long, f1 long, f2 long, prefix binary")
 
 
-def packed_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """node, set (packed shingles, sorted) of nodes: node, _id, _th (the document that stands for it)."""
+def packed_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int, id_col: str, text_col: str, n: int) -> DataFrame:
+    """node, set (packed shingles, sorted) and parts of nodes: node, _id, _th (the document that stands for it)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
                 rows, h = shingle_sets(part, "_text", n)
-                yield pa.RecordBatch.from_arrays([part.column("node"), packed(rows, h, part.num_rows)], ["node", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), packed(rows, h, part.num_rows), parts(rows, h, part.num_rows)], ["node", "set", "parts"])
 
-    few = nodes.count() <= BROADCAST_NODES
     rows = docs.select(order_id(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_th"), text_of(text_col).alias("_text"))
-    rows = rows.join(F.broadcast(nodes) if few else nodes, ["_id", "_th"]).select("node", "_text")
-    return rows.mapInArrow(sets, "node long, set binary")
+    rows = rows.join(F.broadcast(nodes) if n_nodes <= BROADCAST_NODES else nodes, ["_id", "_th"]).select("node", "_text")
+    return rows.mapInArrow(sets, "node long, set binary, parts binary")
 
 
-def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The suffix filter: pairs (a, b) whose sets, by the counts of their parts, may be similar enough."""
+def rare_first(sets: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
+    """token, node, n, pos: the prefix of every set under the order of exact counts among the sets. A
+    shingle of one set only comes first and meets nothing, so it takes up a place and makes no row."""
+    heavy = max(HEAVY * float(often.mean()), HEAVY_LEAST)
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, PARTS).astype(np.int64) for c in ("x", "y"))
-            both = x.sum(axis=1) + y.sum(axis=1)
-            keep = pa.array(np.flatnonzero(both - np.abs(x - y).sum(axis=1) >= 2 * -(-percent * both // (100 + percent))))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
+            off, data = text_buffers(batch.column("set"))
+            h, n = data.view(np.uint64), np.diff(off) // 8
+            load = often[(h >> np.uint64(64 - BITS)).astype(np.int64)]
+            of = pa.array(np.repeat(np.arange(batch.num_rows), n))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), batch.column("node").take(of), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(np.where(load > heavy, load.astype(np.int64) + 2**32, 0))], ["token", "node", "n", "df"])
 
-    x, y = (nodes.select(F.col("node").alias(n), F.col("parts").alias(p)) for n, p in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").mapInArrow(check, "a long, b long")
+    each = sets.mapInArrow(tokens, "token long, node long, n int, df long")
+    # a bucket holds all rows of its shingles, so a shingle counted here has `heavy` rows at most
+    light = each.filter("df = 0").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1")
+    of = Window.partitionBy("node")
+    placed = light.unionByName(each.filter("df > 0")).withColumn("pos", (F.col("n") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("df", "token")) - 1).cast("int"))
+    prefix = placed.filter(F.col("pos") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)).select("token", "node", "n", "pos")
+    return prefix.join(prefix.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token"), "token")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough, each pair held against the bound once."""
+    """Those of the pairs (a, b, hub: one of the two) whose sets are similar enough, each pair held once
+    against the suffix filter and then the bound. A hub's set comes once to each task with its pairs."""
+
+    def blobs(batch: pa.RecordBatch, col: str, kind) -> list[np.ndarray]:
+        off, data = text_buffers(batch.column(col))
+        return [data[x:y].view(kind) for x, y in zip(off[:-1], off[1:])]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = counts = None
         for batch in batches:
+            hubs, others = np.asarray(batch.column("hub")), np.asarray(batch.column("other"))
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                if int((y[at] == x).sum()) >= -(-percent * (len(x) + len(y)) // (100 + percent)):
+            for i, (y, c) in enumerate(zip(blobs(batch, "set", np.uint64), blobs(batch, "parts", np.int32))):
+                if others[i] == hubs[i]:
+                    x, counts = y.copy(), c.astype(np.int64)
+                    continue
+                least = -(-percent * (len(x) + len(y)) // (100 + percent))
+                if len(x) + len(y) - int(np.abs(counts - c).sum()) < 2 * least:
+                    continue
+                at = np.searchsorted(x, y)
+                at[at == len(x)] = 0
+                if int((x[at] == y).sum()) >= least:
                     keep.append(i)
             take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("hub").take(take), batch.column("other").take(take)], ["a", "b"])
 
-    x, y = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    return pairs.join(x, "a").join(y, "b").mapInArrow(check, "a long, b long")
+    other = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    hubs = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("shares"))
+    asked = pairs.select("hub", other.alias("other")).join(hubs, "hub").withColumn("share", F.pmod(F.xxhash64("other"), F.col("shares")).cast("int"))
+    asked = asked.join(sets.withColumnRenamed("node", "other"), "other").select("hub", "share", F.lit(1).alias("turn"), "other", "set", "parts")
+    own = hubs.join(sets.withColumnRenamed("node", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("turn"), F.col("hub").alias("other"), "set", "parts")
+    met = own.unionByName(asked).repartition("hub", "share").sortWithinPartitions("hub", "share", "turn")
+    return met.select("hub", "other", "set", "parts").mapInArrow(check, "a long, b long")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -173,28 +203,27 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def headed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The documents' profiles; and f1, f2, head for every class: the document (_id, _th) with the
     smallest identifier, then the smallest text hash, of the class's component."""
+    often = frequencies(docs, text_col, n)
     # _row tells rows apart whatever their identifiers; it is made once, as the table is written
-    rows = stash(profiles(docs, id_col, text_col, n, percent).withColumn("_row", F.monotonically_increasing_id()))
-    n_rows, n_tokens = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("prefix") / 8), F.lit(0))).first()
+    rows = stash(profiles(docs, id_col, text_col, n, percent, often).withColumn("_row", F.monotonically_increasing_id()))
+    n_rows = rows.count()
     first = F.min(F.struct("_id", "_th", "_row"))
     classes = stash(rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(first.alias("first")).select("f1", "f2", F.col("first._row").alias("node"), F.struct("first._id", "first._th").alias("first")), n_rows)
-    stand = rows.join(classes.select(F.col("node").alias("_row")), "_row").select(F.col("_row").alias("node"), F.col("n_shingles").cast("int").alias("n"), "prefix")
-    nodes = rows.select(F.col("_row").alias("node"), "parts")
+    stand = rows.join(classes.select(F.col("node").alias("_row")), "_row").select(F.col("_row").alias("node"), "prefix")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.diff(np.frombuffer(batch.column("prefix").buffers()[1], np.int32)[batch.column("prefix").offset :][: batch.num_rows + 1]) // 8
-            flat = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.int64)
-            of = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column("node").take(of), batch.column("n").take(of), pa.array(pos.astype(np.int32))], ["token", "node", "n", "pos"])
-
-    prefix = stand.mapInArrow(tokens, "token long, node long, n int, pos int")
-    # a node has a token once: tokens of several nodes are those counted more than once
-    shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
-    groups = stash(prefix.join(shared, "token"), n_tokens)
-    standing = classes.select("node", "first._id", "first._th")
-    found = linked(groups, nodes, lambda some: packed_sets(docs, some.join(standing, "node"), id_col, text_col, n), percent)
+            off, data = text_buffers(batch.column("prefix"))
+            of = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(off) // 8))
+            yield pa.RecordBatch.from_arrays([pa.array(data.view(np.int64)), batch.column("node").take(of)], ["token", "node"])
+
+    prefix = stand.mapInArrow(tokens, "token long, node long")
+    shared = prefix.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
+    some = stash(prefix.join(shared, "token").select("node").distinct(), n_rows)
+    n_some = some.count()
+    standing = some.join(classes.select("node", "first._id", "first._th"), "node")
+    sets = stash(packed_sets(docs, standing, n_some, id_col, text_col, n))
+    found = linked(stash(rare_first(sets, often, percent)), sets, percent)
 
     # only linked classes have a label
     named = classes.join(found, "node")
@@ -202,44 +231,46 @@ def headed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
     return rows, stash(classes.join(heads, "node", "left").select("f1", "f2", F.coalesce("head", "first").alias("head")), n_rows)
 
 
-def linked(groups: DataFrame, nodes: DataFrame, sets_of, percent: int) -> DataFrame:
-    """node, label over all links among the nodes of each token's group. sets_of(nodes) gives their sets."""
+def linked(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, label over all links among the nodes of each token's group (token, node, n, pos)."""
     total = groups.count()
     labels = tested = links = None
-    for step in range(ROUNDS + 1):
+    step, more = 0, total > 0
+    while more:
         now = groups.withColumn("label", F.col("node")) if labels is None else groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pivot = F.min(F.struct(F.xxhash64(F.lit(step), "node").alias("h"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))).alias("pivot")
-        alike = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"), pivot)
+        # the first pivot is the member with fewest rare shingles, then any
+        order = F.struct(F.when(F.lit(step == 0), F.col("pos")).otherwise(0).alias("p"), F.xxhash64(F.lit(step), "node").alias("h"))
+        alike = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"), F.min_by(F.struct(F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la")), order).alias("pivot"), F.min(order).alias("o"))
         # top: the label that most of a group have; every pair of different labels has a member outside it
-        whole = [F.sum("k").alias("c"), F.sum(F.expr("cast(k as double) * k")).alias("kk"), F.max(F.struct("k", "label")).alias("top"), F.min("pivot").alias("pivot")]
-        open_ = stash(alike.groupBy("token").agg(*whole).filter("top.k < c").withColumn("top", F.col("top.label")), total)
+        whole = [F.sum("k").alias("c"), F.sum(F.expr("cast(k as double) * k")).alias("kk"), F.max_by("label", F.struct("k", "label")).alias("top"), F.max("k").alias("most"), F.min_by("pivot", "o").alias("pivot")]
+        open_ = stash(alike.groupBy("token").agg(*whole).filter("most < c"), total)
         pairs_left = open_.agg(F.sum(F.expr("(cast(c as double) * c - kk) / 2"))).first()[0]
         if not pairs_left:
             break
         # small groups give all their pairs at once, large ones those with a pivot
-        small = F.lit(True) if pairs_left <= total or step == ROUNDS else F.col("c") <= SMALL
+        last = step >= ROUNDS or pairs_left <= total
+        small = F.lit(True) if last else F.col("c") <= SMALL
         member = now.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
-        some = now.join(open_.filter(small).select("token", "top"), "token").filter("label <> top").select("token", "top", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
+        outside = now.join(open_.filter(small).select("token", "top"), "token").filter("label <> top").select("token", "top", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
         least = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
-        reach = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-        fits = (F.col("la") != F.col("lb")) & (F.least("na", "nb") >= least) & (reach >= least)
-        pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+        fits = (F.col("la") != F.col("lb")) & (F.col("na") - F.col("pa") >= least) & (F.col("nb") - F.col("pb") >= least)
+        pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("hub")]
         large = open_.filter(~small).select("token", "pivot.*")
-        pairs = some.join(member, "token").filter("lb = top or a < b").filter(fits).select(pair).unionByName(member.join(large, "token").filter(fits).select(pair)).distinct()
+        pairs = outside.join(member, "token").filter("lb = top or a < b").filter(fits).select(pair).unionByName(member.join(large, "token").filter(fits).select(pair))
+        pairs = pairs.groupBy("a", "b").agg(F.min("hub").alias("hub"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        tested_now = stash(pairs, min(pairs_left, SMALL * total) if step < ROUNDS else pairs_left)
-        n_pairs = tested_now.count()
-        pairs = stash(plausible(tested_now, nodes, percent), n_pairs)
-        tested = tested_now if tested is None else tested.unionByName(tested_now)
-        sets = stash(sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()))
-        got = stash(verified(pairs, sets, percent), n_pairs)
+        pairs = stash(pairs)
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        got = stash(verified(pairs, sets, percent))
         links = got if links is None else links.unionByName(got)
-        groups = stash(groups.join(large.select("token"), "token", "left_semi"), total)
-        if groups.isEmpty():
+        found = not got.isEmpty()
+        if found or labels is None:
             labels = components(links)
+        if last:
             break
-        labels = components(links)
+        groups = stash(groups.join(large.select("token"), "token", "left_semi"), total)
+        step, more = step + 1 if found else ROUNDS, not groups.isEmpty()
     return labels if labels is not None else groups.select("node", F.col("node").alias("label")).limit(0)
 
 
