@@ -1,22 +1,22 @@
 """N-gram Jaccard join by rare-first prefix filtering.
 
 Texts are lower-cased (A-Z), cut into words, and become sets of n-word shingles. Texts with equal sets
-form a class; the join runs over classes, in two passes of prefix filtering. Under any one order of all
+form a class; the join runs over classes, by prefix filtering: under any one order of all
 shingles, two sets of Jaccard similarity t share one of their first n - ceil(t * n) + 1 shingles.
 
-The first pass orders shingles by counts kept in a table of fixed size, then by hash, and only finds the
-classes that share a prefix shingle with another. Their sets are then counted exactly, shingle by
-shingle, and ordered rarest first (those in the table's heaviest buckets come last, by bucket, so no hot
-shingle is gathered). Classes meet on prefix shingles of that order. The first shingle that a pair has
-in common leaves at most n - position for its overlap, in both sets: that is the positional filter, and
-the bound itself is the length filter. The suffix filter (a bound on the overlap from the counts of both
-sets in parts of the hash space) precedes the one exact verification of a pair.
+A first step leaves out texts that have no partner: a part of all shingles, taken by hash, is counted,
+and a text with more shingles of its own among them than a partner may lack is similar to nothing. The
+sets of the others are counted exactly, shingle by shingle, and ordered rarest first. Classes meet on
+prefix shingles of that order. The first shingle that a pair has in common leaves at most n - position
+for its overlap, in both sets: that is the positional filter, and the bound itself is the length filter.
+The suffix filter (a bound on the overlap from the counts of both sets in parts of the hash space)
+precedes the one exact verification of a pair.
 
 Components lose no link although not all pairs are made: small groups of a prefix shingle give all
 their pairs; in a large one each member is held against a pivot, verified links are contracted, and
 groups inside one component are done. This is repeated with other pivots while it finds links, a few
-times; then every pair of different components that passes the filters is verified. A set is sent once to each task that holds pairs of
-its hub. Unlike near copies that share rare shingles but are not similar enough still cost a
+times; then every pair of different components that passes the filters is verified. A set is sent once
+to each task that holds pairs of its hub. Unlike near copies that share rare shingles but are not similar enough still cost a
 verification each: no exact join can leave them out.
 
 A text without words, null or empty, has an empty set and no links. A null identifier comes after all
@@ -38,10 +38,10 @@ from callgrid.llm.common import _BASE2, NULL_ID, carried, grams, mix, order_id,
 from callgrid.llm.components import components
 
 N, PERCENT = 5, 80
-BITS, PART_BITS, ROUNDS, SMALL = 18, 6, 4, 24
-#: A bucket is heavy at so many times the mean count, and this at least; a hub's pairs go to tasks of so many.
-HEAVY, HEAVY_LEAST, HUB_PAIRS = 16, 1024, 4096
-BUCKETS, PARTS, BROADCAST_NODES = 1 << BITS, 1 << PART_BITS, 1_000_000
+PART_BITS, ROUNDS, SMALL = 6, 4, 24
+#: A hub's pairs go to tasks of so many.
+HUB_PAIRS = 4096
+PARTS, BROADCAST_NODES = 1 << PART_BITS, 1_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -78,27 +78,10 @@ def parts(rows: np.ndarray, h: np.ndarray, n_rows: int) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(PARTS * 4), n_rows, [None, pa.py_buffer(counts.astype(np.int32).tobytes())]).cast(pa.binary())
 
 
-def frequencies(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
-    """Shingle counts over all documents, in BUCKETS parts of the hash space. Each task counts into a
-    table of fixed size; a grouped sum adds the tables up, and BUCKETS sums at most come to the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                _, h = shingle_sets(part, "_text", n)
-                total += np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=BUCKETS)
-        for at in np.array_split(np.flatnonzero(total), 16):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "c"])
-
-    sums = docs.select(text_of(text_col).alias("_text")).mapInArrow(count, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
-    out = np.zeros(BUCKETS, dtype=np.int32)
-    out[np.asarray(sums.column("bucket").combine_chunks())] = np.minimum(np.asarray(sums.column("c").combine_chunks()), 2**31 - 1)
-    return out
-
-
-def profiles(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, often: np.ndarray) -> DataFrame:
-    """doc_id, _id, _th, n_shingles, a 128-bit fingerprint of the set (f1, f2), and the packed prefix."""
+def profiles(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """doc_id, _id, _th, n_shingles, a 128-bit fingerprint of the set (f1, f2) and the packed shingles of
+    the part that is counted first: twice the share that a partner may lack."""
+    below = np.uint64(min(2**64 - 1, int(2 * (100 - percent) / 100 * 2**64)))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,50 +92,59 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
                 with np.errstate(over="ignore"):
                     sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (mix(h ^ np.uint64(0xA5A5)), mix(h + np.uint64(0x5DEECE66D)))]
                     f1, f2 = (s[edge[1:]] - s[edge[:-1]] for s in sums)
-                order = np.lexsort((h, often[(h >> np.uint64(64 - BITS)).astype(np.int64)], rows))
-                rank = np.arange(len(h)) - edge[rows]
-                first = rank < (size - (percent * size + 99) // 100 + 1)[rows]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_id"), part.column("_th"), pa.array(size), pa.array(signed(f1)), pa.array(signed(f2)), packed(rows[first], h[order][first], part.num_rows)], ["doc_id", "_id", "_th", "n_shingles", "f1", "f2", "prefix"])
+                some = mix(h ^ np.uint64(0x77)) <= below
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_id"), part.column("_th"), pa.array(size), pa.array(signed(f1)), pa.array(signed(f2)), packed(rows[some], h[some], part.num_rows)], ["doc_id", "_id", "_th", "n_shingles", "f1", "f2", "some"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), order_id(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_th"), text_of(text_col).alias("_text"))
-    return rows.mapInArrow(profile, f"doc_id {kind}, _id long, _th long, n_shingles long, f1 long, f2 long, prefix binary")
+    return rows.mapInArrow(profile, f"doc_id {kind}, _id long, _th long, n_shingles long, f1 long, f2 long, some binary")
+
+
+def tokens(rows: DataFrame, col: str) -> DataFrame:
+    """token, node, n of packed shingles: a row for each; n is the number in the whole set."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off, data = text_buffers(batch.column(col))
+            of = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(off) // 8))
+            yield pa.RecordBatch.from_arrays([pa.array(data.view(np.int64)), batch.column("node").take(of), batch.column("n").take(of)], ["token", "node", "n"])
+
+    return rows.select("node", "n", col).mapInArrow(each, "token long, node long, n int")
+
+
+def with_partners(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The classes that may have a partner: of the counted part, no more shingles are theirs alone than a
+    partner may lack."""
+    stand = rows.select(F.col("_row").alias("node"), F.col("n_shingles").cast("int").alias("n"), "some").join(classes.select("node"), "node")
+    once = tokens(stand, "some").groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("hi")).filter("node = hi")
+    alone = once.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    may_lack = F.col("n_shingles") - F.ceil(F.lit(percent) * F.col("n_shingles") / 100)
+    return classes.join(alone, "node", "left").filter(F.coalesce("alone", F.lit(0)) <= may_lack).drop("alone")
 
 
 def packed_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int, id_col: str, text_col: str, n: int) -> DataFrame:
-    """node, set (packed shingles, sorted) and parts of nodes: node, _id, _th (the document that stands for it)."""
+    """node, n, set (packed shingles, sorted) and parts of nodes: node, _id, _th (the document that stands for it)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
                 rows, h = shingle_sets(part, "_text", n)
-                yield pa.RecordBatch.from_arrays([part.column("node"), packed(rows, h, part.num_rows), parts(rows, h, part.num_rows)], ["node", "set", "parts"])
+                size = np.bincount(rows, minlength=part.num_rows).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(size), packed(rows, h, part.num_rows), parts(rows, h, part.num_rows)], ["node", "n", "set", "parts"])
 
     rows = docs.select(order_id(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_th"), text_of(text_col).alias("_text"))
     rows = rows.join(F.broadcast(nodes) if n_nodes <= BROADCAST_NODES else nodes, ["_id", "_th"]).select("node", "_text")
-    return rows.mapInArrow(sets, "node long, set binary, parts binary")
+    return rows.mapInArrow(sets, "node long, n int, set binary, parts binary")
 
 
-def rare_first(sets: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
+def rare_first(sets: DataFrame, percent: int) -> DataFrame:
     """token, node, n, pos: the prefix of every set under the order of exact counts among the sets. A
     shingle of one set only comes first and meets nothing, so it takes up a place and makes no row."""
-    heavy = max(HEAVY * float(often.mean()), HEAVY_LEAST)
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            off, data = text_buffers(batch.column("set"))
-            h, n = data.view(np.uint64), np.diff(off) // 8
-            load = often[(h >> np.uint64(64 - BITS)).astype(np.int64)]
-            of = pa.array(np.repeat(np.arange(batch.num_rows), n))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), batch.column("node").take(of), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(np.where(load > heavy, load.astype(np.int64) + 2**32, 0))], ["token", "node", "n", "df"])
-
-    each = sets.mapInArrow(tokens, "token long, node long, n int, df long")
-    # a bucket holds all rows of its shingles, so a shingle counted here has `heavy` rows at most
-    light = each.filter("df = 0").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1")
+    each = tokens(sets, "set")
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     of = Window.partitionBy("node")
-    placed = light.unionByName(each.filter("df > 0")).withColumn("pos", (F.col("n") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("df", "token")) - 1).cast("int"))
-    prefix = placed.filter(F.col("pos") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)).select("token", "node", "n", "pos")
-    return prefix.join(prefix.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token"), "token")
+    placed = each.join(counts, "token").withColumn("pos", (F.col("n") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("df", "token")) - 1).cast("int"))
+    return placed.filter(F.col("pos") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)).select("token", "node", "n", "pos")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,8 +177,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     other = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
     hubs = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("shares"))
     asked = pairs.select("hub", other.alias("other")).join(hubs, "hub").withColumn("share", F.pmod(F.xxhash64("other"), F.col("shares")).cast("int"))
-    asked = asked.join(sets.withColumnRenamed("node", "other"), "other").select("hub", "share", F.lit(1).alias("turn"), "other", "set", "parts")
-    own = hubs.join(sets.withColumnRenamed("node", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("turn"), F.col("hub").alias("other"), "set", "parts")
+    asked = asked.join(sets.select(F.col("node").alias("other"), "set", "parts"), "other").select("hub", "share", F.lit(1).alias("turn"), "other", "set", "parts")
+    own = hubs.join(sets.select(F.col("node").alias("hub"), "set", "parts"), "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("turn"), F.col("hub").alias("other"), "set", "parts")
     met = own.unionByName(asked).repartition("hub", "share").sortWithinPartitions("hub", "share", "turn")
     return met.select("hub", "other", "set", "parts").mapInArrow(check, "a long, b long")
 
@@ -203,27 +195,17 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def headed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The documents' profiles; and f1, f2, head for every class: the document (_id, _th) with the
     smallest identifier, then the smallest text hash, of the class's component."""
-    often = frequencies(docs, text_col, n)
     # _row tells rows apart whatever their identifiers; it is made once, as the table is written
-    rows = stash(profiles(docs, id_col, text_col, n, percent, often).withColumn("_row", F.monotonically_increasing_id()))
+    rows = stash(profiles(docs, id_col, text_col, n, percent).withColumn("_row", F.monotonically_increasing_id()))
     n_rows = rows.count()
     first = F.min(F.struct("_id", "_th", "_row"))
-    classes = stash(rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(first.alias("first")).select("f1", "f2", F.col("first._row").alias("node"), F.struct("first._id", "first._th").alias("first")), n_rows)
-    stand = rows.join(classes.select(F.col("node").alias("_row")), "_row").select(F.col("_row").alias("node"), "prefix")
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            off, data = text_buffers(batch.column("prefix"))
-            of = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(off) // 8))
-            yield pa.RecordBatch.from_arrays([pa.array(data.view(np.int64)), batch.column("node").take(of)], ["token", "node"])
-
-    prefix = stand.mapInArrow(tokens, "token long, node long")
-    shared = prefix.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
-    some = stash(prefix.join(shared, "token").select("node").distinct(), n_rows)
-    n_some = some.count()
-    standing = some.join(classes.select("node", "first._id", "first._th"), "node")
-    sets = stash(packed_sets(docs, standing, n_some, id_col, text_col, n))
-    found = linked(stash(rare_first(sets, often, percent)), sets, percent)
+    classes = rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(first.alias("first"), F.first("n_shingles").alias("n_shingles"))
+    classes = stash(classes.select("f1", "f2", "n_shingles", F.col("first._row").alias("node"), F.struct("first._id", "first._th").alias("first")), n_rows)
+    standing = stash(with_partners(classes, rows, percent).select("node", "first._id", "first._th"), n_rows)
+    sets = stash(packed_sets(docs, standing, standing.count(), id_col, text_col, n))
+    groups = stash(rare_first(sets, percent))
+    shared = groups.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
+    found = linked(stash(groups.join(shared, "token")), sets, percent)
 
     # only linked classes have a label
     named = classes.join(found, "node")
