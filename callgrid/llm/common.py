@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,6 +153,31 @@ def words(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
+def ink_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of every word (all runs of ink, in order), as two numbers; a distinct word is hashed once."""
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    ink = np.ascontiguousarray(data[~_WS[data]])
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ink.tobytes())]).dictionary_encode()
+    each = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in coded.dictionary.to_pylist()), np.uint64).reshape(-1, 2)
+    at = np.asarray(coded.indices)
+    return each[at, 0], each[at, 1]
+
+
+def tree_hash(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of values[start : start + length] for many ranges, by mixed pairs of halves: unlike
+    range_hash it is no polynomial, so that ranges that are alike under both are alike."""
+    level, span, out = mix(values), 1, np.zeros(len(start), np.uint64)
+    with np.errstate(over="ignore"):
+        while True:
+            own = np.flatnonzero((length >= span) & (length < 2 * span))
+            left, right = level[start[own]], level[start[own] + length[own] - span]
+            out[own] = mix(left * np.uint64(_BASE) + mix(right + length[own].astype(np.uint64)))
+            if not (length >= 2 * span).any():
+                return out
+            level = mix(level[:-span] * np.uint64(_BASE2) + mix(level[span:] + np.uint64(span)))
+            span *= 2
+
+
 def grams(wh: np.ndarray, k: int, base: int = _BASE2) -> np.ndarray:
     """Hashes of all runs of k word hashes."""
     n = max(0, len(wh) - k + 1)

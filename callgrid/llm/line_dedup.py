@@ -20,14 +20,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from callgrid.llm.common import _WS, n_parts, order_id, range_hash, signed, slices, stash, text_buffers, text_of
+from callgrid.llm.common import _WS, n_parts, order_id, slices, stash, text_buffers, text_of
 
 MIN_LINES = 2
-_OTHER = 0x2545F4914F6CDD1D
 
 
 def lines(off: np.ndarray, data: np.ndarray):
@@ -55,7 +55,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 of = np.searchsorted(off, s, side="right") - 1
                 pos = np.arange(len(s)) - np.searchsorted(s, off)[of]
                 take = pa.array(of)
-                yield pa.RecordBatch.from_arrays([part.column("_id").take(take), part.column("_th").take(take), pa.array(pos.astype(np.int32)), pa.array(signed(range_hash(data, s, e))), pa.array(signed(range_hash(data, s, e, _OTHER)))], ["_id", "_th", "pos", "r1", "r2"])
+                view = memoryview(np.ascontiguousarray(data))
+                key = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(s.tolist(), e.tolist())), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([part.column("_id").take(take), part.column("_th").take(take), pa.array(pos.astype(np.int32)), pa.array(key[:, 0]), pa.array(key[:, 1])], ["_id", "_th", "pos", "r1", "r2"])
 
     keyed = docs.select(order_id(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_th"), text_of(text_col).alias("_text"))
     table = keyed.mapInArrow(keys, "_id long, _th long, pos int, r1 long, r2 long")

@@ -1,12 +1,16 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-A table hashes a vector by `functions` random projections, each cut into cells of one width (the outer
-cells are open), so a table has at most cells ** functions buckets. A neighbour's projection lies
-normally around the query's, with the distance of its k-th neighbour, estimated on a sample, as its spread; the product over the
-functions is a bucket's estimated success. With the default of two cells both are open, so a function is
-the sign of a shifted projection and the width takes no part in a bucket. A query visits the occupied buckets of every table in that
-order until their estimated success adds up to `mass`. Candidates of all tables are merged and reranked
-by their exact distance in double precision. Queries that found fewer than k visit every bucket.
+A table hashes a vector by random projections, each cut into cells of width w: floor((a.x + b) / w). The
+number of functions grows with the logarithm of the rows, so that a bucket holds about `bucket_rows` of
+them at any size. A neighbour's projection lies normally around the query's; how far it is drawn to the
+mean, and its spread, come from sample vectors and their neighbours, scaled by the query's own distance
+to them. The product over the functions is the estimated success of a bucket. A query visits the home
+bucket and perturbed ones in order of that estimate, found without listing the buckets there are, until
+the estimates add up to `mass`. Candidates of all tables are merged and reranked by their exact distance
+in double precision. Queries that found fewer than k are held against all rows, in blocks.
+
+Of vectors without structure (64 independent components), the 10 nearest are hardly nearer than the
+rest, and no hashing tells them apart well: there, half of the rows are compared for a recall of 0.9.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an
 identifier. Vectors meet only vectors of their own length. Of equal vectors only the k + 1 smallest
@@ -28,15 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from callgrid.llm.common import stash
+from callgrid.llm.common import mix, signed, stash
 
-CHUNK_VALUES, QUERY_BATCH, HELD = 1 << 18, 256, 20_000
+CHUNK_VALUES, QUERY_BATCH, HELD, SALTS = 1 << 18, 256, 20_000, 64
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     vec = F.col(vec_col)
     fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(vec, lambda x: x != 0)
-    return rows.filter(F.col(id_col).isNotNull() & vec.isNotNull()).filter(fine).select(F.col(id_col).cast("long").alias("id"), vec.cast("array<double>").alias("v"), F.size(vec).alias("dim"))
+    # single precision stays as it is stored until it is compared
+    own = vec if rows.schema[vec_col].dataType.simpleString() == "array<float>" else vec.cast("array<double>")
+    return rows.filter(F.col(id_col).isNotNull() & vec.isNotNull()).filter(fine).select(F.col(id_col).cast("long").alias("id"), own.alias("v"), F.size(vec).alias("dim"))
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -47,63 +53,107 @@ _erf = np.vectorize(math.erf, otypes=[float])
 
 
 class Geometry:
-    """Projections and cells for vectors of one length."""
+    """Projections, cells and estimated success for vectors of one length."""
 
-    def __init__(self, dim: int, sample: np.ndarray, near: int, tables: int, functions: int, cells: int, seed: int):
+    def __init__(self, dim: int, sample: np.ndarray, near: int, tables: int, functions: int, width: float, seed: int):
         rng = np.random.default_rng([seed, dim])
         self.a = rng.standard_normal((tables, dim, functions))
-        self.cells, self.functions, self.tables = cells, functions, tables
         self.mean = sample.mean(axis=0) if len(sample) else np.zeros(dim)
-        spread = ((sample - self.mean) @ self.a).std(axis=1) if len(sample) > 1 else np.ones((tables, functions))
-        self.width = np.maximum(spread, 1e-12)
-        self.shift = rng.uniform(-0.25, 0.25, (tables, functions)) * self.width
         self.sample, self.near = sample, near
+        placed = (sample - self.mean) @ self.a
+        spread = placed.std(axis=1) if len(sample) > 1 else np.ones((tables, functions))
+        self.width = np.maximum(width * spread, 1e-12)
+        self.shift = rng.uniform(0, 1, (tables, functions)) * self.width
+        # how a neighbour's projection follows a vector's: slope and spread
+        self.slope, self.spread, self.usual = 1.0, 1.0, 1.0
+        if len(sample) > 2:
+            some = sample[: min(256, len(sample))]
+            d2 = squares(some, sample)
+            at = np.argsort(d2, axis=1)[:, min(near, len(sample) - 1)]
+            x, y = placed[:, : len(some)].reshape(-1), placed[:, at].reshape(-1)
+            self.slope = float((x * y).sum() / max((x * x).sum(), 1e-12))
+            self.usual = float(np.sqrt(np.maximum(d2[np.arange(len(some)), at], 1e-12)).mean())
+            self.spread = max(float((y - self.slope * x).std()), 1e-9)
 
     def reach(self, x: np.ndarray) -> np.ndarray:
         """Each query's estimated distance of a k-th neighbour: that of its `near`-th sample vector."""
         if not len(self.sample):
             return np.ones(len(x))
-        d2 = (x**2).sum(axis=1)[:, None] + (self.sample**2).sum(axis=1)[None] - 2 * x @ self.sample.T
         at = min(self.near, len(self.sample)) - 1
-        return np.sqrt(np.maximum(np.partition(d2, at, axis=1)[:, at], 1e-12))
+        return np.sqrt(np.maximum(np.partition(squares(x, self.sample), at, axis=1)[:, at], 1e-12))
 
-    def project(self, x: np.ndarray) -> np.ndarray:
+    def place(self, x: np.ndarray) -> np.ndarray:
         return (x - self.mean) @ self.a  # tables, rows, functions
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
-        half = self.cells // 2
-        cell = np.floor((self.project(x) + self.shift[:, None]) / self.width[:, None])
-        cell = np.clip(cell, -half, self.cells - half - 1).astype(np.int64) + half
-        return (cell * self.cells ** np.arange(self.functions)).sum(axis=2)
-
-    def success(self, x: np.ndarray, table: int, buckets: np.ndarray) -> np.ndarray:
-        """Estimated success of each bucket for each query, adding up to 1."""
-        p, r = self.project(x)[table], self.reach(x)[:, None]
-        half = self.cells // 2
-        log = np.zeros((len(x), len(buckets)))
-        for j in range(self.functions):
-            inner = np.arange(1 - half, self.cells - half) * self.width[table, j] - self.shift[table, j]
-            z = (inner[None] - p[:, j : j + 1]) / (r * math.sqrt(2))
-            cdf = np.concatenate([np.zeros((len(x), 1)), 0.5 * (1 + _erf(z)), np.ones((len(x), 1))], axis=1)
-            log += np.log(np.maximum(np.diff(cdf, axis=1), 1e-12))[:, buckets // self.cells**j % self.cells]
-        s = np.exp(log - log.max(axis=1, keepdims=True))
-        return s / s.sum(axis=1, keepdims=True)
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 2, functions: int = 10, cells: int = 2, mass: float = 0.985, sample: int = 2048, seed: int = 11) -> DataFrame:
+        """The bucket of every vector in every table."""
+        return named(np.floor((self.place(x) + self.shift[:, None]) / self.width[:, None]).astype(np.int64))
+
+    def probes(self, x: np.ndarray, table: int, mass: float) -> Iterator[np.ndarray]:
+        """For each query its buckets in order of estimated success, up to the mass."""
+        at = self.place(x)[table]
+        centre, spread = self.slope * at, self.spread * self.reach(x)[:, None] / self.usual * np.ones(at.shape)
+        for q in range(len(x)):
+            best, odds, cells = 0.0, [], []
+            for j in range(at.shape[1]):
+                w, c, s = self.width[table, j], centre[q, j] + self.shift[table, j], spread[q, j]
+                cell = np.arange(math.floor((c - 4 * s) / w), math.floor((c + 4 * s) / w) + 1)
+                edge = 0.5 * (1 + _erf((np.append(cell, cell[-1] + 1) * w - c) / (s * math.sqrt(2))))
+                p = np.diff(edge)
+                order = np.argsort(-p, kind="stable")[: max(1, int((p > 1e-9).sum()))]
+                log = np.log(np.maximum(p[order], 1e-300))
+                best += log[0]
+                odds.append(log[0] - log)
+                cells.append(cell[order])
+            # perturbation sets by what they cost against the likeliest bucket; the limit is raised until they hold the mass
+            limit, reached = 2.0, -1.0
+            while True:
+                cost, picks = np.zeros(1), np.zeros((1, 0), np.int64)
+                for odd, cell in zip(odds, cells):
+                    sums = cost[:, None] + odd[None]
+                    i, k = np.nonzero(sums <= limit)
+                    cost, picks = sums[i, k], np.column_stack([picks[i], cell[k]])
+                success = np.exp(best - cost)
+                # the tails that were left out of the cells are all that can be missing
+                if success.sum() >= mass or (len(cost) == reached and limit > 40):
+                    break
+                reached, limit = len(cost), limit + 1.5
+            order = np.argsort(cost, kind="stable")
+            taken = np.searchsorted(np.cumsum(success[order]), mass) + 1
+            yield np.unique(named(picks[order[:taken]]))
+
+
+def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * x @ y.T
+
+
+def named(cells: np.ndarray) -> np.ndarray:
+    """One number for the cells of all functions (the last axis); a collision only adds candidates."""
+    h = np.zeros(cells.shape[:-1], dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(cells.shape[-1]):
+            h = mix((h ^ cells[..., j].astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15))
+    return signed(h)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 2, width: float = 2.0, bucket_rows: int = 64, mass: float = 0.72, sample: int = 2048, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, its own row left out."""
     base, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
     some = base.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
     total = max(1, base.count())
     # the k-th of all rows is about this one of the sample; the query itself and two more for caution
     near = math.ceil(k * min(sample, total) / total) + 3
+    # a function with cells of this width tells 2 ** bits cells apart
+    bits = max(0.1, math.log2(math.sqrt(2 * math.pi * math.e) / width))
+    functions = max(1, round(math.log2(max(2, total / bucket_rows)) / bits))
+    kind = base.schema["v"].dataType.simpleString()
     geometry: dict[int, Geometry] = {}
 
     def of(dim: int) -> Geometry:
         if dim not in geometry:
             own = some[some["dim"] == dim]["v"]
             x = np.array(own.tolist(), dtype=np.float64).reshape(len(own), dim)
-            geometry[dim] = Geometry(dim, x, near, tables, functions, cells, seed)
+            geometry[dim] = Geometry(dim, x, near, tables, functions, width, seed)
         return geometry[dim]
 
     def by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -118,11 +168,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays([part.column("dim"), pa.array(np.full(part.num_rows, t, np.int32)), pa.array(codes[t]), part.column("id"), part.column("v")], ["dim", "t", "bucket", "id", "v"])
 
-    alike = Window.partitionBy("v").orderBy("id")
-    # repeated rows go first: copies are counted over identifiers
-    kept = base.dropDuplicates(["id", "v"]).withColumn("_copy", F.row_number().over(alike)).filter(F.col("_copy") <= k + 1).drop("_copy")
-    index = stash(kept.mapInArrow(hashed, "dim int, t int, bucket long, id long, v array<double>"))
-    sizes = stash(index.groupBy("dim", "t", "bucket").agg(F.count(F.lit(1)).alias("n")))
+    # repeated rows go first: copies are counted over identifiers, and of a common vector in shares first
+    kept = base.dropDuplicates(["id", "v"]).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    for of in (["v", "_salt"], ["v"]):
+        kept = kept.withColumn("_copy", F.row_number().over(Window.partitionBy(*of).orderBy("id"))).filter(F.col("_copy") <= k + 1).drop("_copy")
+    index = stash(kept.drop("_salt").mapInArrow(hashed, f"dim int, t int, bucket long, id long, v {kind}"))
+    sizes = index.groupBy("dim", "t", "bucket").agg(F.count(F.lit(1)).alias("n"))
     chunks = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("dim") / CHUNK_VALUES))
     packed = stash(
         index.join(sizes, ["dim", "t", "bucket"])
@@ -130,29 +181,36 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         .agg(F.collect_list(F.struct("id", "v")).alias("rows"))
         .select("dim", "t", "bucket", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("vs"))
     )
-    # at most tables * cells ** functions rows for each length of vectors
-    occupied = {(int(r["dim"]), int(r["t"])): np.sort(np.array(r["b"], dtype=np.int64)) for r in sizes.groupBy("dim", "t").agg(F.collect_list("bucket").alias("b")).collect()}
 
-    def found(queries_: DataFrame, mass_: float) -> DataFrame:
-        def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for dim, some_ in by_dim(batch):
-                    for lo in range(0, some_.num_rows, QUERY_BATCH):
-                        part = some_.slice(lo, QUERY_BATCH)
-                        x, ids = matrix(part.column("v"), dim), np.asarray(part.column("id"))
-                        for t in range(tables if mass_ < 1 else 1):
-                            b = occupied.get((dim, t), np.zeros(0, np.int64))
-                            if not len(b):
-                                continue
-                            s = of(dim).success(x, t, b)
-                            order = np.argsort(-s, axis=1, kind="stable")
-                            before = np.cumsum(np.take_along_axis(s, order, 1), axis=1) - np.take_along_axis(s, order, 1)
-                            visit = np.zeros(s.shape, dtype=bool)
-                            np.put_along_axis(visit, order, before < mass_ if mass_ < 1 else np.ones(s.shape, bool), axis=1)
-                            for j in np.flatnonzero(visit.any(axis=0)):
-                                q = np.flatnonzero(visit[:, j])
-                                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([t], pa.int32()), pa.array([b[j]]), pa.array([ids[q]], pa.list_(pa.int64())), pa.array([x[q].ravel()], pa.list_(pa.float64()))], ["dim", "t", "bucket", "qids", "qs"])
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, some_ in by_dim(batch):
+                for lo in range(0, some_.num_rows, QUERY_BATCH):
+                    part = some_.slice(lo, QUERY_BATCH)
+                    x = matrix(part.column("v"), dim)
+                    for t in range(tables):
+                        visits = list(of(dim).probes(x, t, mass))
+                        q, b = np.repeat(np.arange(len(visits)), [len(v) for v in visits]), np.concatenate(visits)
+                        order = np.argsort(b, kind="stable")
+                        yield asking(part, dim, t, b[order], q[order])
+
+    def asking(part: pa.RecordBatch, dim: int, t: int, b: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        """A row for each bucket (in order) with the numbers and vectors of the queries that visit it."""
+        head = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+        edge = pa.array(np.append(head, len(b)).astype(np.int32))
+        take = part.take(pa.array(q))
+        at = pa.array((np.append(head, len(b)) * dim).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(head), dim, np.int32)), pa.array(np.full(len(head), t, np.int32)), pa.array(b[head]), pa.ListArray.from_arrays(edge, take.column("id")), pa.ListArray.from_arrays(at, take.column("v").flatten())], ["dim", "t", "bucket", "qids", "qs"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The queries in blocks, to be held against everything."""
+        for batch in batches:
+            for dim, some_ in by_dim(batch):
+                for lo in range(0, some_.num_rows, QUERY_BATCH):
+                    part = some_.slice(lo, QUERY_BATCH)
+                    yield asking(part, dim, 0, np.zeros(part.num_rows, np.int64), np.arange(part.num_rows))
 
+    def found(queries_: DataFrame, everything: bool) -> DataFrame:
         def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -166,7 +224,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                 for r in range(batch.num_rows):
                     dim = batch.column("dim")[r].as_py()
                     ids, qids = (np.asarray(batch.column(c)[r].values) for c in ("ids", "qids"))
-                    vs, qs = (np.asarray(batch.column(c)[r].values).reshape(-1, dim) for c in ("vs", "qs"))
+                    vs, qs = (np.asarray(batch.column(c)[r].values, dtype=np.float64).reshape(-1, dim) for c in ("vs", "qs"))
                     single = len(np.unique(ids)) == len(ids)
                     for q, x in zip(qids.tolist(), qs):
                         d, i = np.sqrt(((vs - x) ** 2).sum(axis=1)), ids
@@ -193,13 +251,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
             if held:
                 yield flush()
 
-        asks = queries_.mapInArrow(probes, "dim int, t int, bucket long, qids array<long>, qs array<double>")
-        near = asks.join(packed, ["dim", "t", "bucket"]).mapInArrow(rerank, "query_id long, vec_id long, score double")
+        schema = f"dim int, t int, bucket long, qids array<long>, qs {kind}"
+        if everything:
+            met = queries_.mapInArrow(blocks, schema).drop("t", "bucket").join(packed.filter("t = 0").drop("t", "bucket"), "dim")
+        else:
+            met = queries_.mapInArrow(probes, schema).join(packed, ["dim", "t", "bucket"])
+        near = met.select("dim", "ids", "vs", "qids", "qs").mapInArrow(rerank, "query_id long, vec_id long, score double")
         return near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
 
-    first = stash(found(asked, mass))
+    first = stash(found(asked, mass >= 1))
     short = stash(asked.join(first.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= k), "id", "left_anti"))
     if not short.isEmpty():
-        first = first.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(found(short, 1.0))
+        first = first.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(found(short, True))
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

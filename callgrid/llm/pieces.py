@@ -8,7 +8,8 @@ that joins two neighbouring symbols, leftmost on a tie, until no edge joins any:
 order. Characters without a piece become byte pieces. Decoding concatenates the pieces' bytes.
 
 Null and empty texts have no pieces; a null text decodes to null. The model's word mark itself (U+2581)
-reads as a space, so a text that holds it does not come back letter by letter.
+reads as a space, so a text that holds it does not come back letter by letter. A single word of many
+megabytes needs memory for its tables of edges: some hundred bytes a character.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from callgrid.llm.common import carried, quoted, range_hash, slices, text_buffer
 MARK = np.frombuffer("▁".encode(), np.uint8)
 NONE = np.int32(2**31 - 1)
 LONG_WORD = 96
-CACHE_WORDS = 1_000_000
+CACHE_WORDS, CHUNK_BYTES, SLICE_BYTES = 300_000, 1 << 17, 1 << 20
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -259,8 +260,13 @@ class Encoder:
         at = np.searchsorted(self.seen, unique)
         known = (at < len(self.seen)) & (self.seen[np.minimum(at, max(0, len(self.seen) - 1))] == unique) if len(self.seen) else np.zeros(len(unique), bool)
         fresh = np.flatnonzero(~known)
-        for lo in range(0, len(fresh), 1 << 16):
-            some = index[fresh[lo : lo + (1 << 16)]]
+        # words with so many bytes at a time, or one: the tables of edges take their size
+        reach = np.cumsum((stop - begin)[index[fresh]])
+        lo = 0
+        while lo < len(fresh):
+            hi = max(lo + 1, int(np.searchsorted(reach, (reach[lo - 1] if lo else 0) + CHUNK_BYTES, side="right")))
+            some = index[fresh[lo:hi]]
+            lo = hi
             lens = stop[some] - begin[some]
             ids, edges = self.model.encode_words(text[ragged(begin[some], lens)], np.concatenate([[0], np.cumsum(lens)]))
             self.seen = np.concatenate([self.seen, h[some]])
@@ -289,7 +295,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Model(path))
         for batch in batches:
-            for part in slices(batch, "_text", 4 << 20):
+            for part in slices(batch, "_text", SLICE_BYTES):
                 off, data = text_buffers(part.column("_text"))
                 ids, edges = encoder(off, data)
                 raw, back = encoder.model.decode(ids, edges)

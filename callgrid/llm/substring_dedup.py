@@ -4,7 +4,8 @@ Words are hashed; of the k-word grams in each window of `length` words the small
 a tie, is the window's anchor (winnowing), so equal windows share an anchor at the same place. Documents
 meet on anchors that occur twice or more. Each anchor occurrence is extended both ways over all windows
 that it anchors: occurrences with equal extensions are copies of the first of them; where extensions
-differ, the first of each kind is compared window by window. What is covered by a window that starts
+differ, the first of each kind is compared window by window. Words count as equal by 128 bits of their
+own, extensions and windows by two unlike 64-bit hashes of these; no text is sent to be compared. What is covered by a window that starts
 earlier elsewhere (smaller identifier, or earlier in the same document) makes up the maximal repeats,
 and is removed.
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgrid.llm.common import _BASE, grams, mix, order_id, range_hash, signed, slices, stash, text_buffers, text_of, words
+from callgrid.llm.common import grams, ink_digests, mix, order_id, range_hash, signed, slices, stash, text_buffers, text_of, tree_hash, words
 
 LENGTH, GRAM = 20, 6
 
@@ -43,20 +44,21 @@ def rightmost_min(v: np.ndarray, width: int) -> np.ndarray:
     return at[:n]
 
 
-def anchored_runs(first_word: np.ndarray, wh: np.ndarray, length: int, k: int):
+def anchored_runs(first_word: np.ndarray, wh: np.ndarray, other: np.ndarray, length: int, k: int):
     """Runs of windows with one anchor: text number, first window, number of windows, anchor, anchor
-    hash, hash of the whole stretch; and each window's run and hash function."""
+    hash, and two hashes of the whole stretch."""
     none = np.zeros(0, np.int64)
+    nothing = (none, none, none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64))
     n = len(wh) - length + 1
     if n <= 0:
-        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return nothing
     g = grams(wh, k)
     anchor = rightmost_min(g, length - k + 1)[:n]
     doc = np.searchsorted(first_word, np.arange(n), side="right") - 1
     ok = np.arange(n) + length <= first_word[doc + 1]
     i = np.flatnonzero(ok)
     if not len(i):
-        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return nothing
     d, a = doc[i], anchor[i]
     new = np.empty(len(i), dtype=bool)
     new[0] = True
@@ -66,13 +68,14 @@ def anchored_runs(first_word: np.ndarray, wh: np.ndarray, length: int, k: int):
     w0, a0 = i[s], a[s]
     with np.errstate(over="ignore"):
         span = mix(range_hash(wh, w0, w0 + count + length - 1) + (a0 - w0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + count.astype(np.uint64))
-    return d[s], w0, count, a0, g[a0], span
+    return d[s], w0, count, a0, g[a0], span, tree_hash(other, w0, count + length - 1)
 
 
-def word_hashes(part: pa.RecordBatch, col: str):
+def word_hashes(part: pa.RecordBatch, col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of every word, and the number of each text's first word."""
     off, data = text_buffers(part.column(col))
     starts, ends, first = words(off, data)
-    return range_hash(data, starts, ends), first, starts, ends, off, data
+    return *ink_digests(data, starts, ends), first
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -89,18 +92,19 @@ def repeats(keyed: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                wh, first, *_ = word_hashes(part, "_text")
-                d, w0, n, _, h, span = anchored_runs(first, wh, length, k)
+                wh, other, first = word_hashes(part, "_text")
+                d, w0, n, _, h, span, second = anchored_runs(first, wh, other, length, k)
                 take = pa.array(d)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(signed(span)), part.column("_id").take(take), part.column("_th").take(take), pa.array((w0 - first[d]).astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "span", "_id", "_th", "pos", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(signed(span)), pa.array(signed(second)), part.column("_id").take(take), part.column("_th").take(take), pa.array((w0 - first[d]).astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "span", "second", "_id", "_th", "pos", "n"])
 
-    found = keyed.select("_id", "_th", "_text").mapInArrow(anchors, "h long, span long, _id long, _th long, pos int, n int")
+    found = keyed.select("_id", "_th", "_text").mapInArrow(anchors, "h long, span long, second long, _id long, _th long, pos int, n int")
     shared = found.groupBy("h").agg(F.min("span").alias("lo"), F.max("span").alias("hi"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", (F.col("lo") != F.col("hi")).alias("many"))
-    seeds = stash(found.join(shared, "h"))
+    # from a table of its own, so that a join with a hot anchor can be cut
+    seeds = stash(found.join(stash(shared), "h"))
     place = F.struct("_id", "_th", "pos")
-    # the span's hash covers anchor and length, so it is the only key, and its first has the length
-    firsts = seeds.groupBy("span").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("many").alias("many"))
-    copies = seeds.drop("h", "n", "many").join(firsts.drop("many"), "span").filter(place > F.col("first")).select("_id", "_th", F.col("pos").alias("s"), (F.col("pos") + F.col("n") + length - 1).alias("e"))
+    # the span's hashes cover anchor and length, so they are the only key, and its first has the length
+    firsts = seeds.groupBy("span", "second").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("many").alias("many"))
+    copies = seeds.drop("h", "n", "many").join(firsts.drop("many"), ["span", "second"]).filter(place > F.col("first")).select("_id", "_th", F.col("pos").alias("s"), (F.col("pos") + F.col("n") + length - 1).alias("e"))
 
     # where one anchor has several extensions, the first of each is compared window by window
     kinds = firsts.filter("many").select("first.*", "n").groupBy("_id", "_th").agg(F.collect_list(F.struct("pos", "n")).alias("at"))
@@ -110,8 +114,8 @@ def repeats(keyed: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                wh, first, *_ = word_hashes(part, "_text")
-                d, w0, n, a, h, _ = anchored_runs(first, wh, length, k)
+                wh, other, first = word_hashes(part, "_text")
+                d, w0, n, *_ = anchored_runs(first, wh, other, length, k)
                 lists = part.column("_pos")
                 docs_of = np.repeat(np.arange(part.num_rows), pc_lengths(lists))
                 wanted = first[docs_of] + np.asarray(lists.flatten())
@@ -119,13 +123,11 @@ def repeats(keyed: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
                 each = np.repeat(run, n[run])
                 w = w0[each] + np.arange(len(each)) - np.repeat(np.cumsum(n[run]) - n[run], n[run])
                 take = pa.array(d[each])
-                with np.errstate(over="ignore"):
-                    key = mix(h[each] + (a[each] - w).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(range_hash(wh, w, w + length))), part.column("_id").take(take), part.column("_th").take(take), pa.array((w - first[d[each]]).astype(np.int32))], ["h", "w", "_id", "_th", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(range_hash(wh, w, w + length))), pa.array(signed(tree_hash(other, w, np.full(len(w), length)))), part.column("_id").take(take), part.column("_th").take(take), pa.array((w - first[d[each]]).astype(np.int32))], ["w", "second", "_id", "_th", "pos"])
 
-    each = at_text.mapInArrow(windows, "h long, w long, _id long, _th long, pos int")
-    earliest = each.groupBy("h", "w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    later = each.join(earliest, ["h", "w"]).filter(place > F.col("first")).select("_id", "_th", F.col("pos").alias("s"), (F.col("pos") + length).alias("e"))
+    each = at_text.mapInArrow(windows, "w long, second long, _id long, _th long, pos int")
+    earliest = each.groupBy("w", "second").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    later = each.join(earliest, ["w", "second"]).filter(place > F.col("first")).select("_id", "_th", F.col("pos").alias("s"), (F.col("pos") + length).alias("e"))
     return copies.unionByName(later)
 
 
