@@ -7,7 +7,8 @@ mean, and its spread, come from sample vectors and their neighbours, scaled by t
 to them. The product over the functions is the estimated success of a bucket. A query visits the home
 bucket and perturbed ones in order of that estimate, found without listing the buckets there are, until
 the estimates add up to `mass`. Candidates of all tables are merged and reranked by their exact distance
-in double precision. Queries that found fewer than k are held against all rows, in blocks.
+in double precision. Queries that found fewer than k, and those whose neighbours may lie in
+more than MOST_PROBES buckets, are held against all rows, in blocks.
 
 Of vectors without structure (64 independent components), the 10 nearest are hardly nearer than the
 rest, and no hashing tells them apart well: there, half of the rows are compared for a recall of 0.9.
@@ -34,7 +35,7 @@ from pyspark.sql import Window
 
 from callgrid.llm.common import mix, signed, stash
 
-CHUNK_VALUES, QUERY_BATCH, HELD, SALTS = 1 << 18, 256, 20_000, 64
+CHUNK_VALUES, QUERY_BATCH, HELD, SALTS, MOST_PROBES = 1 << 18, 256, 20_000, 64, 1 << 17
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -63,7 +64,7 @@ class Geometry:
         placed = (sample - self.mean) @ self.a
         spread = placed.std(axis=1) if len(sample) > 1 else np.ones((tables, functions))
         self.width = np.maximum(width * spread, 1e-12)
-        self.shift = rng.uniform(0, 1, (tables, functions)) * self.width
+        offset = rng.uniform(0, 1, (tables, functions))
         # how a neighbour's projection follows a vector's: slope and spread
         self.slope, self.spread, self.usual = 1.0, 1.0, 1.0
         if len(sample) > 2:
@@ -74,6 +75,9 @@ class Geometry:
             self.slope = float((x * y).sum() / max((x * x).sum(), 1e-12))
             self.usual = float(np.sqrt(np.maximum(d2[np.arange(len(some)), at], 1e-12)).mean())
             self.spread = max(float((y - self.slope * x).std()), 1e-9)
+        # cells narrower than a neighbour's spread would only be more buckets to visit
+        self.width = np.maximum(self.width, self.spread if len(sample) > 2 else 1e-12)
+        self.shift = offset * self.width
 
     def reach(self, x: np.ndarray) -> np.ndarray:
         """Each query's estimated distance of a k-th neighbour: that of its `near`-th sample vector."""
@@ -90,7 +94,8 @@ class Geometry:
         return named(np.floor((self.place(x) + self.shift[:, None]) / self.width[:, None]).astype(np.int64))
 
     def probes(self, x: np.ndarray, table: int, mass: float) -> Iterator[np.ndarray]:
-        """For each query its buckets in order of estimated success, up to the mass."""
+        """For each query its buckets in order of estimated success, up to the mass; none where that
+        would be more than MOST_PROBES."""
         at = self.place(x)[table]
         centre, spread = self.slope * at, self.spread * self.reach(x)[:, None] / self.usual * np.ones(at.shape)
         for q in range(len(x)):
@@ -110,14 +115,22 @@ class Geometry:
             while True:
                 cost, picks = np.zeros(1), np.zeros((1, 0), np.int64)
                 for odd, cell in zip(odds, cells):
+                    if len(cost) * len(odd) > 8 * MOST_PROBES:
+                        cost = np.zeros(0)
+                        break
                     sums = cost[:, None] + odd[None]
                     i, k = np.nonzero(sums <= limit)
                     cost, picks = sums[i, k], np.column_stack([picks[i], cell[k]])
+                if not 0 < len(cost) <= MOST_PROBES:
+                    break
                 success = np.exp(best - cost)
                 # the tails that were left out of the cells are all that can be missing
                 if success.sum() >= mass or (len(cost) == reached and limit > 40):
                     break
                 reached, limit = len(cost), limit + 1.5
+            if not 0 < len(cost) <= MOST_PROBES:
+                yield np.zeros(0, np.int64)
+                continue
             order = np.argsort(cost, kind="stable")
             taken = np.searchsorted(np.cumsum(success[order]), mass) + 1
             yield np.unique(named(picks[order[:taken]]))
@@ -170,8 +183,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
 
     # repeated rows go first: copies are counted over identifiers, and of a common vector in shares first
     kept = base.dropDuplicates(["id", "v"]).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    for of in (["v", "_salt"], ["v"]):
-        kept = kept.withColumn("_copy", F.row_number().over(Window.partitionBy(*of).orderBy("id"))).filter(F.col("_copy") <= k + 1).drop("_copy")
+    for by in (["v", "_salt"], ["v"]):
+        kept = kept.withColumn("_copy", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).filter(F.col("_copy") <= k + 1).drop("_copy")
     index = stash(kept.drop("_salt").mapInArrow(hashed, f"dim int, t int, bucket long, id long, v {kind}"))
     sizes = index.groupBy("dim", "t", "bucket").agg(F.count(F.lit(1)).alias("n"))
     chunks = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("dim") / CHUNK_VALUES))
@@ -192,7 +205,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                         visits = list(of(dim).probes(x, t, mass))
                         q, b = np.repeat(np.arange(len(visits)), [len(v) for v in visits]), np.concatenate(visits)
                         order = np.argsort(b, kind="stable")
-                        yield asking(part, dim, t, b[order], q[order])
+                        if len(b):
+                            yield asking(part, dim, t, b[order], q[order])
 
     def asking(part: pa.RecordBatch, dim: int, t: int, b: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
         """A row for each bucket (in order) with the numbers and vectors of the queries that visit it."""

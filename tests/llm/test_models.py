@@ -86,6 +86,27 @@ def test_neighbours_recall(spark):
         assert [found[k] for k in sorted(found)] == sorted(found.values())
 
 
+def test_few_rows_are_compared_where_vectors_have_structure():
+    """Vectors of six components in 64 dimensions, and clusters: the share of rows that a query meets."""
+    rng = np.random.default_rng(1)
+    plane = rng.standard_normal((20000, 6)) @ rng.standard_normal((6, 64))
+    clusters = rng.standard_normal((40, 64))[rng.integers(40, size=20000)] + 0.15 * rng.standard_normal((20000, 64))
+    for x, most in ((plane, 0.25), (clusters, 0.1)):
+        near, bits = math.ceil(10 * 2048 / len(x)) + 3, math.log2(math.sqrt(2 * math.pi * math.e) / 2)
+        g = neighbours.Geometry(64, x[:2048], near, 2, round(math.log2(len(x) / 64) / bits), 2.0, 11)
+        codes, asked = g.buckets(x), x[::200]
+        met = np.zeros((len(asked), len(x)), bool)
+        compared = 0
+        for t in range(2):
+            for q, visited in enumerate(g.probes(asked, t, 0.72)):
+                assert len(set(visited.tolist())) == len(visited)
+                hit = np.isin(codes[t], visited)
+                compared += hit.sum()
+                met[q] |= hit
+        want = [np.argsort(((x - q) ** 2).sum(axis=1))[:11] for q in asked]
+        assert compared / len(asked) / len(x) < most and np.mean([m[w].mean() for m, w in zip(met, want)]) >= 0.9
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (8, []), (9, [1.0, 2.0, 3.0]), (2, [0.0, 1.0])]
@@ -138,6 +159,19 @@ def test_token_counts_match_the_library(spark, docs, odd, odd_rows):
         assert got.filter("over_limit <> (n_tokens > 2048)").count() == 0
 
 
+def water_fill(sizes, weights, total, most):
+    """Targets by weight, none above `most` times its size, by filling one source after another."""
+    out, open_, left = [0.0] * len(sizes), set(range(len(sizes))), float(total)
+    while open_:
+        level = left / sum(weights[i] for i in open_)
+        full = {i for i in open_ if level * weights[i] >= most * sizes[i]}
+        for i in full or open_:
+            out[i] = most * sizes[i] if full else level * weights[i]
+        left -= sum(out[i] for i in full)
+        open_ -= full or open_
+    return out
+
+
 def test_mix_meets_its_targets(spark, docs):
     plan = queries.op1_mix_sources(spark, SF).collect()
     again = queries.op1_mix_sources(spark, SF).collect()
@@ -149,7 +183,7 @@ def test_mix_meets_its_targets(spark, docs):
         assert r["size"] == n and r["taken"] <= 3 * n
         sizes[s], taken[s], target[s] = sizes.get(s, 0) + n, taken.get(s, 0) + r["taken"], r["target"]
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    want = mixing.water_fill([sizes[s] for s in names], [1 + i % 3 for i in range(len(names))], sum(sizes.values()), 3)
+    want = water_fill([sizes[s] for s in names], [1 + i % 3 for i in range(len(names))], sum(sizes.values()), 3)
     assert [target[s] for s in names] == pytest.approx(want)
     # whole documents: no choice of one more or one less comes closer than half the largest one
     most = {s: max(r["size"] for r in plan if source[r["doc_id"]][0] == s) for s in names}
@@ -157,10 +191,53 @@ def test_mix_meets_its_targets(spark, docs):
     assert all(r["source_size"] == sizes[source[r["doc_id"]][0]] for r in plan)
 
 
-def test_water_fill_reshares_what_is_above():
-    assert mixing.water_fill([10, 1000], [1, 1], 1010, 3) == pytest.approx([30, 980])
-    assert mixing.water_fill([0, 10], [1, 2], 10, 3) == pytest.approx([0, 10])
-    assert mixing.water_fill([], [], 0, 3) == []
+@pytest.mark.parametrize("sizes", [[10, 1000], [0, 10], [5], [7, 7, 7], [1, 1, 1, 400, 2, 30, 0], []])
+def test_targets_reshare_what_is_above(spark, sizes):
+    named = spark.createDataFrame([(f"s{i:03}" if i else None, n, 1) for i, n in enumerate(sizes)], "_source string, size long, n long")
+    order = list(range(1, len(sizes))) + [0][: len(sizes)]  # null last
+    got = {r["_source"]: r["_target"] for r in mixing.targets(named, mixing.cycle_weights, 1.0, 3.0).collect()}
+    want = water_fill([sizes[i] for i in order], [1 + i % 3 for i in range(len(order))], sum(sizes), 3)
+    assert [got[f"s{i:03}" if i else None] for i in order] == pytest.approx(want)
+
+
+@pytest.fixture(scope="module")
+def sourced(spark):
+    """40 sources of 50 documents, some of them alike but for an extra column."""
+    return spark.range(2000).selectExpr("id doc_id", "repeat('w ', cast(1 + id * 7 % 23 as int)) text", "'en' lang", "concat('s', id % 40) source", "id % 3 n_chars").unionByName(spark.sql("select 5000L doc_id, 'a b' text, 'en' lang, 's1' source, x n_chars from values (1L), (2L), (2L) t(x)"))
+
+
+def test_mix_takes_what_the_shards_draw(sourced, monkeypatch):
+    small = {"words_per_shard": 500, "tree_columns": 7}
+    one, other = ({r["doc_id"]: len(r["_places"]) for r in mixing.plan_mix(sourced, seed=s, **small).collect()} for s in (1, 2))
+    assert one.keys() == other.keys() and sum(one[i] != other[i] for i in one) > 200
+    for seed in (1, 2):
+        rows = mixing.plan_mix(sourced, seed=seed, **small).selectExpr("_source_size", "_target", "_size * size(_places) taken", "_places").collect()
+        assert len({p["shard"] for r in rows for p in r["_places"]}) > 20
+        by = {}
+        for r in rows:
+            by[r["_target"], r["_source_size"]] = by.get((r["_target"], r["_source_size"]), 0) + r["taken"]
+        assert sum(by.values()) == pytest.approx(sum(r["_source_size"] / 50 for r in rows), rel=0.05)
+    # draws that are not made are documents that are not taken
+    whole = mixing.draws
+    monkeypatch.setattr(mixing, "draws", lambda *a: whole(*a).filter("shard % 2 = 0"))
+    half = sum(len(r["_places"]) for r in mixing.plan_mix(sourced, seed=1, **small).collect())
+    assert 0.3 * sum(one.values()) < half < 0.7 * sum(one.values())
+
+
+def test_mix_keeps_rows_that_differ_in_other_columns(sourced):
+    few = sourced.filter("source in ('s1', 's2') and doc_id >= 1900 or doc_id = 5000")
+    plan = mixing.plan_mix(few, max_repeats=9.0, total_share=2.0)
+    times = plan.filter("doc_id = 5000").selectExpr("sum(size(_places)) n").first()["n"]
+    mixed = mixing.mix(few, max_repeats=9.0, total_share=2.0).filter("doc_id = 5000").groupBy("n_chars").count().collect()
+    assert {r["n_chars"] for r in mixed} == {1, 2} and sum(r["count"] for r in mixed) == times
+
+
+def test_permuted_is_a_permutation():
+    for n in (1, 2, 3, 17, 1000):
+        for key in (1, 99):
+            got = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, key))
+            assert sorted(got) == list(range(n))
+    assert (mixing.permuted(np.arange(1000), np.full(1000, 1000), np.full(1000, 1)) != np.arange(1000)).mean() > 0.9
 
 
 def test_shards_share_out_all_blocks():
