@@ -21,10 +21,10 @@ def csv_cell(c: Column) -> Column:
     return F.when(F.regexp_replace(c, r"(?U)^\s+", "").rlike(r"^[=+\-@]"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
-def iso_utc(ts: Column) -> Column:
-    """ISO 8601 with +00:00; microseconds only where there are some. The session's time zone is UTC."""
+def iso_utc(ts: Column, zone: str = "+00:00") -> Column:
+    """ISO 8601 with +00:00, or Z; microseconds only where there are some. The session's time zone is UTC."""
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    return F.concat(F.when(F.date_format(ts, "SSSSSS") == "000000", whole).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")), F.lit("+00:00"))
+    return F.concat(F.when(F.date_format(ts, "SSSSSS") == "000000", whole).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")), F.lit(zone))
 
 
 def age(seconds: Column) -> Column:

@@ -22,12 +22,19 @@ def newest_n(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFram
 def current_audits(calls: DataFrame, audits: DataFrame) -> DataFrame:
     """Calls with their newest audit, where that audit is of the call's own transcript revision. A newest
     audit of an older transcript takes the call out."""
-    top = newest(audits, ["call_id"], F.desc("revision")).withColumnRenamed("transcript_revision", "_audited")
+    # only audits of the calls asked for are ranked
+    seen = audits.join(calls.select("call_id"), "call_id", "left_semi")
+    own = [c for c in audits.columns if c != "call_id"]
+    top = seen.groupBy("call_id").agg(F.max_by(F.struct(*own), "revision").alias("_top")).select("call_id", *[F.col(f"_top.{c}").alias("_audited" if c == "transcript_revision" else c) for c in own])
     return calls.join(top, "call_id").filter(F.col("_audited") == F.col("transcript_revision")).drop("_audited")
 
 
-def latest_reviews(reviews: DataFrame) -> DataFrame:
-    return newest(reviews, ["audit_id"], F.desc("version"))
+def latest_reviews(reviews: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """The newest review of each audit; with calls, only of theirs."""
+    seen = reviews if calls is None else reviews.join(calls.select("call_id"), "call_id", "left_semi")
+    own = [c for c in reviews.columns if c != "audit_id"]
+    top = seen.groupBy("audit_id").agg(F.max_by(F.struct(*own), "version").alias("_top"))
+    return top.select("audit_id", "_top.*")
 
 
 def next_revision(existing: DataFrame, batch: DataFrame, keys: list[str], *order: str) -> DataFrame:

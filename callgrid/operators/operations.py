@@ -12,6 +12,7 @@ from callgrid.operators.scope import Scope, scoped
 # fixed values: seconds of the longest age shown, idle and drain limits, feed and history sizes
 MAX_AGE_S, STALE_S, IDLE_S, DRAIN_S, RECENT_S, HISTORY, MAX_BATCH = 31_536_000, 45, 90, 7_260, 900, 10_000, 100
 MAX_ATTEMPTS = 3
+RANGES = 64
 
 
 def summary(calls: DataFrame, jobs: DataFrame, as_of_us: int) -> DataFrame:
@@ -37,9 +38,10 @@ def exhausted(jobs: DataFrame, calls: DataFrame, as_of_us: int) -> DataFrame:
     return calls.join(gone.select("call_id").distinct(), "call_id", "left_semi")
 
 
-def retention_due(calls: DataFrame, as_of: Column, limit: int | None = 100) -> DataFrame:
-    """Calls without a hold whose retention ends, oldest first."""
-    rows = calls.filter(~F.coalesce("legal_hold", F.lit(False)) & (F.col("retention_expires_at") <= as_of)).orderBy("retention_expires_at", "call_id")
+def retention_due(calls: DataFrame, as_of: Column, limit: int | None = 100, organisation_id: str | None = None) -> DataFrame:
+    """Calls without a hold whose retention ends, of one tenant or all, oldest first."""
+    own = calls if organisation_id is None else calls.filter(F.col("organisation_id") == organisation_id)
+    rows = own.filter(~F.coalesce("legal_hold", F.lit(False)) & (F.col("retention_expires_at") <= as_of)).orderBy("retention_expires_at", "call_id")
     return rows if limit is None else rows.limit(limit)
 
 
@@ -73,6 +75,9 @@ def replayed(events: DataFrame) -> DataFrame:
     """Final state of each session from its events (session_id, us, event_id, to_state); moves that the life
     cycle does not allow change nothing."""
     step = F.struct("us", "event_id", "to_state")
+    every = events.select("session_id").distinct()
+    # an event that no move leads to changes nothing, so it is not gathered
+    events = events.filter(F.col("to_state").isin("DRAINING", "ENDED", "INCOMPLETE"))
     moves = {"LIVE": ("DRAINING", "INCOMPLETE"), "DRAINING": ("ENDED", "INCOMPLETE")}
 
     def move(state: Column, e: Column) -> Column:
@@ -82,7 +87,8 @@ def replayed(events: DataFrame) -> DataFrame:
         return F.when(allowed, e["to_state"]).otherwise(state)
 
     by = events.groupBy("session_id").agg(F.array_sort(F.collect_list(step)).alias("e"))
-    return by.select("session_id", F.aggregate("e", F.lit("LIVE"), move).alias("state"))
+    ends = by.select("session_id", F.aggregate("e", F.lit("LIVE"), move).alias("state"))
+    return every.join(ends, "session_id", "left").select("session_id", F.coalesce("state", F.lit("LIVE")).alias("state"))
 
 
 def feed(log: DataFrame, scope: Scope, after: int, limit: int = MAX_BATCH) -> DataFrame:
@@ -104,10 +110,17 @@ def trimmed(log: DataFrame, keep: int = HISTORY) -> DataFrame:
 
 
 def appended(log: DataFrame, batch: DataFrame, *order: str) -> DataFrame:
-    """A batch with the sequence numbers that follow each tenant's last."""
+    """A batch with the sequence numbers that follow each tenant's last. The first order column is a number."""
     last = log.groupBy("organisation_id").agg(F.max("sequence").alias("_last"))
-    at = F.row_number().over(Window.partitionBy("organisation_id").orderBy(*order))
-    return batch.join(last, "organisation_id", "left").withColumn("sequence", (F.coalesce("_last", F.lit(0)) + at).cast("long")).drop("_last")
+    # a tenant's events lie in ranges of the first order column, between quantiles of the batch; a row's
+    # number is its place in its range and the number of rows in the ranges before
+    at = F.col(order[0]).cast("double")
+    bounds = batch.agg(F.percentile_approx(at, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])).alias("_bounds"))
+    dealt = batch.join(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= at))).drop("_bounds")  # one row
+    sizes = dealt.groupBy("organisation_id", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("organisation_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("organisation_id", "_range").orderBy(*order))).join(sizes.select("organisation_id", "_range", before.alias("_before")), ["organisation_id", "_range"])
+    return placed.join(last, "organisation_id", "left").withColumn("sequence", (F.coalesce("_last", F.lit(0)) + F.col("_before") + F.col("_at")).cast("long")).drop("_last", "_before", "_at", "_range")
 
 
 def gaps(frames: DataFrame) -> DataFrame:
@@ -140,6 +153,11 @@ def inserted(existing: DataFrame, batch: DataFrame, keys: list[str], payload: st
     return rows.withColumn("outcome", F.when(F.col("_there").isNull(), "NEW").when(F.col("_there").eqNullSafe(F.col(payload)), "SAME").otherwise("CONFLICT")).drop("_there")
 
 
+def new_ids(existing: DataFrame, batch: DataFrame, id_col: str, by: str) -> DataFrame:
+    """How many identifiers of a batch are not there yet, by a column of the batch: n_new."""
+    return batch.join(existing.select(id_col), id_col, "left_anti").groupBy(by).agg(F.countDistinct(id_col).alias("n_new"))
+
+
 def upserted(existing: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """The table after a batch: rows of the batch win over those present."""
     both = existing.withColumn("_from", F.lit(0)).unionByName(batch.withColumn("_from", F.lit(1)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,9 @@ def team_report(calls: DataFrame, audits: DataFrame, reviews: DataFrame, scope:
     """Machine and reviewed scores by team, rubric and model; groups of fewer than MIN_AGENTS agents show
     no figures."""
     require(scope, "TEAM_LEADER")
-    rows = current_audits(scoped(calls, scope).filter(alive()).filter(between("created_at", start, end, MAX_REPORT_DAYS)), audits)
-    rows = rows.join(latest_reviews(reviews).select("audit_id", "effective_score", "effective_decision"), "audit_id", "left")
+    seen = scoped(calls, scope).filter(alive()).filter(between("created_at", start, end, MAX_REPORT_DAYS))
+    rows = current_audits(seen, audits)
+    rows = rows.join(latest_reviews(reviews, seen).select("audit_id", "effective_score", "effective_decision"), "audit_id", "left")
     average = lambda c: F.round(F.avg(F.col(c).cast("double")), 6)
     figures = {
         "distinct_agents": F.countDistinct("agent_id"),
@@ -45,23 +47,54 @@ def review_queue(calls: DataFrame, audits: DataFrame, reviews: DataFrame, scope:
     require(scope, "QA_ANALYST", "ADMIN")
     if not 1 <= limit <= 100:
         raise ValueError("the limit is 1 to 100")
-    settled = latest_reviews(reviews).filter("effective_decision <> 'NEEDS_REVIEW'").select("audit_id")
+    seen = scoped(calls, scope).filter(alive())
+    settled = latest_reviews(reviews, seen).filter("effective_decision <> 'NEEDS_REVIEW'").select("audit_id")
     urgency = F.when(F.col("decision") == "NEEDS_REVIEW", 0).when(F.col("decision") == "FAIL", 1).otherwise(2)
-    rows = current_audits(scoped(calls, scope).filter(alive()), audits).join(settled, "audit_id", "left_anti")
+    rows = current_audits(seen, audits).join(settled, "audit_id", "left_anti")
     return rows.orderBy(urgency, F.desc("created_at"), "audit_id").limit(limit)
 
 
 def own_scores(calls: DataFrame, audits: DataFrame, reviews: DataFrame, scope: Scope, limit: int = MAX_OWN_ROWS) -> DataFrame:
     """An agent's current audits whose latest review confirms or changes the score."""
     require(scope, "AGENT")
-    final = latest_reviews(reviews).filter("effective_score is not null and action in ('ACCEPT', 'OVERRIDE')").drop("call_id")
-    rows = current_audits(scoped(calls, scope).filter(alive()), audits).join(final, "audit_id")
+    seen = scoped(calls, scope).filter(alive())
+    final = latest_reviews(reviews, seen).filter("effective_score is not null and action in ('ACCEPT', 'OVERRIDE')").drop("call_id")
+    rows = current_audits(seen, audits).join(final, "audit_id")
     return rows.orderBy(F.desc("created_at"), "audit_id").limit(limit)
 
 
-def checklist(dimensions: str, reviewed: str) -> Column:
-    """Scored dimensions beside the reviewed score of the same dimension."""
-    return F.transform(dimensions, lambda d: F.struct(d["id"].alias("id"), d["status"].alias("status"), d["score"].alias("machine_score"), F.try_element_at(F.col(reviewed), d["id"]).alias("reviewed_score"), d["reason"].alias("reason")))
+def checklist(dimensions: str, reviewed: str, redact=lambda c: c) -> Column:
+    """Scored dimensions beside the reviewed score of the same dimension, reasons redacted. redact works
+    on columns of texts; one in Python is applied to the joined rows of arrays before."""
+    return F.transform(dimensions, lambda d: F.struct(d["id"].alias("id"), d["status"].alias("status"), d["score"].alias("machine_score"), F.try_element_at(F.col(reviewed), d["id"]).alias("reviewed_score"), redact(F.coalesce(d["reason"], F.lit(""))).alias("reason")))
+
+
+def coaching_notes(narrative: str, highlights: str, improvements: str, review: str, redact=lambda c: c) -> Column:
+    """Notes that are not empty, in order: the coaching text, highlights, improvements, the human review.
+    All but the review are arrays or structs with a field `text`."""
+    note = lambda kind, source, t: F.struct(F.lit(kind).alias("kind"), F.lit(source).alias("source"), t.alias("text"))
+    many = lambda kind, c: F.transform(F.coalesce(c, F.array().cast("array<struct<text:string>>")), lambda n: note(kind, "machine_audit", n["text"]))
+    every = F.concat(F.array(note("coaching", "machine_audit", F.col(narrative)["text"])), many("highlight", F.col(highlights)), many("improvement", F.col(improvements)), F.array(note("human_review", "latest_review", F.col(review))))
+    told = F.filter(every, lambda n: F.coalesce(n["text"], F.lit("")) != "")
+    return F.transform(told, lambda n: F.struct(n["kind"].alias("kind"), n["source"].alias("source"), redact(n["text"]).alias("text")))
+
+
+def with_notes(rows: DataFrame, redact_text=None) -> DataFrame:
+    """Own scores with a checklist and coaching notes from the columns dimensions, reviewed_scores, coaching_narrative,
+    highlights, improvement_areas and note. redact_text: a plain function of a text, run over all notes of a
+    batch at once; anything that it raises fails the query."""
+    rows = rows.withColumns({"checklist": checklist("dimensions", "reviewed_scores"), "notes": coaching_notes("coaching_narrative", "highlights", "improvement_areas", "note")})
+    if redact_text is None:
+        return rows
+
+    @F.pandas_udf("array<string>")
+    def safe(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda texts: [redact_text(t) for t in texts])
+
+    put = lambda c, field, by: F.transform(c, lambda x, i: x.withField(field, by[i]))
+    rows = rows.withColumn("_safe", safe(F.concat(F.col("checklist.reason"), F.col("notes.text"))))
+    n = F.size("checklist")
+    return rows.withColumns({"checklist": put(F.col("checklist"), "reason", F.slice("_safe", F.lit(1), n)), "notes": put(F.col("notes"), "text", F.slice("_safe", n + 1, F.size("notes")))}).drop("_safe")
 
 
 def findings_export(calls: DataFrame, findings: DataFrame, scope: Scope, start: datetime, end: datetime, redact=lambda c: c, limit: int = MAX_EXPORT_ROWS) -> DataFrame:

@@ -26,18 +26,12 @@ def hold_overlap(spark, sf_dir):
 
 @query(
     "hold_deadline",
-    f"""with recursive {_MERGED}, o as (select *, row_number() over (partition by call_id order by start_ms) i from merged where call_id % 3 = 0),
+    f"""with recursive {_MERGED}, o as (select *, row_number() over (partition by call_id order by start_ms) i from merged),
       w as (select call_id, 0::bigint i, (call_id * 100 + 30000)::bigint at_ from (select distinct call_id from o) x
         union all select w.call_id, w.i + 1, case when o.start_ms < w.at_ then case when o.end_ms > w.call_id * 100 then w.at_ + o.end_ms - greatest(o.start_ms, w.call_id * 100) else w.at_ end else w.at_ end from w join o on o.call_id = w.call_id and o.i = w.i + 1)
       select call_id, max(at_) deadline_ms from w group by 1""",
 )
 def hold_deadline(spark, sf_dir):
-    return hold_deadlines(spark, sf_dir).filter("call_id % 3 = 0")
-
-
-@query("hold_deadlines")
-def hold_deadlines(spark, sf_dir):
-    """The deadlines of all calls; ``hold_deadline`` and its SQL take a third of them."""
     by = view(spark, sf_dir, "v_intervals").groupBy("call_id").agg(F.collect_list(F.struct("start_ms", "end_ms")).alias("h"))
     return by.select("call_id", intervals.paused_deadline(F.col("call_id") * 100, F.lit(30000), intervals.merged_array(F.col("h"))).alias("deadline_ms"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from callgrid.operators import latest, operations
+from callgrid.operators import intake, latest, operations
 from callgrid.operators.scope import Scope
 from callgrid.plans.catalog import query
 from callgrid.sources.derived import view
@@ -40,9 +40,9 @@ def event_feed(spark, sf_dir):
     return operations.feed(view(spark, sf_dir, "v_log"), LEADER, 40).select("sequence", "call_id", "event_type")
 
 
-@query("feed_cursors", "with t as (select * from (select *, row_number() over (partition by organisation_id order by sequence desc) r from v_log) x where r <= 100), s as (select organisation_id, max(sequence) hi, min(sequence) lo from t group by 1), c as (select organisation_id, unnest([0::bigint, 50, hi - 5, hi, hi + 1]) as cursor from s) select c.organisation_id, c.cursor, case when c.cursor > hi then 'AHEAD' when c.cursor < lo - 1 then 'EXPIRED' else 'OK' end state from c join s on s.organisation_id = c.organisation_id")
+@query("feed_cursors", "with t as (select * from (select *, row_number() over (partition by organisation_id order by sequence desc) r from v_log) x where r <= 10000), s as (select organisation_id, max(sequence) hi, min(sequence) lo from t group by 1), c as (select organisation_id, unnest([0::bigint, 50, hi - 5, hi, hi + 1]) as cursor from s) select c.organisation_id, c.cursor, case when c.cursor > hi then 'AHEAD' when c.cursor < lo - 1 then 'EXPIRED' else 'OK' end state from c join s on s.organisation_id = c.organisation_id")
 def feed_cursors(spark, sf_dir):
-    kept = operations.trimmed(view(spark, sf_dir, "v_log"), 100)
+    kept = operations.trimmed(view(spark, sf_dir, "v_log"))
     top = kept.groupBy("organisation_id").agg(F.max("sequence").alias("hi"))
     cursors = top.select("organisation_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(50).cast("long"), F.col("hi") - 5, F.col("hi"), F.col("hi") + 1)).alias("cursor"))
     return operations.cursor_states(cursors, kept)
@@ -92,23 +92,24 @@ def first_finals(spark, sf_dir):
     return operations.first_final(p.withColumnRenamed("event_type", "text")).select("id", "seq", "is_final")
 
 
-@query("live_utterances", f"select session_id, start_ms, event_id from (select user_id session_id, start_ms, event_id, row_number() over (partition by user_id order by start_ms desc, event_id desc) r from v_event_ms where us + 900000000 > {NOW - 86400000000}) x where r <= 50")
+@query("live_utterances", f"select session_id, start_ms, event_id from (select user_id session_id, start_ms, event_id, row_number() over (partition by user_id order by start_ms desc, event_id desc) r from v_event_ms where us + 900000000 > {NOW - 86400000000}) x where r <= 500")
 def live_utterances(spark, sf_dir):
-    """Rows that have not expired, the newest 50 of each session."""
+    """Rows that have not expired, the newest 500 of each session."""
     rows = view(spark, sf_dir, "v_event_ms").filter(F.col("us") + 900_000_000 > NOW - 86_400_000_000).withColumnRenamed("user_id", "session_id")
-    return latest.newest_n(rows, ["session_id"], 50, F.desc("start_ms"), F.desc("event_id")).select("session_id", "start_ms", "event_id")
+    return latest.newest_n(rows, ["session_id"], intake.MAX_LIVE_ROWS, F.desc("start_ms"), F.desc("event_id")).select("session_id", "start_ms", "event_id")
 
 
-@query("new_live_ids", "select user_id session_id, count(distinct event_id) n_new from v_event_ms e where event_id % 3 = 0 and not exists (select 1 from v_event_ms o where o.event_id = e.event_id and o.event_id % 2 = 0) group by 1")
+@query("new_live_ids", "select user_id session_id, count(distinct event_id) n_new from v_event_ms e where not exists (select 1 from v_event_ms o where o.event_id = e.event_id and o.event_type in ('view', 'click')) group by 1")
 def new_live_ids(spark, sf_dir):
+    """All events arrive; views and clicks are there already."""
     e = view(spark, sf_dir, "v_event_ms")
-    return e.filter("event_id % 3 = 0").join(e.filter("event_id % 2 = 0").select("event_id"), "event_id", "left_anti").groupBy(F.col("user_id").alias("session_id")).agg(F.countDistinct("event_id").alias("n_new"))
+    return operations.new_ids(e.filter("event_type in ('view', 'click')"), e, "event_id", "user_id").withColumnRenamed("user_id", "session_id")
 
 
-@query("activated_sessions", "with s as (select concat('org-', user_id % 3) organisation_id, user_id call_key, count(*) n, max(us) m from v_event_ms where event_type = 'view' group by 1, 2), x as (select organisation_id, session_id call_key, 5::bigint generation, updated_us from v_sessions where session_id % 2 = 0) select coalesce(s.organisation_id, x.organisation_id) organisation_id, coalesce(s.call_key, x.call_key) call_key, coalesce(generation, 0) + coalesce(n, 0) generation, coalesce(m, updated_us) updated_us from x full join s on s.organisation_id = x.organisation_id and s.call_key = x.call_key")
+@query("activated_sessions", "with s as (select concat('org-', user_id % 3) organisation_id, user_id call_key, count(*) n, max(us) m from v_event_ms where event_type = 'view' group by 1, 2), x as (select organisation_id, session_id call_key, 5::bigint generation, updated_us from v_sessions where state <> 'LIVE') select coalesce(s.organisation_id, x.organisation_id) organisation_id, coalesce(s.call_key, x.call_key) call_key, coalesce(generation, 0) + coalesce(n, 0) generation, coalesce(m, updated_us) updated_us from x full join s on s.organisation_id = x.organisation_id and s.call_key = x.call_key")
 def activated_sessions(spark, sf_dir):
     starts = view(spark, sf_dir, "v_event_ms").filter("event_type = 'view'").select(F.concat(F.lit("org-"), (F.col("user_id") % 3).cast("string")).alias("organisation_id"), F.col("user_id").alias("call_key"), "us")
-    there = view(spark, sf_dir, "v_sessions").filter("session_id % 2 = 0").select("organisation_id", F.col("session_id").alias("call_key"), F.lit(5).cast("long").alias("generation"), "updated_us")
+    there = view(spark, sf_dir, "v_sessions").filter("state <> 'LIVE'").select("organisation_id", F.col("session_id").alias("call_key"), F.lit(5).cast("long").alias("generation"), "updated_us")
     return operations.activated(there, starts)
 
 
@@ -120,10 +121,10 @@ def prepared_segments(spark, sf_dir):
     return operations.prepared_segments(rows)
 
 
-@query("orphan_files", "select c_custkey, 'file-' || c_custkey path from customer c where c_custkey % 10 <> 0 and not exists (select 1 from orders o where o.o_custkey = c.c_custkey)")
+@query("orphan_files", "select c_custkey, 'file-' || c_custkey path from customer c where c_custkey % 10 <> 0 and not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderstatus = 'P')")
 def orphan_files(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     old, now = F.to_timestamp(F.lit("2024-01-01 00:00:00")), F.to_timestamp(F.lit("2024-01-03 00:00:00"))
     listing = c.select("c_custkey", F.concat(F.lit("file-"), F.col("c_custkey").cast("string")).alias("path"), F.when(F.col("c_custkey") % 10 == 0, now).otherwise(old).alias("modified"))
-    used = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("file-"), F.col("o_custkey").cast("string")).alias("key"))
+    used = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderstatus = 'P'").select(F.concat(F.lit("file-"), F.col("o_custkey").cast("string")).alias("key"))
     return operations.orphans(listing, used, now).select("c_custkey", "path")

@@ -68,8 +68,10 @@ def review_queue_kpi(spark, sf_dir):
 )
 def own_scores(spark, sf_dir):
     calls = view(spark, sf_dir, "v_calls")
-    first = calls.filter("organisation_id = 'org-1'").agg(F.min("agent_id")).first()[0]
-    rows = reports.own_scores(calls, view(spark, sf_dir, "v_audits"), view(spark, sf_dir, "v_reviews"), Scope("org-1", first, "AGENT"))
+    # the tenant's first agent, as a table of one row
+    first = calls.filter("organisation_id = 'org-1'").agg(F.min("agent_id").alias("agent_id"))
+    mine = calls.join(first, "agent_id", "left_semi").withColumn("agent_id", F.lit("me"))
+    rows = reports.own_scores(mine, view(spark, sf_dir, "v_audits"), view(spark, sf_dir, "v_reviews"), Scope("org-1", "me", "AGENT"))
     return rows.select("call_id", "audit_id", _day("created_at").alias("created"), "revision", F.col("overall_score").cast("double").alias("machine_score"), "decision", "version", "action", F.col("effective_score").cast("double").alias("reviewed_score"), "effective_decision")
 
 
@@ -243,14 +245,35 @@ def version_status(spark, sf_dir):
     return operations.version_status(versions, active, view(spark, sf_dir, "v_config_events"))
 
 
-@query("idempotent_insert", "select b.call_id, b.revision, case when a.decision is null then 'NEW' when a.decision = b.decision then 'SAME' else 'CONFLICT' end outcome from (select call_id, revision, case when call_id % 3 = 0 then 'PASS' else decision end decision from v_audits where call_id % 2 = 0) b left join (select call_id, revision, decision from v_audits where call_id % 4 = 0) a on a.call_id = b.call_id and a.revision = b.revision")
+@query("idempotent_insert", "select b.call_id, b.revision, case when a.decision is null then 'NEW' when a.decision = b.decision then 'SAME' else 'CONFLICT' end outcome from (select call_id, revision, case when call_id % 3 = 0 then 'PASS' else decision end decision from v_audits) b left join (select call_id, revision, decision from v_audits where decision <> 'NEEDS_REVIEW') a on a.call_id = b.call_id and a.revision = b.revision")
 def idempotent_insert(spark, sf_dir):
+    """All audits arrive; those that were decided are there already."""
     a = view(spark, sf_dir, "v_audits").select("call_id", "revision", "decision")
-    batch = a.filter("call_id % 2 = 0").withColumn("decision", F.when(F.col("call_id") % 3 == 0, "PASS").otherwise(F.col("decision")))
-    return operations.inserted(a.filter("call_id % 4 = 0"), batch, ["call_id", "revision"], "decision").select("call_id", "revision", "outcome")
+    batch = a.withColumn("decision", F.when(F.col("call_id") % 3 == 0, "PASS").otherwise(F.col("decision")))
+    return operations.inserted(a.filter("decision <> 'NEEDS_REVIEW'"), batch, ["call_id", "revision"], "decision").select("call_id", "revision", "outcome")
 
 
 @query("findings_upsert", "select call_id, rule_id, case when call_id % 2 = 0 then 'RESOLVED' else status end status from v_findings where transcript_revision = 1")
 def findings_upsert(spark, sf_dir):
     f = view(spark, sf_dir, "v_findings").filter("transcript_revision = 1").select("call_id", "rule_id", "status")
     return operations.upserted(f, f.filter("call_id % 2 = 0").withColumn("status", F.lit("RESOLVED")), ["call_id", "rule_id"])
+
+
+@query(
+    "own_scores_notes",
+    f"""with {_CURRENT} select cur.audit_id, len(string_split(remarks, '|')) n_checklist, len(list_filter(string_split(remarks, '|'), lambda r: r = 'call [REDACTED] now')) n_redacted, case when version % 2 = 0 then 3 else 2 end n_notes, case when version % 2 = 0 then 'seen by [REDACTED]' end last_note
+      from (select *, case when audit_id % 3 = 0 then 'fine|call [REDACTED] now' else 'fine' end remarks from cur) cur join head on head.audit_id = cur.audit_id where organisation_id = 'org-1' and effective_score is not null and action in ('ACCEPT', 'OVERRIDE')""",
+)
+def own_scores_notes(spark, sf_dir):
+    """Settled scores of a tenant's calls with checklist and notes, redacted."""
+    from callgrid.operators import privacy
+
+    calls = view(spark, sf_dir, "v_calls").filter("organisation_id = 'org-1'").withColumn("agent_id", F.lit("me"))
+    rows = reports.own_scores(calls, view(spark, sf_dir, "v_audits"), view(spark, sf_dir, "v_reviews"), Scope("org-1", "me", "AGENT"), limit=2**31 - 1)
+    dimension = lambda i, reason: F.struct(F.lit(i).alias("id"), F.lit("SCORED").alias("status"), F.lit(4).alias("score"), F.lit(reason).alias("reason"))
+    text = lambda t: F.struct(F.lit(t).alias("text"))
+    both, one = F.array(dimension("greeting", "fine"), dimension("closing", "call 0151 2345 6789 now")), F.array(dimension("greeting", "fine"))
+    rows = rows.withColumns({"dimensions": F.when(F.col("audit_id") % 3 == 0, both).otherwise(one), "reviewed_scores": F.create_map(F.lit("greeting"), F.lit(5)), "coaching_narrative": text("well done"), "highlights": F.array(text("calm")), "improvement_areas": F.array(text("")), "note": F.when(F.col("version") % 2 == 0, "seen by a.b@example.org")})
+    rows = reports.with_notes(rows, privacy.redacted)
+    last = F.try_element_at(F.filter("notes", lambda n: n["kind"] == "human_review"), F.lit(1))["text"]
+    return rows.select("audit_id", F.size("checklist").cast("long").alias("n_checklist"), F.size(F.filter("checklist", lambda c: c["reason"] == "call [REDACTED] now")).cast("long").alias("n_redacted"), F.size("notes").alias("n_notes"), last.alias("last_note"))
