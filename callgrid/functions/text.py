@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from callgrid.functions.patterns import ACCOUNT, PHONE
+
 
 def normalised_phrase(c: Column) -> Column:
     """Lower case, punctuation as space, single spaces."""
@@ -58,10 +60,6 @@ def seconds_to_ms(c: Column) -> Column:
     return F.bround(c * 1000).cast("long")
 
 
-# fixed patterns: a run of 8 or more digits with separators, or a labelled account number
-PHONE = r"(?<!\w)(?:\+?\d[\d\s().-]{7,}\d)(?!\w)"
-ACCOUNT = r"(?i)\b(?:account|policy|member|customer)\s*(?:number|no\.?|#)\s*[:#-]?\s*[A-Z0-9-]{5,}\b"
-
-
 def has_sensitive_number(c: Column) -> Column:
+    """A run of eight or more digits with separators, or a labelled account number."""
     return c.rlike("(?U)" + PHONE) | c.rlike("(?U)" + ACCOUNT)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from callgrid.functions import text
 from callgrid.operators import intake, media, responses
 from callgrid.plans.catalog import query
+from callgrid.sources import files
 from callgrid.sources.derived import view
 from callgrid.streaming import windows
 
@@ -222,6 +223,12 @@ def audit_attempts(spark, sf_dir):
     return responses.audited(c, said, _judge).select("call_id", "fault", "attempts")
 
 
+@query("event_frames", """select event_id, 'id: ' || event_id || chr(10) || 'event: call.updated' || chr(10) || 'data: {"call_id":' || user_id || ',"state":"' || event_type || '"}' || chr(10) || chr(10) frame from events""")
+def event_frames(spark, sf_dir):
+    payload = F.struct(F.col("user_id").alias("call_id"), F.col("event_type").alias("state"))
+    return _table(spark, sf_dir, "events").select("event_id", files.event_frame(F.col("event_id"), F.lit("call.updated"), payload).alias("frame"))
+
+
 @query("event_times", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when epoch_us(ts) % 1000000 = 0 then '' else strftime(ts, '.%f') end || 'Z' at_ from events")
 def event_times(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", text.iso_utc(F.col("ts").cast("timestamp"), "Z").alias("at_"))

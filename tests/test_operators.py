@@ -1,5 +1,6 @@
 """Pinned cases for operators, sources and streams."""
 
+import hashlib
 import json
 import random
 import tracemalloc
@@ -65,7 +66,7 @@ def test_evaluation_source(spark, tmp_path):
 def test_pinned_json(tmp_path):
     path = tmp_path / "a.json"
     path.write_text('{"a": 1}')
-    assert files.pinned_json(str(path), "015abd7f5cc57a2dd94b7590f04ad8084273905ee33ec5cebeae62276a97f862") == {"a": 1}
+    assert files.pinned_json(str(path), hashlib.sha256(path.read_bytes()).hexdigest()) == {"a": 1}
     with pytest.raises(files.SourceError):
         files.pinned_json(str(path), "0" * 64)
 
@@ -144,4 +145,4 @@ def test_every_call_gets_its_hold_deadline(spark):
             at, clock = at + max(0, b - max(a, clock)), max(clock, b)
         want[c] = at
     assert {c % 3 for c in want} == {0, 1, 2}
-    assert {r["call_id"]: r["deadline_ms"] for r in QUERIES["hold_deadlines"](spark, SF).collect()} == want
+    assert {r["call_id"]: r["deadline_ms"] for r in QUERIES["hold_deadline"](spark, SF).collect()} == want
