@@ -22,9 +22,12 @@ _BASE, _BASE2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is set only where none is, as in tests."""
+    """The folder in spark.checkpoint.dir; where none is set, a local one for a local master, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="callgrid-")
         shared_dir.own = where
     return where.rstrip("/")
@@ -46,7 +49,19 @@ def stash(df: DataFrame, rows: float | None = None) -> DataFrame:
         few.write.parquet(path)
     finally:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes stashed tables that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_stash", None)
+        if path:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def order_id(col: str | Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgrid.llm.common import stash
+from callgrid.llm.common import release, stash
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,11 +21,14 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = stash(small, n)
+        before, now = now, stash(small, n)
+        release(before)
         if stars(now):
             break
         n = now.count()
-    return stash(now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), 2 * n)
+    out = stash(now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), 2 * n)
+    release(now)
+    return out
 
 
 def stars(now: DataFrame) -> bool:

@@ -78,11 +78,13 @@ def language_counts(train: DataFrame, text: str, lang: str, langs: list[str]) ->
     return out.reshape(len(langs), DIM)
 
 
-def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang") -> dict:
+def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", max_languages: int = MAX_LANGUAGES) -> dict:
+    """The model. Tables of max_languages * DIM numbers are held in a task and on the driver (128 MB at the
+    default); a corpus with more languages is an error, and takes a larger bound."""
     rows = docs.filter(train).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    seen = rows.groupBy("_lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(seen) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    seen = rows.groupBy("_lang").count().limit(max_languages + 1).collect()
+    if len(seen) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     langs = [r["_lang"] for r in sorted(seen, key=lambda r: (-r["count"], r["_lang"]))]
     if not langs:
         return {"langs": [], "code": np.zeros((0, 0)), "w": np.zeros((DIM, 0), np.float32), "trust": np.zeros(0)}

@@ -1,13 +1,15 @@
-"""Line dedup by a suffix array over line numbers.
+"""Line dedup over a suffix array of line sequences.
 
 The lines of all documents form sequences of line keys (128 bits of the trimmed line; blank lines are
-not part of them). Prefix doubling ranks the suffixes by their first lines: keys, and then pairs of
-ranks, are counted and sorted as distinct values over the cluster, and a rank is a value's place in
-that order. A suffix whose value is its own only shares no run with another and drops out at once, so
-each step works on what is still repeated. Suffixes of equal rank are an interval of the suffix array
-whose longest common prefix reaches `min_lines`: of such an interval, the suffix that starts first
-(smallest identifier, then position) stays, and the runs at the others are repeats. Overlapping and
-touching repeats make up the maximal repeated runs, and their lines are deleted.
+not part of them). A line that occurs once ends every repeat, so only suffixes that begin with a
+repeated line are kept. Prefix doubling ranks them by their first 1, 2, 4, ... lines: pairs of ranks are
+counted and sorted as distinct values over the cluster, and a rank is a value's place in that order. It
+goes on until no run of the length is shared. The order by the last ranks is the suffix array; the
+longest common prefix of neighbours in it is read from the ranks of all lengths, the longest first.
+
+Neighbours whose common prefix reaches `min_lines` form an interval: all its suffixes begin with the same
+run. The one that starts first (smallest identifier, then position) stays, and the runs at the others
+are repeats; overlapping and touching ones make up the maximal repeated runs, and their lines are deleted.
 
 Null and empty texts have no lines. Blank lines are kept. A null identifier comes after all others. Rows
 that share identifier and text are one document.
@@ -23,11 +25,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from callgrid.llm.common import _WS, n_parts, order_id, slices, stash, text_buffers, text_of
+from callgrid.llm.common import _WS, n_parts, order_id, release, slices, stash, text_buffers, text_of
+from callgrid.llm.running import running_totals
 
-MIN_LINES = 2
+MIN_LINES = 1
 
 
 def lines(off: np.ndarray, data: np.ndarray):
@@ -60,28 +62,61 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([part.column("_id").take(take), part.column("_th").take(take), pa.array(pos.astype(np.int32)), pa.array(key[:, 0]), pa.array(key[:, 1])], ["_id", "_th", "pos", "r1", "r2"])
 
     keyed = docs.select(order_id(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_th"), text_of(text_col).alias("_text"))
-    table = keyed.mapInArrow(keys, "_id long, _th long, pos int, r1 long, r2 long")
-    done, step = 0, 1
+    array = suffix_array(keyed.mapInArrow(keys, "_id long, _th long, pos int, r1 long, r2 long"))
+    # neighbours with a shorter common prefix begin another interval
+    bounds = array.withColumns({"_all": F.lit(0), "_new": (F.col("lcp") < min_lines).cast("long")})
+    placed = running_totals(bounds, "_all", ["place"], {"_before": "_new"}).withColumn("interval", F.col("_before") + F.col("_new"))
+    at = F.struct("_id", "_th", "pos")
+    first = placed.groupBy("interval").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    return placed.join(stash(first.drop("c")), "interval").filter(at > F.col("first")).select("_id", "_th", "pos")
+
+
+def suffix_array(lines_: DataFrame) -> DataFrame:
+    """lines_: _id, _th, pos and a line's key (r1, r2). The suffixes that begin with a repeated line: _id,
+    _th, pos, place (0, 1, ... in the array) and lcp (lines in common with the suffix before it)."""
+    levels = [ranks(lines_, distinct_rows=True)]
+    span = 1
     while True:
-        ranked, firsts = ranks(table, distinct_rows=done == 0)
-        done += step
-        if done >= min_lines:
-            return ranked.join(firsts, "rank").filter(F.struct("_id", "_th", "pos") > F.col("first")).select("_id", "_th", "pos")
-        step = min(done, min_lines - done)
-        along = Window.partitionBy("_id", "_th").orderBy("pos")
-        ahead = ranked.select("_id", "_th", "pos", F.col("rank").alias("r1"), F.lead("rank", step).over(along).alias("r2"), F.lead("pos", step).over(along).alias("_at"))
-        table = ahead.filter(F.col("_at") == F.col("pos") + step).drop("_at")
-
-
-def ranks(table: DataFrame, distinct_rows: bool) -> tuple[DataFrame, DataFrame]:
-    """Suffixes whose value (r1, r2) is not unique, with its rank; and the first suffix of each rank."""
-    place = F.struct("_id", "_th", "pos")
-    values = table.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")).filter("c > 1")
-    # the distinct repeated values in order; a rank is the place in that order
-    ordered = values.repartitionByRange(n_parts(table), "r1", "r2").sortWithinPartitions("r1", "r2")
-    ordered = stash(ordered.select("r1", "r2", "first", F.monotonically_increasing_id().alias("rank")))
-    ranked = table.join(ordered.select("r1", "r2", "rank"), ["r1", "r2"]).select("_id", "_th", "pos", "rank")
-    return stash(ranked.distinct() if distinct_rows else ranked), ordered.select("rank", "first")
+        now = levels[-1]
+        # what lies span lines on, if all lines up to there are repeated ones; else the suffix has ended
+        ahead = now.select("_id", "_th", (F.col("pos") - span).alias("pos"), F.col("rank").alias("r2"), F.col("full").alias("_far"))
+        both = now.join(ahead, ["_id", "_th", "pos"], "left")
+        r2 = F.when(F.col("full"), F.coalesce("r2", F.lit(-1))).otherwise(-1)
+        final = ranks(both.select("_id", "_th", "pos", F.col("rank").alias("r1"), r2.alias("r2"), (F.col("full") & F.coalesce(F.col("_far"), F.lit(False))).alias("full")))
+        if final.filter("full").groupBy("rank").count().filter("count > 1").isEmpty():
+            break
+        levels.append(final)
+        span *= 2
+    # dense places in the order of the longest ranks; those that end together by place in the documents
+    order = ["rank", "_id", "_th", "pos"]
+    ordered = stash(running_totals(final.withColumns({"_all": F.lit(0), "_one": F.lit(1).cast("long")}), "_all", order, {"place": "_one"}).select("_id", "_th", "pos", "place"))
+    before = ordered.select((F.col("place") + 1).alias("place"), F.col("_id").alias("_pid"), F.col("_th").alias("_pth"), F.col("pos").alias("_ppos"))
+    pairs = stash(ordered.join(before, "place", "left").withColumn("lcp", F.lit(0)))
+    for level in reversed(levels):
+        whole = level.filter("full").select("_id", "_th", "pos", "rank")
+        here = pairs.withColumn("_at", F.col("pos") + F.col("lcp")).join(whole.select("_id", "_th", F.col("pos").alias("_at"), F.col("rank").alias("_r")), ["_id", "_th", "_at"], "left")
+        there = whole.select(F.col("_id").alias("_pid"), F.col("_th").alias("_pth"), F.col("pos").alias("_pat"), F.col("rank").alias("_pr"))
+        both = here.withColumn("_pat", F.col("_ppos") + F.col("lcp")).join(there, ["_pid", "_pth", "_pat"], "left")
+        longer = F.when(F.col("_r") == F.col("_pr"), F.col("lcp") + span).otherwise(F.col("lcp"))
+        last, pairs = pairs, stash(both.withColumn("lcp", longer).select("_id", "_th", "pos", "place", "_pid", "_pth", "_ppos", "lcp"))
+        release(last)
+        span //= 2
+    release(ordered, final, *levels)
+    return pairs.select("_id", "_th", "pos", "place", "lcp")
+
+
+def ranks(table: DataFrame, distinct_rows: bool = False) -> DataFrame:
+    """Suffixes with the rank of their value (r1, r2) and whether they are full. On the first level values
+    that occur once are left out, and all that stay are full."""
+    values = table.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("c"))
+    values = values.filter("c > 1") if distinct_rows else values
+    # the distinct values in order; a rank is the place in that order
+    ordered = stash(values.repartitionByRange(n_parts(table), "r1", "r2").sortWithinPartitions("r1", "r2").select("r1", "r2", F.monotonically_increasing_id().alias("rank")))
+    out = table.join(ordered, ["r1", "r2"]).select("_id", "_th", "pos", "rank", *([F.lit(True).alias("full")] if distinct_rows else ["full"]))
+    # rows that share identifier and text are one document
+    out = stash(out.distinct() if distinct_rows else out)
+    release(ordered)
+    return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, texts: bool = True) -> DataFrame:

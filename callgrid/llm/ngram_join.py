@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from callgrid.llm.common import _BASE2, NULL_ID, carried, grams, mix, order_id, range_hash, signed, slices, stash, text_buffers, text_of, words
+from callgrid.llm.common import _BASE2, NULL_ID, carried, grams, mix, order_id, range_hash, release, signed, slices, stash, text_buffers, text_of, words
 from callgrid.llm.components import components
 
 N, PERCENT = 5, 80
@@ -205,19 +205,22 @@ def headed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
     sets = stash(packed_sets(docs, standing, standing.count(), id_col, text_col, n))
     groups = stash(rare_first(sets, percent))
     shared = groups.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")
-    found = linked(stash(groups.join(shared, "token")), sets, percent)
+    met = stash(groups.join(shared, "token"))
+    found = linked(met, sets, percent)
 
     # only linked classes have a label
     named = classes.join(found, "node")
     heads = named.join(named.groupBy("label").agg(F.min("first").alias("head")), "label").select("node", "head")
-    return rows, stash(classes.join(heads, "node", "left").select("f1", "f2", F.coalesce("head", "first").alias("head")), n_rows)
+    heads = stash(classes.join(heads, "node", "left").select("f1", "f2", F.coalesce("head", "first").alias("head")), n_rows)
+    release(classes, standing, sets, groups, met, found)
+    return rows, heads
 
 
 def linked(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """node, label over all links among the nodes of each token's group (token, node, n, pos)."""
     total = groups.count()
     labels = tested = links = None
-    step, more = 0, total > 0
+    step, more, made = 0, total > 0, []
     while more:
         now = groups.withColumn("label", F.col("node")) if labels is None else groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         # the first pivot is the member with fewest rare shingles, then any
@@ -247,12 +250,17 @@ def linked(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         got = stash(verified(pairs, sets, percent))
         links = got if links is None else links.unionByName(got)
         found = not got.isEmpty()
+        made += [open_, pairs, got]
         if found or labels is None:
+            release(labels)
             labels = components(links)
         if last:
             break
         groups = stash(groups.join(large.select("token"), "token", "left_semi"), total)
+        made.append(groups)
         step, more = step + 1 if found else ROUNDS, not groups.isEmpty()
+    if labels is not None:
+        release(*made)
     return labels if labels is not None else groups.select("node", F.col("node").alias("label")).limit(0)
 
 

@@ -51,16 +51,17 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated runs from one line up."""
     from callgrid.llm.line_dedup import remove_repeats
 
-    return remove_repeats(documents(spark, sf_dir), texts=False)
+    return remove_repeats(documents(spark, sf_dir), min_lines=1, texts=False)
 
 
-def op2_line_dedup_from_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs from one line up; ``op2_line_dedup`` and its SQL take them from two lines up."""
+def op2_line_dedup_from_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated runs from two lines up: a repeated line between other neighbours stays."""
     from callgrid.llm.line_dedup import remove_repeats
 
-    return remove_repeats(documents(spark, sf_dir), min_lines=1, texts=False)
+    return remove_repeats(documents(spark, sf_dir), min_lines=2, texts=False)
 
 
 def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +93,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_dedup": op2_line_dedup,
-    "op2_line_dedup_from_one": op2_line_dedup_from_one,
+    "op2_line_dedup_from_two": op2_line_dedup_from_two,
     "op3_quality_ranking": op3_quality_ranking,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_language_id": op5_language_id,
@@ -113,6 +114,15 @@ select r.doc_id, k.keep_id, r.group_size::bigint group_size, r.rk = 1 kept, sha2
 OP2_SQL = r"""
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
 l as (select doc_id, n, ls[n] line, trim(ls[n], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) k from (select doc_id, ls, unnest(range(1, len(ls) + 1)) n from d)),
+a as (select *, k <> '' and row_number() over (partition by k order by doc_id, n) > 1 removed, n = max(n) over (partition by doc_id) last from l)
+select doc_id, count(case when k <> '' then 1 end)::bigint n_lines, count(case when removed then 1 end)::bigint n_removed,
+  sha256(coalesce(string_agg(case when not removed then line || case when last then '' else chr(10) end end, '' order by n), '')) kept_sha256
+from a group by doc_id
+"""
+
+OP2_FROM_TWO_SQL = r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
+l as (select doc_id, n, ls[n] line, trim(ls[n], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) k from (select doc_id, ls, unnest(range(1, len(ls) + 1)) n from d)),
 s as (select *, row_number() over (partition by doc_id order by n) pos from l where k <> ''),
 w as (select doc_id, pos, k, lead(k) over (partition by doc_id order by pos) k2 from s),
 f as (select *, row_number() over (partition by k, k2 order by doc_id, pos) rk from w where k2 is not null),
@@ -124,4 +134,4 @@ select doc_id, count(pos)::bigint n_lines, count(case when removed then 1 end)::
 from a group by doc_id
 """
 
-ORACLES = {"op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL}
+ORACLES = {"op2_line_dedup": OP2_SQL, "op2_line_dedup_from_two": OP2_FROM_TWO_SQL, "op6_exact_dedup": OP6_SQL}

@@ -1,8 +1,9 @@
 """Exact dedup, line dedup, substring dedup and the n-gram join, against brute force and SQL."""
 
 import hashlib
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -52,8 +53,9 @@ def test_sql_oracles_on_documents(spark, docs):
     rows = pairs(docs)
     got = exact_dedup.content_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
     assert sorted(map(tuple, got.collect()), key=str) == by_sql(queries.OP6_SQL, rows)
-    got = line_dedup.remove_repeats(docs, texts=False)
-    assert sorted(map(tuple, got.collect()), key=str) == by_sql(queries.OP2_SQL, rows)
+    for least, sql in ((1, queries.OP2_SQL), (2, queries.OP2_FROM_TWO_SQL)):
+        got = line_dedup.remove_repeats(docs, min_lines=least, texts=False)
+        assert sorted(map(tuple, got.collect()), key=str) == by_sql(sql, rows)
 
 
 def line_brute(rows, least):
@@ -79,15 +81,55 @@ def test_line_dedup_matches_brute_force(spark, docs, odd, odd_rows, least):
     assert got == {doc: v for (doc, _), v in want.items()}
 
 
-def test_line_dedup_from_one_leaves_no_repeat(spark, docs):
+def test_line_dedup_removes_all_later_copies(spark, docs):
     want = line_brute(pairs(docs), 1)
-    got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in queries.QUERIES["op2_line_dedup_from_one"](spark, "/root/testdata/sf0.001").collect()}
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in queries.op2_line_dedup(spark, "/root/testdata/sf0.001").collect()}
     assert got == {doc: v for (doc, _), v in want.items()}
     assert sum(v[1] for v in got.values()) > sum(v[1] for v in line_brute(pairs(docs), 2).values())
 
 
+@pytest.fixture(scope="module")
+def runs_of_lines(spark):
+    """Runs of 1 to 40 lines that repeat among lines of their own, with shared beginnings and ends."""
+    rng = random.Random(8)
+    shared = [f"line {i}" for i in range(40)]
+    rows = []
+    for i, n in enumerate([1, 2, 3, 5, 8, 13, 21, 34, 40, 40, 7, 3, 3, 2]):
+        at = rng.randrange(41 - n)
+        rows.append((i, "\n".join([f"own {i}", *shared[at : at + n], f"end {i}", *shared[:n], "line 3"])))
+    return spark.createDataFrame(rows, "doc_id long, text string"), rows
+
+
+@pytest.mark.parametrize("least", [1, 3, 4, 7, 40, 41])
+def test_line_dedup_of_long_runs(runs_of_lines, least):
+    df, rows = runs_of_lines
+    want = {doc: v for (doc, _), v in line_brute(rows, least).items()}
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in line_dedup.remove_repeats(df, min_lines=least).collect()} == want
+
+
+def test_suffix_array_gives_longest_common_prefixes(runs_of_lines):
+    """Neighbours' common prefixes, over repeated lines, are the most that a suffix has with any other."""
+    df, rows = runs_of_lines
+    lines = {i: t.split("\n") for i, t in rows}
+    count = Counter(x for ls in lines.values() for x in ls)
+    suffixes = {}
+    for i, ls in lines.items():
+        for p in range(len(ls)):
+            end = next((q for q in range(p, len(ls)) if count[ls[q]] == 1), len(ls))
+            if end > p:
+                suffixes[i, p] = ls[p:end]
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    got = {}
+    keyed = df.selectExpr("doc_id _id", "0L _th", "posexplode(split(text, '\n')) as (pos, line)").selectExpr("_id", "_th", "pos", "xxhash64(line) r1", "0L r2")
+    array = sorted(line_dedup.suffix_array(keyed).collect(), key=lambda r: r["place"])
+    assert {(r["_id"], r["pos"]) for r in array} == set(suffixes) and [r["place"] for r in array] == list(range(len(array)))
+    for r, after in zip(array, [*array[1:], None]):
+        got[r["_id"], r["pos"]] = max(r["lcp"], after["lcp"] if after else 0)
+    assert got == {s: max(common(x, y) for t, y in suffixes.items() if t != s) for s, x in suffixes.items()}
+
+
 def test_line_dedup_of_odd_rows(odd, odd_rows):
-    got = line_dedup.remove_repeats(odd).collect()
+    got = line_dedup.remove_repeats(odd, min_lines=2).collect()
     assert len(got) == len(odd_rows)
     fourteen = next(r for r in got if r["doc_id"] == 14)
     assert (fourteen["n_lines"], fourteen["n_removed"], fourteen["kept_text"]) == (4, 2, "same line\nnext line\n\n")
