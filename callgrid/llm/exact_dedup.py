@@ -6,7 +6,8 @@ compared in full. The row with the longest original text and then the smallest i
 
 A text that is found often enough in the sample to fill a range is hot: several ranges share it, side by
 side in the order, and each has a run of its copies. The first rows of these runs, a few for each range
-of the whole table, are compared in full again and their counts are added up.
+of the whole table, are compared in full again and their counts are added up. Where whole documents are
+sorted, the first row of each hot text is found beforehand, by partial minima.
 
 Null and empty texts are equal to each other (and to texts of white space only). Ties in length go to
 the smallest identifier, a null identifier last. An empty table gives an empty result.
@@ -48,14 +49,21 @@ def runs(docs: DataFrame, id_col: str, text_col: str, carry: Column | None = Non
     took = [] if carry is None else [carry.alias("_row")]
     rows = docs.select(F.col(id_col).alias("_doc"), order_id(id_col).alias("_id"), F.char_length(text_of(text_col)).alias("_len"), F.col(text_col).alias("_text"), F.spark_partition_id().alias("_from"), *took)
     rows = keyed(rows, "_text").drop("_text")
-    hot = hot_texts(docs.select(F.col(text_col).alias("_text")), "_text", parts, sample_a_range)
+    hot = stash(hot_texts(docs.select(F.col(text_col).alias("_text")), "_text", parts, sample_a_range))
     rows = rows.join(F.broadcast(hot), ["_head", "_rest"], "left")  # at most 2 * parts rows
-    salt = F.coalesce(F.pmod(F.xxhash64("_id", "_from"), F.col("_shares")), F.lit(0)).cast("int")
-    rows = rows.withColumns({"_salt": salt, "_hot": F.col("_shares").isNotNull()}).drop("_shares", "_from")
     order = [F.desc("_len"), F.asc("_id")]
-    if carry is not None:  # the text is in the row already
+    if carry is None:
+        rows = rows.withColumn("_by", F.xxhash64("_id", "_from"))
+    else:
+        rows = rows.withColumn("_by", F.xxhash64(F.to_json(F.col("_row").dropFields(text_col) if len(docs.columns) > 1 else F.struct(F.lit(0)))))
+        order.append(F.asc("_by"))
+    rows = rows.withColumns({"_salt": F.coalesce(F.pmod("_by", "_shares"), F.lit(0)).cast("int"), "_hot": F.col("_shares").isNotNull()}).drop("_shares", "_from")
+    if carry is not None:
+        own = F.when(F.col("_hot"), F.sha2("_norm", 256)).alias("_sha")
+        first = rows.filter("_hot").groupBy(own).agg(F.min(F.struct((-F.col("_len")).alias("l"), "_id", "_by")).alias("_first"))
+        rows = rows.withColumn("_sha", own).join(F.broadcast(stash(first)), "_sha", "left").drop("_sha")  # as few rows as hot texts
+        # the text is in the row already
         rows = rows.drop("_norm").repartitionByRange(parts, "_head", "_rest", "_salt").withColumn("_norm", normalised(F.col("_row")[text_col]))
-        order.append(F.desc(F.xxhash64(F.to_json(F.col("_row").dropFields(text_col) if len(docs.columns) > 1 else F.struct(F.lit(0))))))
     else:
         rows = rows.repartitionByRange(parts, "_head", "_rest", "_salt")
     # the ranges serve this window: no second exchange; one sort, in which neighbours are compared in full
@@ -80,8 +88,7 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_a_range: int = SAMPLE_A_RANGE) -> DataFrame:
     """The documents that stay, with all their columns. Of rows that share identifier and text, the one
-    whose other columns hash highest stays."""
+    whose other columns hash lowest stays."""
     first = runs(docs, id_col, text_col, carried(docs.columns), sample_a_range).filter("_rank = 1")
-    first = stash(first.select("_row", "_best", F.when(F.col("_hot"), F.col("_norm")).alias("_edge")))
-    hot = first.filter("_edge is not null").groupBy("_edge").agg(F.min_by("_row", "_best").alias("_row"))
-    return first.filter("_edge is null").select("_row").unionByName(hot.select("_row")).select("_row.*")
+    best = (F.col("_first.l") == -F.col("_len")) & (F.col("_first._id") == F.col("_id")) & (F.col("_first._by") == F.col("_by"))
+    return first.filter(~F.col("_hot") | best).select("_row.*")

@@ -196,12 +196,14 @@ def headed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
     """The documents' profiles; and f1, f2, head for every class: the document (_id, _th) with the
     smallest identifier, then the smallest text hash, of the class's component."""
     # _row tells rows apart whatever their identifiers; it is made once, as the table is written
-    rows = stash(profiles(docs, id_col, text_col, n, percent).withColumn("_row", F.monotonically_increasing_id()))
-    n_rows = rows.count()
+    whole = stash(profiles(docs, id_col, text_col, n, percent).withColumn("_row", F.monotonically_increasing_id()))
+    n_rows = whole.count()
+    rows = stash(whole.drop("some"), n_rows)
     first = F.min(F.struct("_id", "_th", "_row"))
     classes = rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(first.alias("first"), F.first("n_shingles").alias("n_shingles"))
     classes = stash(classes.select("f1", "f2", "n_shingles", F.col("first._row").alias("node"), F.struct("first._id", "first._th").alias("first")), n_rows)
-    standing = stash(with_partners(classes, rows, percent).select("node", "first._id", "first._th"), n_rows)
+    standing = stash(with_partners(classes, whole, percent).select("node", "first._id", "first._th"), n_rows)
+    release(whole)
     sets = stash(packed_sets(docs, standing, standing.count(), id_col, text_col, n))
     groups = stash(rare_first(sets, percent))
     shared = groups.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("token")

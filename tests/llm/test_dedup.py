@@ -248,3 +248,22 @@ def test_empty_tables(empty):
 def test_kept_text_goes_with_its_digest(docs):
     for r in substring_dedup.remove_repeats(docs.filter(F.col("doc_id") < 50)).collect():
         assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
+
+
+@pytest.mark.parametrize("sample_a_range", [2, 100])
+def test_exact_dedup_of_hot_texts(spark, docs, sample_a_range):
+    """Copies of one text, of more than half the rows, lie in several ranges or in one and stay one group."""
+    copies = docs.filter("length(text) > 100").orderBy("doc_id").limit(1).withColumn("doc_id", F.explode(F.sequence(F.lit(10000), F.lit(10399))))
+    table = docs.unionByName(copies.withColumn("doc_id", F.col("doc_id").cast("long")))
+    runs = exact_dedup.runs(table, "doc_id", "text", sample_a_range=sample_a_range)
+    # the sort sees all copies of a text in one run, or in one for each share of a hot text
+    assert runs.filter("not _hot").groupBy("_norm").agg(F.count(F.lit(1)).alias("c"), F.max("_n").alias("n")).filter("c <> n").isEmpty()
+    assert sample_a_range == 100 or runs.filter("_hot").select("_norm", "_salt").distinct().count() > 1
+    norm = Counter(re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in pairs(table))
+    got = exact_dedup.content_groups(table, sample_a_range=sample_a_range).collect()
+    assert Counter(r["text_sha256"] for r in got) == {hashlib.sha256(k.encode()).hexdigest(): n for k, n in norm.items()}
+    size = Counter(r["text_sha256"] for r in got)
+    assert all(r["group_size"] == size[r["text_sha256"]] for r in got) and sum(r["kept"] for r in got) == len(norm)
+    kept = {r["doc_id"] for r in got if r["kept"]}
+    assert {r["doc_id"] for r in exact_dedup.drop_copies(table, sample_a_range=sample_a_range).collect()} == kept
+    assert exact_dedup.drop_copies(table, sample_a_range=sample_a_range).count() == len(norm)
