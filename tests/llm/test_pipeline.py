@@ -27,7 +27,17 @@ def test_stage_order_and_columns(steps):
 def test_language_stage_keeps_clean_documents(steps):
     clean = steps[0].filter(r"lang is not null and text rlike '\\p{L}' and n_chars > 200")
     gone = clean.join(steps[1], "doc_id", "left_anti").count()
-    assert gone <= 0.01 * clean.count() and steps[1].count() < steps[0].count()
+    assert gone <= 0.01 * clean.count() and steps[1].count() <= steps[0].count()
+
+
+def test_language_stage_drops_what_it_rejects(spark, steps):
+    """Documents without letters or text, and halves of two languages in one, beside the table's own."""
+    two = steps[0].filter("n_chars > 400 and lang is not null").groupBy("lang").agg({"text": "min"}).toDF("lang", "text").orderBy("lang").limit(2).collect()
+    mixed = " ".join(x for pair in zip(two[0]["text"].split()[:60], two[1]["text"].split()[:60]) for x in pair)
+    bad = [(10**9, "12 34 56 !"), (10**9 + 1, None), (10**9 + 2, " "), (10**9 + 3, "2024-01-01;;;")]
+    more = spark.createDataFrame([(i, t, None, None, None) for i, t in [*bad, (10**9 + 9, mixed)]], steps[0].schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, steps[0].unionByName(more), SF).select("doc_id").collect()}
+    assert not kept & {i for i, _ in bad} and len(kept) >= 0.99 * steps[0].count()
 
 
 def test_exact_stage_leaves_one_of_equal_texts(steps):
