@@ -223,7 +223,17 @@ def speaker_turns(spark, sf_dir):
     return disposition.speaker_turns(u).select("call_id", "role", F.length("text").alias("chars"), F.size("ids").cast("long").alias("n_lines"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
-@query("turn_windows")
+@query(
+    "turn_windows",
+    """with recursive s as (select call_id, turn, text, start_ms, end_ms, case when lag(role) over (partition by call_id order by start_ms, end_ms, turn) = role then 0 else 1 end k from v_utterances),
+      g as (select *, sum(k) over (partition by call_id order by start_ms, end_ms, turn rows between unbounded preceding and current row) g from s),
+      t as (select call_id, g::int i, (sum(length(text)) + count(*) - 1)::bigint n from g group by 1, 2),
+      fit as (select call_id from t group by 1 having sum(n) <= 100000 and (max(n) <= 2000 or sum(n) <= 2000)),
+      w as (select call_id, i, n, 0 as win, [i] as held, n as used from t where i = 1 and call_id in (select call_id from fit)
+        union all select t.call_id, t.i, t.n, win + (used + t.n > 2000)::int, case when used + t.n <= 2000 then list_append(held, t.i) when w.n + t.n <= 2000 then [w.i, t.i] else [t.i] end,
+          case when used + t.n <= 2000 then used + t.n when w.n + t.n <= 2000 then w.n + t.n else t.n end from w join t on t.call_id = w.call_id and t.i = w.i + 1)
+      select call_id, win as "window", arg_max(held, i) turns from w where call_id in (select call_id from w group by 1 having max(win) < 128) group by 1, 2""",
+)
 def turn_windows(spark, sf_dir):
     u = _spoken(spark, sf_dir).withColumn("speaker", F.col("role"))
     return disposition.turn_windows(disposition.speaker_turns(u), 100_000, 2_000, 1, 128)
