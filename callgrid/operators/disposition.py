@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 # fixed limits of a configuration
-MAX_BYTES, MAX_VALUES, MAX_DEPTH, MAX_ITEMS = 262_144, 20_000, 16, 4096
+MAX_BYTES, MAX_VALUES, MAX_DEPTH, MAX_ITEMS, MAX_TEXT = 262_144, 20_000, 16, 4096, 16_384
+# fixed values: fields of a configuration and of its identity, names that no field may have, identifiers
+FIELDS = ("schema_version", "config_id", "version", "identity", "questions", "taxonomy", "front_gates", "resolver", "confidence", "runtime", "output")
+IDENTITY_FIELDS = ("use_case_id", "display_name", "default_locale")
+FORBIDDEN = (
+    "provider", "model", "adapter", "api_profile", "endpoint", "tenant_id", "organisation_id", "organization_id", "credential", "credentials",
+    "token", "password", "secret", "api_key", "apikey", "authorization", "expression", "script",
+)
+IDENTIFIER, SCHEMA_VERSION = r"[a-zA-Z0-9][a-zA-Z0-9_.-]{1,127}", "1.0.0"
 OPERATORS = {"noul": ("EXISTS", "NOUL_GTE", "NOUL_LTE"), "choice": ("EXISTS", "CHOICE_EQ", "CHOICE_IN", "CHOICE_CONFIDENCE_GTE"), "score": ("EXISTS", "SCORE_GTE", "SCORE_LTE")}
 GATE_OPERATORS = ("EQ", "NE", "IN", "NOT_IN", "EXISTS")
 CONFLICT_SPREAD = 0.25
@@ -42,6 +51,25 @@ class Config:
     runtime: dict = field(default_factory=dict)
 
 
+def head_faults(raw: dict) -> list[str]:
+    """What is wrong with a configuration's fields, identity and version."""
+    named = lambda x: isinstance(x, str) and re.fullmatch(IDENTIFIER, x) is not None
+    who = raw.get("identity", {})
+    own = who if isinstance(who, dict) else {}
+    shown, locale, version = own.get("display_name", raw.get("config_id")), own.get("default_locale", ""), raw.get("version")
+    checks = [
+        (isinstance(who, dict), "identity: an object is needed"),
+        (named(raw.get("config_id")), "config_id: an identifier is needed"),
+        (named(own.get("use_case_id")), "identity.use_case_id: an identifier is needed"),
+        (isinstance(shown, str) and 0 < len(shown.strip()) and len(shown) <= 160, "identity.display_name: 1 to 160 characters are needed"),
+        (isinstance(locale, str) and len(locale) <= 32, "identity.default_locale: at most 32 characters are allowed"),
+        (type(version) is int and 0 < version < 2**31, "version: a positive number of 31 bits is needed"),
+        (raw.get("schema_version", SCHEMA_VERSION) == SCHEMA_VERSION, "schema_version: unknown"),
+    ]
+    unknown = [f"{k}: unknown field" for k in raw if k not in FIELDS] + [f"identity.{k}: unknown field" for k in own if k not in IDENTITY_FIELDS]
+    return unknown + [fault for fine, fault in checks if not fine]
+
+
 def compile_config(raw: dict) -> Config:
     """Checks a configuration, gathering all errors, and orders gates and rules by priority."""
     errors: list[str] = []
@@ -64,12 +92,21 @@ def compile_config(raw: dict) -> Config:
             say(f"{path}: more than {MAX_ITEMS} items")
             continue
         todo += [(f"{path}.{k}", v, depth + 1) for k, v in children]
+        if isinstance(value, dict):
+            errors += [f"{path}.{k}: not a field of a configuration" for k in value if not isinstance(k, str) or k.lower() in FORBIDDEN]
+        if isinstance(value, str) and len(value) > MAX_TEXT:
+            say(f"{path}: longer than {MAX_TEXT} characters")
+        if type(value) is int and not -(2**63) <= value < 2**63:
+            say(f"{path}: not a number of 64 bits")
         if isinstance(value, str) and any(x in value for x in ("://", "${", "{{")):
             say(f"{path}: links and templates are not allowed")
     if n > MAX_VALUES:
         say(f"more than {MAX_VALUES} values")
 
+    errors += head_faults(raw)
     questions = raw.get("questions") or {}
+    if not questions:
+        say("questions: none")
     for q, d in questions.items():
         if d.get("type") not in OPERATORS:
             say(f"questions.{q}: unknown type")

@@ -175,6 +175,9 @@ def choice_validation(spark, sf_dir):
 
 
 CONFIG = {
+    "config_id": "calls-en",
+    "version": 1,
+    "identity": {"use_case_id": "service-calls"},
     "questions": {"commitment": {"type": "noul"}, "mood": {"type": "score"}},
     "taxonomy": {"codes": [{"code": c, "level": 0, "parent_code": None} for c in ("NO_CONTACT", "COMMITTED", "UPSET", "NEUTRAL", "REVIEW")]},
     "front_gates": [{"id": "NO_CONNECTION", "priority": 10, "source": "line", "condition": {"operator": "IN", "value": ["NO_ANSWER", "FAILED"]}, "emit": "NO_CONTACT"}],

@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from callgrid.operators import media, privacy, reports, sentiment, wer
+from callgrid.operators import audit, disposition, media, privacy, reports, sentiment, wer
 from callgrid.operators.scope import Scope
+from callgrid.plans.calls import CONFIG
 from callgrid.plans.catalog import QUERIES
 from callgrid.sources import files
 from callgrid.sources.derived import view
@@ -99,6 +100,25 @@ def test_limits_of_an_evaluation_file(spark, tmp_path, monkeypatch):
         files.evaluation_cases(spark, str(path)).collect()
 
 
+@pytest.mark.parametrize("change,fault", [
+    ({"more": 1}, "more: unknown field"), ({"config_id": "x"}, "config_id"), ({"version": True}, "version"), ({"version": 2**31}, "version"), ({"identity": []}, "identity: an object"), ({"identity": {"use_case_id": "ab", "x": 1}}, "identity.x"),
+    ({"identity": {"use_case_id": "ab", "display_name": " "}}, "display_name"), ({"schema_version": "2"}, "schema_version"), ({"questions": {}}, "questions: none"), ({"output": {"Token": 1}}, "Token"), ({"output": {"a": "x" * 17_000}}, "longer than"), ({"output": {"a": 2**63}}, "64 bits"), ({"output": {"a": "${b}"}}, "templates"),
+])
+def test_faults_of_a_configuration(change, fault):
+    assert disposition.compile_config(CONFIG)
+    with pytest.raises(disposition.ConfigError) as e:
+        disposition.compile_config(CONFIG | change)
+    assert any(fault in x for x in e.value.errors)
+
+
+def test_rule_set_and_rubric_are_checked():
+    rubric = {"schema_version": "1", "rubric_version": "v1", "pass_threshold": 3.5, "dimensions": [{"id": d, "weight": w, "anchors": ["a", "b", "c"]} for d, w in audit.WEIGHTS.items()]}
+    assert len(audit.compile_rubric(rubric)["rubric_hash"]) == 64
+    for bad in ({"pass_threshold": 6}, {"dimensions": rubric["dimensions"][1:]}):
+        with pytest.raises(ValueError):
+            audit.compile_rubric(rubric | bad)
+
+
 def test_report_file(spark, tmp_path):
     files.write_report(spark.sql("select 2 b, named_struct('z', 'ä', 'y', 1) a"), str(tmp_path / "r.json"))
     assert (tmp_path / "r.json").read_text(encoding="utf-8") == '{\n  "a": {\n    "y": 1,\n    "z": "ä"\n  },\n  "b": 2\n}\n'
