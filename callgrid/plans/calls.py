@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callgrid.operators import audit, disposition, intervals, policy, sentiment
-from callgrid.plans.catalog import query
+from callgrid.plans.catalog import ORACLES, query
 from callgrid.sources.derived import view
 
 _MERGED = """m0 as (select *, max(end_ms) over (partition by call_id order by start_ms, end_ms rows between unbounded preceding and 1 preceding) reach from v_intervals),
@@ -85,6 +85,30 @@ def closing_phrase(spark, sf_dir):
     return rows.select("call_id", "status", F.array_join("evidence_ids", ",").alias("evidence"), "evidence_fingerprint", "deadline_ms")
 
 
+RULESET = {
+    "schema_version": "1",
+    "ruleset_id": "prose",
+    "version": 3,
+    "policy_text_version": "p1",
+    "rules": [
+        {"id": "opening", "type": "OPENING_DISCLOSURE", "call_types": ["*"], "severity": "HIGH", "remediation": "say so", **OPENING},
+        {"id": "closing", "type": "CLOSING_PHRASE", "call_types": ["*"], "severity": "LOW", "remediation": "say goodbye", **CLOSING},
+        {"id": "numbers", "type": "SENSITIVE_NUMBER_ADVISORY", "call_types": ["*"], "severity": "LOW", "remediation": "none"},
+    ],
+}
+
+
+@query("policy_findings")
+def policy_findings(spark, sf_dir):
+    """The findings of a whole rule set: those of its rules, one query each, with what the rule says."""
+    compiled = policy.compile_ruleset(RULESET)
+    return policy.findings(_spoken(spark, sf_dir), _contexts(spark, sf_dir), compiled).select("rule_id", "severity", "ruleset_version", "call_id", "status", "evidence_fingerprint", "deadline_ms")
+
+
+_RULE = "select '{0}' rule_id, '{1}' severity, 'prose:3' ruleset_version, call_id, status, evidence_fingerprint, deadline_ms from ({2}) x"
+ORACLES["policy_findings"] = _RULE.format("opening", "HIGH", ORACLES["opening_disclosure"]) + " union all " + _RULE.format("closing", "LOW", ORACLES["closing_phrase"])
+
+
 @query("evidence_quotes", "select call_id, turn utterance_id, role = 'AGENT' and length(trim(substr(text, 3, 20))) > 0 valid from v_utterances")
 def evidence_quotes(spark, sf_dir):
     u = _spoken(spark, sf_dir)
