@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callgrid.llm.common import carried, quoted, range_hash, slices, text_buffers, text_of
+from callgrid.llm.common import carried, quoted, slices, text_buffers, text_of
 
 MARK = np.frombuffer("▁".encode(), np.uint8)
 NONE = np.int32(2**31 - 1)
@@ -230,7 +230,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.seen, self.from_, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.number: dict[bytes, int] = {}
+        self.from_, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def __call__(self, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts, and their edges by text."""
@@ -252,31 +253,27 @@ class Encoder:
         first[3:] &= ~mark[: max(0, len(text) - 3)]
         first[new_off[full]] = True
         begin = np.flatnonzero(first)
-        stop = np.append(begin[1:], len(text))
-        h = range_hash(text, begin, stop)
-        unique, index, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.seen) > CACHE_WORDS:
+        # the words tile the text; a distinct one is looked up once, by its bytes
+        offsets = np.append(begin, len(text)).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(text.tobytes())]).dictionary_encode()
+        unique = coded.dictionary.to_pylist()
+        if len(self.number) > CACHE_WORDS:
             self.forget()
-        at = np.searchsorted(self.seen, unique)
-        known = (at < len(self.seen)) & (self.seen[np.minimum(at, max(0, len(self.seen) - 1))] == unique) if len(self.seen) else np.zeros(len(unique), bool)
-        fresh = np.flatnonzero(~known)
+        fresh = [w for w in unique if w not in self.number]
         # words with so many bytes at a time, or one: the tables of edges take their size
-        reach = np.cumsum((stop - begin)[index[fresh]])
+        reach = np.cumsum([len(w) for w in fresh])
         lo = 0
         while lo < len(fresh):
             hi = max(lo + 1, int(np.searchsorted(reach, (reach[lo - 1] if lo else 0) + CHUNK_BYTES, side="right")))
-            some = index[fresh[lo:hi]]
+            some = fresh[lo:hi]
             lo = hi
-            lens = stop[some] - begin[some]
-            ids, edges = self.model.encode_words(text[ragged(begin[some], lens)], np.concatenate([[0], np.cumsum(lens)]))
-            self.seen = np.concatenate([self.seen, h[some]])
+            lens = np.array([len(w) for w in some], dtype=np.int64)
+            ids, edges = self.model.encode_words(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum(lens)]))
+            self.number.update(zip(some, range(len(self.number), len(self.number) + len(some))))
             self.from_ = np.concatenate([self.from_, len(self.ids) + edges[:-1]])
             self.size = np.concatenate([self.size, np.diff(edges)])
             self.ids = np.concatenate([self.ids, ids])
-        if len(fresh):
-            order = np.argsort(self.seen)
-            self.seen, self.from_, self.size = self.seen[order], self.from_[order], self.size[order]
-        place = np.searchsorted(self.seen, unique)[inverse]
+        place = np.array([self.number[w] for w in unique], dtype=np.int64)[np.asarray(coded.indices)] if len(begin) else np.zeros(0, np.int64)
         lens = self.size[place]
         ids = self.ids[ragged(self.from_[place], lens)]
         edges = np.concatenate([[0], np.cumsum(lens)])[np.searchsorted(begin, new_off)]
