@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: White space of the word contract: space and 0x09 to 0x0D.
 SPACE = " \t\n\x0b\x0c\r"
-NULL_ID = 2**63 - 1
+NULL_ID, LONG_WORD = 2**63 - 1, 256
 _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
 _BASE, _BASE2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
@@ -168,14 +168,26 @@ def words(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
-def ink_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of every word (all runs of ink, in order), as two numbers; a distinct word is hashed once."""
-    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-    ink = np.ascontiguousarray(data[~_WS[data]])
-    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ink.tobytes())]).dictionary_encode()
-    each = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in coded.dictionary.to_pylist()), np.uint64).reshape(-1, 2)
-    at = np.asarray(coded.indices)
-    return each[at, 0], each[at, 1]
+def word_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of every word, as two numbers: its bytes go through two mixers, eight at a time; words of
+    more than LONG_WORD bytes are hashed one by one."""
+    n = ends - starts
+    one, two = mix(n.astype(np.uint64) + np.uint64(_BASE)), mix(n.astype(np.uint64) + np.uint64(_BASE2))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at, each = np.flatnonzero(n <= LONG_WORD), np.arange(8)
+    done = 0
+    with np.errstate(over="ignore"):
+        while len(at):
+            rest = np.minimum(n[at] - done, 8)
+            part = padded[(starts[at] + done)[:, None] + each].view(np.uint64)[:, 0]
+            part &= np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * rest.astype(np.uint64))
+            one[at] = mix(one[at] ^ part)
+            two[at] = mix(two[at] * np.uint64(_BASE) + part)
+            done += 8
+            at = at[n[at] > done]
+    for i in np.flatnonzero(n > LONG_WORD):
+        one[i], two[i] = np.frombuffer(xxhash.xxh3_128_digest(data[starts[i] : ends[i]].tobytes()), np.uint64)
+    return one, two
 
 
 def tree_hash(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callgrid.llm.common import carried, quoted, slices, text_buffers, text_of
+from callgrid.llm.common import carried, mix, quoted, slices, text_buffers, text_of, word_digests
 
 MARK = np.frombuffer("▁".encode(), np.uint8)
 NONE = np.int32(2**31 - 1)
 LONG_WORD = 96
-CACHE_WORDS, CHUNK_BYTES, SLICE_BYTES = 300_000, 1 << 17, 1 << 20
+CACHE_WORDS, CHUNK_BYTES, SLICE_BYTES = 1_000_000, 1 << 18, 2 << 20
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -230,7 +230,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.seen, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.from_, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def __call__(self, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,27 +253,39 @@ class Encoder:
         first[3:] &= ~mark[: max(0, len(text) - 3)]
         first[new_off[full]] = True
         begin = np.flatnonzero(first)
-        # the words tile the text; a distinct one is looked up once, by its bytes
-        offsets = np.append(begin, len(text)).astype(np.int64)
-        coded = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(text.tobytes())]).dictionary_encode()
-        unique = coded.dictionary.to_pylist()
-        if len(self.number) > CACHE_WORDS:
+        stop = np.append(begin[1:], len(text))
+        # words are the same by 128 bits: sorted by the first half, and held against the second
+        one, two = word_digests(text, begin, stop)
+        unique, index, inverse = np.unique(one, return_index=True, return_inverse=True)
+        while not np.array_equal(two[index][inverse], two):
+            one = mix(one + mix(two))
             self.forget()
-        fresh = [w for w in unique if w not in self.number]
+            unique, index, inverse = np.unique(one, return_index=True, return_inverse=True)
+        if len(self.seen) > CACHE_WORDS:
+            self.forget()
+        at = np.minimum(np.searchsorted(self.seen, unique), max(0, len(self.seen) - 1))
+        known = self.seen[at] == unique if len(self.seen) else np.zeros(len(unique), bool)
+        if known.any() and not np.array_equal(self.second[at[known]], two[index[known]]):
+            self.forget()
+            known[:] = False
+        fresh = np.flatnonzero(~known)
         # words with so many bytes at a time, or one: the tables of edges take their size
-        reach = np.cumsum([len(w) for w in fresh])
+        reach = np.cumsum((stop - begin)[index[fresh]])
         lo = 0
         while lo < len(fresh):
             hi = max(lo + 1, int(np.searchsorted(reach, (reach[lo - 1] if lo else 0) + CHUNK_BYTES, side="right")))
-            some = fresh[lo:hi]
+            some = index[fresh[lo:hi]]
             lo = hi
-            lens = np.array([len(w) for w in some], dtype=np.int64)
-            ids, edges = self.model.encode_words(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum(lens)]))
-            self.number.update(zip(some, range(len(self.number), len(self.number) + len(some))))
+            lens = stop[some] - begin[some]
+            ids, edges = self.model.encode_words(text[ragged(begin[some], lens)], np.concatenate([[0], np.cumsum(lens)]))
+            self.seen, self.second = np.concatenate([self.seen, one[some]]), np.concatenate([self.second, two[some]])
             self.from_ = np.concatenate([self.from_, len(self.ids) + edges[:-1]])
             self.size = np.concatenate([self.size, np.diff(edges)])
             self.ids = np.concatenate([self.ids, ids])
-        place = np.array([self.number[w] for w in unique], dtype=np.int64)[np.asarray(coded.indices)] if len(begin) else np.zeros(0, np.int64)
+        if len(fresh):
+            order = np.argsort(self.seen)
+            self.seen, self.second, self.from_, self.size = self.seen[order], self.second[order], self.from_[order], self.size[order]
+        place = np.searchsorted(self.seen, unique)[inverse]
         lens = self.size[place]
         ids = self.ids[ragged(self.from_[place], lens)]
         edges = np.concatenate([[0], np.cumsum(lens)])[np.searchsorted(begin, new_off)]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgrid.llm.common import grams, ink_digests, mix, order_id, range_hash, signed, slices, stash, text_buffers, text_of, tree_hash, words
+from callgrid.llm.common import grams, word_digests, mix, order_id, range_hash, signed, slices, stash, text_buffers, text_of, tree_hash, words
 
 LENGTH, GRAM = 20, 6
 
@@ -75,7 +75,7 @@ def word_hashes(part: pa.RecordBatch, col: str) -> tuple[np.ndarray, np.ndarray,
     """Two hashes of every word, and the number of each text's first word."""
     off, data = text_buffers(part.column(col))
     starts, ends, first = words(off, data)
-    return *ink_digests(data, starts, ends), first
+    return *word_digests(data, starts, ends), first
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
