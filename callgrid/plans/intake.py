@@ -223,6 +223,18 @@ def audit_attempts(spark, sf_dir):
     return responses.audited(c, said, _judge).select("call_id", "fault", "attempts")
 
 
+_CASE = """concat('{"case_id":"', case when c_custkey % 13 = 1 then 'x-' else 'case-' end, c_custkey, '","excluded":', case when c_custkey % 17 = 2 then 'true' else 'false' end, ',"abstained":', case when c_custkey % 17 = 2 then 'true' else 'false' end,
+  ',"gold_findings":[{"rule_id":"r1","critical":true}', case when c_custkey % 19 = 3 then ',{"rule_id":"r1","critical":false}' else '' end, '],"predicted_findings":[{"rule_id":"r1","status":"', case when c_custkey % 23 = 4 then 'MAYBE' else 'UNKNOWN' end,
+  '"}],"gold_dimensions":{"', case when c_custkey % 29 = 5 then 'a b' else 'a' end, '":', case when c_custkey % 31 = 6 then '9' else '4.5' end, '},"predicted_dimensions":{}', case when c_custkey % 11 = 0 then ',"more":1' else '' end, '}')"""
+
+
+@query("case_faults", "select case when k % 13 = 1 then 'x-' else 'case-' end || k case_id, case when k % 11 = 0 then 'fields' when k % 13 = 1 then 'identifier' when k % 17 = 2 then 'flags' when k % 19 = 3 then 'rules' when k % 23 = 4 then 'labels' when k % 29 = 5 then 'dimensions' when k % 31 = 6 then 'scores' end fault from (select c_custkey k from customer) c where fault is not null")
+def case_faults(spark, sf_dir):
+    """Faults of evaluation cases, from their lines of JSON."""
+    lines = _table(spark, sf_dir, "customer").select(F.expr(_CASE).alias("raw"))
+    return files.case_faults(files.parsed_cases(lines))
+
+
 @query("event_frames", """select event_id, 'id: ' || event_id || chr(10) || 'event: call.updated' || chr(10) || 'data: {"call_id":' || user_id || ',"state":"' || event_type || '"}' || chr(10) || chr(10) frame from events""")
 def event_frames(spark, sf_dir):
     payload = F.struct(F.col("user_id").alias("call_id"), F.col("event_type").alias("state"))

@@ -32,7 +32,12 @@ def evaluation_cases(spark: SparkSession, path: str) -> DataFrame:
         raise SourceError("the file has too many cases")
     bad = F.raise_error(F.lit("a line of the file is too long or is no JSON object"))
     fine = F.when((F.octet_length("value") <= MAX_LINE_BYTES) & F.json_object_keys("value").isNotNull(), F.col("value")).otherwise(bad)
-    return lines.select(fine.alias("raw")).select("raw", F.from_json("raw", CASE, {"mode": "PERMISSIVE"}).alias("c")).select("c.*", "raw")
+    return parsed_cases(lines.select(fine.alias("raw")))
+
+
+def parsed_cases(lines: DataFrame) -> DataFrame:
+    """lines: raw. The fields of a case, null where they have another type, and raw."""
+    return lines.select("raw", F.from_json("raw", CASE, {"mode": "PERMISSIVE"}).alias("c")).select("c.*", "raw")
 
 
 def file_digest(spark: SparkSession, path: str) -> str:
