@@ -16,7 +16,7 @@ from callgrid.llm.common import n_parts, stash
 
 def running_totals(rows: DataFrame, group: str, order: list[str], values: dict[str, str]) -> DataFrame:
     """The rows with, for each of `values` (new column: value column, of longs or doubles), the sum over
-    the rows of the same group that come before it in the order. group must not be null.
+    the rows of the same group that come before it in the order. group is a whole number, never null.
 
     Rows are range-partitioned by group and order and summed up within each range; a window over the
     ranges' sums, of which there are no more than ranges and groups together, gives where each begins.
@@ -31,8 +31,7 @@ def running_totals(rows: DataFrame, group: str, order: list[str], values: dict[s
         for batch in batches:
             if not batch.num_rows:
                 continue
-            groups = batch.column(group).to_pylist() if not pa.types.is_integer(batch.schema.field(group).type) else np.asarray(batch.column(group))
-            groups = np.asarray(groups, dtype=object) if isinstance(groups, list) else groups
+            groups = np.asarray(batch.column(group))
             new = np.append(groups[0] != last, groups[1:] != groups[:-1]).astype(bool)
             head = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
             columns = []
@@ -43,7 +42,7 @@ def running_totals(rows: DataFrame, group: str, order: list[str], values: dict[s
                 columns.append(pa.array(before - start))
                 carried[name] = (before - start)[-1] + v[-1]
             last = groups[-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema=batch.schema if not columns else pa.schema([*batch.schema, *[pa.field(n, c.type) for n, c in zip(values, columns)]]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema=pa.schema([*batch.schema, *[pa.field(n, c.type) for n, c in zip(values, columns)]]))
 
     summed = stash(dealt.mapInArrow(total, schema))
     ends = [F.sum(old).alias(f"_sum_{new}") for new, old in values.items()]
