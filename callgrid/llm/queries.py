@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callgrid.llm.common import crc_bucket, documents
@@ -90,6 +90,37 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(crc_bucket("doc_id") == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callgrid.llm.whitening import fit, whiten
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    model = fit(vectors)
+    rows = whiten(vectors, model, ["vec_id"]).select("vec_id", "deviation", F.posexplode("whitened").alias("_at", "whitened"))
+    explained = F.element_at(F.array(*[F.lit(x) for x in [*model["explained"].tolist(), 0.0]]), F.col("_at") + 1)
+    return rows.select("vec_id", (F.col("_at") + 1).alias("component"), F.lit(model["n"]).cast("long").alias("n"), "deviation", "whitened", explained.alias("explained"), F.lit(model["identity_error"]).alias("identity_error"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callgrid.llm.spelling import variants, vocabulary
+
+    def spelled(doc: Column, run: Column) -> Column:
+        """A run in 199 loses a letter, by its checksum with the document's identifier."""
+        h = F.crc32(F.concat(doc, F.lit(":"), run))
+        at = (h % F.char_length(run)).cast("int")
+        return F.when(h % 199 == 0, F.concat(F.substring(run, F.lit(1), at), F.substr(run, at + 2))).otherwise(run)
+
+    return variants(vocabulary(documents(spark, sf_dir), spelled=spelled))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callgrid.llm.toxicity import score, train
+
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_bucket("doc_id") != 0)
+    scored = score(docs, train(docs, labels))
+    return scored.select("doc_id", F.coalesce(crc_bucket("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_dedup": op2_line_dedup,
@@ -102,6 +133,9 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_toxicity": op13_toxicity,
 }
 
 OP6_SQL = r"""
