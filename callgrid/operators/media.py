@@ -102,3 +102,44 @@ def opaque_frames(frames: DataFrame) -> DataFrame:
     rows = rows.withColumn("_own", status)
     broken = F.max((F.col("_own") != "OK").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("status", F.when(F.coalesce(broken, F.lit(0)) == 1, "CLOSED").otherwise(F.col("_own"))).drop("_since", "_sum", "_own")
+
+
+#: Fields that a start envelope's inner object and its media format may have.
+START_FIELDS, FORMAT_FIELDS = ["stream_sid", "call_sid", "account_sid", "media_format", "from", "to", "custom_parameters"], ["encoding", "sample_rate", "bit_rate", "channels"]
+#: Values of a media format: encodings, samples a second, bits, channels.
+ENCODINGS, SAMPLE_RATES, BIT_RATES, CHANNELS = ["raw", "slin", "base64"], ["8000"], ["16", "128kbps"], ["1"]
+MAX_NAME, MAX_PARAMETERS = 256, 3
+
+
+def session_lines(lines: DataFrame) -> DataFrame:
+    """``envelopes`` with what a session needs besides: call and account (of a start or stop), own_fields
+    (whether the envelope has its kind's fields), inner_session (of a start), start_fault (FIELDS, FORMAT or
+    null) and numbered_chunk (whether the chunk is a JSON number)."""
+    rows = envelopes(lines).withColumns({"_start": F.get_json_object("value", "$.start"), "_stop": F.get_json_object("value", "$.stop"), "_keys": F.array_sort(F.json_object_keys("value"))})
+    inner = lambda name: F.get_json_object(F.coalesce("_start", "_stop"), f"$.{name}")
+    part = lambda name: F.get_json_object("_start", f"$.{name}")
+    short = lambda c: F.coalesce(F.char_length(c).between(1, MAX_NAME), F.lit(False))
+    within = lambda obj, names: F.size(F.array_except(F.json_object_keys(obj), F.array(*map(F.lit, names)))) == 0
+    form, custom = part("media_format"), part("custom_parameters")
+    # a text in a JSON object, as against a number or an object
+    is_text = lambda name: F.coalesce(F.col("_start").rlike(rf'"{name}":"'), F.lit(False))
+    party = lambda name: part(name).isNull() & ~F.col("_start").contains(f'"{name}":') | is_text(name) & (F.char_length(part(name)) <= MAX_NAME)
+    texts = F.from_json(custom, "map<string,string>")
+    fine_custom = custom.isNull() | F.coalesce(
+        (F.size(F.json_object_keys(custom)) <= MAX_PARAMETERS)
+        & ~custom.rlike(r'":\s*[^"\s]')
+        & (F.aggregate(F.map_entries(texts), F.lit(0), lambda n, e: n + F.char_length(e["key"]) + F.char_length(e["value"])) <= MAX_NAME),
+        F.lit(False),
+    )
+    one_of = lambda name, values, needed: F.coalesce(F.get_json_object(form, f"$.{name}").isin(values), F.lit(not needed) & F.get_json_object(form, f"$.{name}").isNull())
+    fields = F.coalesce(within("_start", START_FIELDS), F.lit(False)) & short(F.col("session")) & short(part("stream_sid")) & party("from") & party("to") & fine_custom
+    formed = F.coalesce(within(form, FORMAT_FIELDS), F.lit(False)) & one_of("encoding", ENCODINGS, True) & one_of("sample_rate", SAMPLE_RATES, True) & one_of("channels", CHANNELS, False) & one_of("bit_rate", BIT_RATES, False)
+    wanted = F.create_map(*[x for k, v in ENVELOPES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return rows.withColumns({
+        "call": inner("call_sid"),
+        "account": inner("account_sid"),
+        "inner_session": part("stream_sid"),
+        "own_fields": F.coalesce(F.try_element_at(wanted, F.col("kind")) == F.col("_keys"), F.lit(False)),
+        "start_fault": F.when(F.col("kind") == "start", F.when(~fields, "FIELDS").when(~formed, "FORMAT")),
+        "numbered_chunk": F.coalesce(F.get_json_object("value", "$.media").rlike(r'"chunk":[0-9]+[,}]'), F.lit(False)),
+    }).drop("_start", "_stop", "_keys")

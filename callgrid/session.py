@@ -30,3 +30,16 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(top)))
     sc.addPyFile(path)
     sc._callgrid_shipped = True
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; where none is set, a local one for a
+    plain local master, as in tests."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = getattr(work_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="callgrid-")
+        work_dir.own = where
+    return where.rstrip("/")
