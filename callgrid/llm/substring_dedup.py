@@ -79,11 +79,8 @@ def word_hashes(part: pa.RecordBatch, col: str) -> tuple[np.ndarray, np.ndarray,
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, _id, _th, _text. A text's hash tells rows of one identifier apart: 32 bits, but 64 where
-    the identifier is null and any number of rows share it."""
-    full = F.xxhash64(text_of(text_col))
-    short = F.shiftrightunsigned(full, 32)
-    return docs.select(F.col(id_col).alias("doc_id"), order_id(id_col).alias("_id"), F.when(F.col(id_col).isNull(), full).otherwise(short).alias("_th"), text_of(text_col).alias("_text"))
+    """doc_id, _id, _th, _text. A text's hash tells rows of one identifier apart."""
+    return docs.select(F.col(id_col).alias("doc_id"), order_id(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_th"), text_of(text_col).alias("_text"))
 
 
 def repeats(keyed: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
@@ -149,8 +146,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 starts, ends, first = words(off, data)
                 edge = np.zeros(len(starts) + 1, dtype=np.int32)
                 of = np.repeat(np.arange(part.num_rows), pc_lengths(part.column("_s")))
-                np.add.at(edge, first[of] + np.asarray(part.column("_s").flatten()), 1)
-                np.add.at(edge, first[of] + np.asarray(part.column("_e").flatten()), -1)
+                begin, end = (first[of] + np.asarray(part.column(c).flatten()) for c in ("_s", "_e"))
+                own = end <= first[of + 1]  # no mark reaches beyond its text
+                np.add.at(edge, begin[own], 1)
+                np.add.at(edge, end[own], -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 # kept words joined by one space: each keeps one byte of white space behind it
                 keep = np.flatnonzero(~gone)

@@ -267,3 +267,14 @@ def test_exact_dedup_of_hot_texts(spark, docs, sample_a_range):
     kept = {r["doc_id"] for r in got if r["kept"]}
     assert {r["doc_id"] for r in exact_dedup.drop_copies(table, sample_a_range=sample_a_range).collect()} == kept
     assert exact_dedup.drop_copies(table, sample_a_range=sample_a_range).count() == len(norm)
+
+
+def test_rows_of_one_identifier_keep_their_own_marks(spark):
+    """A passage beside a text whose hash begins alike, both under identifier 7: only the passage's copy loses words."""
+    short = "alpha beta8493"
+    head = [f"p{i}" for i in range(40)]
+    table = lambda long_: spark.createDataFrame([(1, " ".join(head)), (7, long_), (7, short), (7, "alpha beta41373")], "doc_id long, text string")
+    got = substring_dedup.remove_repeats(table(" ".join(head) + " more")).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [(1, 40, 0), (7, 2, 0), (7, 2, 0), (7, 41, 40)]
+    first = spark.createDataFrame([(1, short + " " + " ".join(head)), (7, short), (7, "alpha beta41373 " + " ".join(head))], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(first).collect()) == [(1, 42, 0), (7, 2, 0), (7, 42, 40)]
