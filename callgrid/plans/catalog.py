@@ -28,4 +28,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["team_report"](spark, sf_dir)
 
 
-from callgrid.plans import calls, intake, language, live, reporting  # noqa: E402, F401
+from callgrid.plans import calls, intake, language, live, reporting, streams  # noqa: E402, F401

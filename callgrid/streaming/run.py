@@ -39,3 +39,12 @@ def drained(stream: DataFrame, checkpoint: str | None = None, out: str | None =
         finally:
             query.stop()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def streamed(rows: DataFrame, files_a_batch: int | None = None) -> DataFrame:
+    """A table as a stream: it is written to a new folder in the shared one, which the stream reads."""
+    spark = rows.sparkSession
+    path = f"{work_dir(spark)}/source-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    reader = spark.readStream.schema(rows.schema)
+    return (reader if files_a_batch is None else reader.option("maxFilesPerTrigger", files_a_batch)).parquet(path)
