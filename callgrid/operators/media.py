@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -54,6 +54,92 @@ def wav_properties(raw: bytes | None) -> tuple[int | None, int | None, int | Non
     return rate, channels, ms, "TRUNCATED" if data[0] + data[1] > len(raw) else None
 
 
+# fixed values of MPEG audio, layer III: kilobits a second by index (version 1; versions 2 and 2.5), samples a second by version and index
+MP3_RATES = {1: [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320], 2: [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160]}
+MP3_SAMPLES = {3: [44_100, 48_000, 32_000], 2: [22_050, 24_000, 16_000], 0: [11_025, 12_000, 8_000]}
+
+
+def mp3_frame(raw: bytes, at: int) -> tuple[int, int, int, int] | None:
+    """Length, samples, rate and channels of the frame whose header stands there, or None."""
+    if at + 4 > len(raw):
+        return None
+    h = int.from_bytes(raw[at : at + 4], "big")
+    version, layer, rate_at, sample_at = h >> 19 & 3, h >> 17 & 3, h >> 12 & 15, h >> 10 & 3
+    if h >> 21 != 0x7FF or version == 1 or layer != 1 or not 0 < rate_at < 15 or sample_at == 3:
+        return None
+    samples, rate = (1152 if version == 3 else 576), MP3_SAMPLES[version][sample_at]
+    return samples // 8 * MP3_RATES[1 if version == 3 else 2][rate_at] * 1000 // rate + (h >> 9 & 1), samples, rate, 1 if h >> 6 & 3 == 3 else 2
+
+
+def mp3_announced(raw: bytes, at: int) -> int | None:
+    """Number of sound frames that a first frame's own tag announces (variable and constant rate)."""
+    length, _, rate, channels = mp3_frame(raw, at)
+    one = raw[at + 1] >> 3 & 3 == 3
+    tag = at + 4 + (17 if channels == 1 else 32) if one else at + 4 + (9 if channels == 1 else 17)
+    if raw[tag : tag + 4] in (b"Xing", b"Info") and raw[tag + 7 : tag + 8] and raw[tag + 7] & 1:
+        return int.from_bytes(raw[tag + 8 : tag + 12], "big")
+    if raw[at + 36 : at + 40] == b"VBRI":
+        return int.from_bytes(raw[at + 50 : at + 54], "big")
+    return -1 if raw[tag : tag + 4] in (b"Xing", b"Info") else None
+
+
+def mp3_properties(raw: bytes | None) -> tuple[int | None, int | None, int | None, str | None]:
+    """rate, channels, milliseconds and fault of an MP3 file, by a walk over its frame headers: tags before and
+    after the sound are skipped, the time is that of the frames that are whole. TRUNCATED: fewer of them than
+    its first frame announces, less 2, or a last one that the file's end cuts."""
+    if not raw or len(raw) > MAX_AUDIO_BYTES:
+        return None, None, None, "SIZE"
+    at = 0
+    while raw[at : at + 3] == b"ID3" and at + 10 <= len(raw):
+        size = 0
+        for b in raw[at + 6 : at + 10]:
+            size = size << 7 | b & 127
+        at += 10 + size + 10 * (raw[at + 5] >> 4 & 1)
+    first = mp3_frame(raw, at)
+    if first is None:
+        return None, None, None, "FORMAT"
+    announced = mp3_announced(raw, at)
+    _, samples, rate, channels = first
+    n, cut = 0, False
+    if announced is not None:  # the first frame bears the tag, not sound
+        at += first[0]
+    while (frame := mp3_frame(raw, at)) is not None and frame[1:3] == (samples, rate):
+        cut = at + frame[0] > len(raw)
+        n += not cut
+        at += frame[0]
+    ms = round(n * samples * 1000 / rate)
+    if not cut and at < len(raw) and raw[at : at + 3] != b"TAG" and raw[at : at + 8] != b"APETAGEX" and raw[at:].strip(b"\0"):
+        return rate, channels, ms, "FORMAT"  # something else between or after the frames
+    if not 0 < ms <= MAX_MS:
+        return rate, channels, ms, "PROPERTIES"
+    return rate, channels, ms, "TRUNCATED" if cut or announced is not None and n + 2 < announced else None
+
+
+def audio_properties(raw: bytes | None) -> tuple[str | None, int | None, int | None, int | None, str | None]:
+    """codec (wav, mp3 or null) and the properties of a file of either kind."""
+    if raw and (raw[:3] == b"ID3" or len(raw) > 1 and raw[0] == 0xFF and raw[1] >> 5 == 7):
+        return "mp3", *mp3_properties(raw)
+    found = wav_properties(raw)
+    return ("wav" if raw and raw[:4] == b"RIFF" else None), *found
+
+
+def recordings(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Every audio file below a path (those whose names match): path, modified, n_bytes, codec, rate,
+    channels, duration_ms and fault; a file larger than may be is not read. Spark scans no empty files, so these
+    have no row here; ``listing.listed`` shows them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+
+    @F.pandas_udf("codec string, rate int, channels int, duration_ms int, fault string")
+    def run(batch: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame([audio_properties(x) for x in batch], columns=["codec", "rate", "channels", "duration_ms", "fault"])
+        return out.astype({"rate": "Int32", "channels": "Int32", "duration_ms": "Int32"})
+
+    small = files.filter(F.col("length") <= MAX_AUDIO_BYTES).withColumn("_p", run("content"))
+    large = files.filter(F.col("length") > MAX_AUDIO_BYTES).withColumn("_p", F.lit(None).cast(small.schema["_p"].dataType))
+    rows = small.drop("content").unionByName(large.drop("content"))
+    return rows.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("n_bytes"), "_p.codec", "_p.rate", "_p.channels", "_p.duration_ms", F.when(F.col("n_bytes") > MAX_AUDIO_BYTES, "SIZE").otherwise(F.col("_p.fault")).alias("fault"))
+
+
 def inspected(files: Column) -> Column:
     """rate, channels, duration_ms and fault of WAV files."""
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from callgrid.operators import scans
+
 # fixed values: window, cooldown, least samples, drop of means, least mean probability, trend length
 WINDOW_MS, COOLDOWN_MS, MIN_SAMPLES, DROP, MIN_PROB, TREND_MS = 30_000, 90_000, 3, "0.4", "0.7", 60_000
 EXACT = "decimal(19,17)"
@@ -40,6 +42,11 @@ def alerts(signals: DataFrame, window_ms: int = WINDOW_MS, cooldown_ms: int = CO
     return by_call.select("call_id", F.explode(cooled(F.col("a"), cooldown_ms)).alias("alert_ms"))
 
 
+def long_alerts(signals: DataFrame, window_ms: int = WINDOW_MS, cooldown_ms: int = COOLDOWN_MS) -> DataFrame:
+    """``alerts`` for calls of any length."""
+    return scans.kept_apart(drop_windows(signals, window_ms), "call_id", "alert_ms", cooldown_ms)
+
+
 def _weighted(signals: DataFrame, order: list[Column], name: str) -> DataFrame:
     w = Window.partitionBy("call_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inside = signals.withColumn("_before", F.coalesce(F.sum("dur").over(w), F.lit(0))).filter(F.col("_before") < TREND_MS)

@@ -36,6 +36,25 @@ def hold_deadline(spark, sf_dir):
     return by.select("call_id", intervals.paused_deadline(F.col("call_id") * 100, F.lit(30000), intervals.merged_array(F.col("h"))).alias("deadline_ms"))
 
 
+ORACLES["long_call_holds"] = ORACLES["hold_deadline"]
+
+
+@query("long_call_holds")
+def long_call_holds(spark, sf_dir):
+    """hold_deadline by scans over ranges, without an array of a call's holds."""
+    holds = view(spark, sf_dir, "v_intervals").select("call_id", "start_ms", "end_ms")
+    starts = holds.select("call_id").distinct().select("call_id", (F.col("call_id") * 100).alias("start_ms"), F.lit(30000).cast("long").alias("opportunity_ms"))
+    return intervals.long_deadlines(starts, holds)
+
+
+@query("spoken_holds", "select u.call_id, u.turn, count(*) n_holds, sum(least(u.end_ms, i.end_ms) - greatest(u.start_ms, i.start_ms))::bigint held_ms from v_utterances u join v_intervals i on i.call_id = u.call_id and i.start_ms < u.end_ms and u.start_ms < i.end_ms and i.start_ms < i.end_ms group by 1, 2")
+def spoken_holds(spark, sf_dir):
+    """Utterances and the holds that they overlap, by a join on bins."""
+    u = view(spark, sf_dir, "v_utterances").select("call_id", "turn", "start_ms", "end_ms")
+    pairs = intervals.overlapping(u, view(spark, sf_dir, "v_intervals").select("call_id", "start_ms", "end_ms"))
+    return pairs.groupBy("call_id", "turn").agg(F.count(F.lit(1)).alias("n_holds"), F.sum("overlap_ms").alias("held_ms"))
+
+
 # phrases of the invented prose of the test tables
 OPENING = {"opportunity_ms": 30_000, "phrase_variants": ["the of", "de la", "die der", "of the"]}
 CLOSING = {"window_ms": 15_000, "phrase_variants": ["the the", "de la", "in the"]}
@@ -142,6 +161,15 @@ def sentiment_alerts(spark, sf_dir):
     return sentiment.alerts(_signals(spark, sf_dir))
 
 
+ORACLES["long_call_alerts"] = ORACLES["sentiment_alerts"]
+
+
+@query("long_call_alerts")
+def long_call_alerts(spark, sf_dir):
+    """sentiment_alerts by doubling pointers, without an array of a call's alerts."""
+    return sentiment.long_alerts(_signals(spark, sf_dir))
+
+
 @query(
     "speech_trend",
     """with o as (select *, coalesce(sum(dur) over (partition by call_id order by start_ms, signal_id rows between unbounded preceding and 1 preceding), 0) b1, coalesce(sum(dur) over (partition by call_id order by start_ms desc, signal_id desc rows between unbounded preceding and 1 preceding), 0) b2 from v_signals)

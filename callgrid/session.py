@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -43,3 +44,10 @@ def work_dir(spark: SparkSession) -> str:
         where = getattr(work_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="callgrid-")
         work_dir.own = where
     return where.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table as written to the shared folder: lineage ends there, and every reader sees the same rows."""
+    path = f"{work_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
