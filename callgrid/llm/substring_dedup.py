@@ -100,7 +100,8 @@ def repeats(keyed: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
     seeds = stash(found.join(stash(shared), "h"))
     place = F.struct("_id", "_th", "pos")
     # the span's hashes cover anchor and length, so they are the only key, and its first has the length
-    firsts = seeds.groupBy("span", "second").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("many").alias("many"))
+    # a table of its own too: the join with it deals both sides out anew, so that a hot stretch can be cut
+    firsts = stash(seeds.groupBy("span", "second").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("many").alias("many")))
     copies = seeds.drop("h", "n", "many").join(firsts.drop("many"), ["span", "second"]).filter(place > F.col("first")).select("_id", "_th", F.col("pos").alias("s"), (F.col("pos") + F.col("n") + length - 1).alias("e"))
 
     # where one anchor has several extensions, the first of each is compared window by window
