@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from callgrid.session import written
+
 # fixed limits of a configuration
 MAX_BYTES, MAX_VALUES, MAX_DEPTH, MAX_ITEMS, MAX_TEXT = 262_144, 20_000, 16, 4096, 16_384
 # fixed values: fields of a configuration and of its identity, names that no field may have, identifiers
@@ -313,20 +315,23 @@ def speaker_turns(utterances: DataFrame) -> DataFrame:
 
 def pack_turns(sizes: list[int], context: int, window: int, overlap: int, most: int) -> list[list[int]] | None:
     """Turn numbers of each window under a budget of characters; None where the call does not fit."""
-    if sum(sizes) > context or any(s > window for s in sizes) and sum(sizes) > window:
+    total = sum(sizes)
+    if total > context or max(sizes, default=0) > window < total:
         return None
-    if sum(sizes) <= window:
+    if total <= window:
         return [list(range(len(sizes)))]
     out: list[list[int]] = []
-    now: list[int] = []
+    first, used = 0, 0  # the open window's first turn, and its characters
     for i, size in enumerate(sizes):
-        if now and sum(sizes[j] for j in now) + size > window:
-            out.append(now)
-            now = now[-overlap:] if overlap else []
-            while now and sum(sizes[j] for j in now) + size > window:
-                now = now[1:]
-        now = [*now, i]
-    out.append(now)
+        if first < i and used + size > window:
+            out.append(list(range(first, i)))
+            first = max(first, i - overlap)
+            used = sum(sizes[first:i])
+            while first < i and used + size > window:
+                used -= sizes[first]
+                first += 1
+        used += size
+    out.append(list(range(first, len(sizes))))
     return out if len(out) <= most else None
 
 
@@ -351,33 +356,107 @@ def abstain_reason(utterances: DataFrame) -> DataFrame:
     return sums.select("call_id", F.when(~F.col("final"), "INCOMPLETE_TRANSCRIPT").when(~F.col("roles"), "UNCERTAIN_SPEAKER_ROLE").when(~F.col("full"), "EMPTY_TRANSCRIPT_TURN").alias("reason"))
 
 
-def classify(utterances: DataFrame, config: Config, adapter) -> DataFrame:
-    """The whole classification: abstain reasons, turns, windows, an injected model call over each window, chunk
-    aggregation of noul questions, and the rules. adapter(texts of one window's turns) gives
-    {question: (p_yes, confidence)}; it runs where the windows are."""
-    import pandas as pd
-
+SIGNALS = "window int, question string, number double, choice string, probabilities map<string,double>, confidence double"
+
+
+def signal_row(question: dict, signal: dict, ids: set) -> tuple:
+    """(number, choice, probabilities, confidence) of a model's signal; a ValueError, TypeError or KeyError if it
+    does not fit its question or names evidence from outside its window."""
+    kind, confidence = question["type"], float(signal["confidence"])
+    number, choice, shares = None, None, None
+    if not 0 <= confidence <= 1 or any(e not in ids for e in signal.get("evidence_ids", [])):
+        raise ValueError("confidence or evidence")
+    if kind == "choice":
+        choice, shares = signal["value"], {str(k): float(p) for k, p in signal["probabilities"].items()}
+        options = set(question["criteria"])
+        mine = shares[choice]
+        if set(shares) != options or not all(0 <= p <= 1 for p in shares.values()) or abs(sum(shares.values()) - 1) > 0.02 or mine + 0.02 < max(shares.values()) or abs(mine - confidence) > 0.02:
+            raise ValueError("probabilities")
+    else:
+        number = float(signal["p_yes" if kind == "noul" else "value"])
+        if not (0 <= number <= 1 if kind == "noul" else math.isfinite(number)):
+            raise ValueError("value")
+    return number, choice, shares, confidence
+
+
+def asked(texts: DataFrame, questions: dict, adapter) -> DataFrame:
+    """What a model says of each window. texts: call_id, window, turn, ids, text. adapter(questions, texts of
+    one window's turns) gives {question: signal}; it is called once a window, in a table function that gets
+    the windows' turns in order. A row for each question, or one without a question where the answer is not
+    valid."""
+    from pyspark.sql.functions import udtf
+
+    kind = texts.schema["call_id"].dataType.simpleString()
+
+    @udtf(returnType=f"call_id {kind}, {SIGNALS}")
+    class Ask:
+        def __init__(self):
+            self.key, self.texts, self.ids = None, [], set()
+
+        def eval(self, row):
+            self.key = (row["call_id"], row["window"])
+            self.texts.append(row["text"])
+            self.ids.update(row["ids"])
+
+        def terminate(self):
+            if self.key is None:
+                return
+            try:
+                said = adapter(questions, self.texts)
+                if set(said) != set(questions):
+                    raise ValueError("questions")
+                rows = [(*self.key, q, *signal_row(questions[q], said[q], self.ids)) for q in questions]
+            except (ValueError, TypeError, KeyError, AttributeError):
+                rows = [(*self.key, None, None, None, None, None)]
+            yield from rows
+
+    return Ask(texts.asTable().partitionBy("call_id", "window").orderBy("turn"))
+
+
+def signals_of(said: DataFrame, questions: dict, review: float) -> DataFrame:
+    """The signals of each call's windows as one: call_id, a struct a question, n, invalid and conflict."""
+    rows = said.groupBy("call_id").agg(F.count_distinct("window").alias("n"), F.max(F.col("question").isNull()).alias("invalid"))
+    conflict = F.lit(False)
+    for q, question in questions.items():
+        part = said.filter(F.col("question") == q)
+        if question["type"] == "choice":
+            one = part.groupBy("call_id").agg(F.max("choice").alias("_only"))  # of a call with one window
+            many = aggregate_chunks(part.select("call_id", F.col("choice").alias("value"), "probabilities", "confidence"), "choice", review)
+            each = many.join(one, "call_id").select("call_id", F.col("conflict").alias(f"_conflict_{q}"), F.struct(F.col("value"), F.col("_only"), F.col("confidence")).alias(q))
+            rows = rows.join(each, "call_id", "left").withColumn(q, F.when(F.col(q).isNotNull(), F.struct(F.when(F.col("n") == 1, F.col(q)["_only"]).otherwise(F.col(q)["value"]).alias("value"), F.col(q)["confidence"].alias("confidence"))))
+        else:
+            name = "p_yes" if question["type"] == "noul" else "value"
+            each = aggregate_chunks(part.select("call_id", F.col("number").alias("value"), "confidence"), question["type"], review)
+            rows = rows.join(each.select("call_id", F.col("conflict").alias(f"_conflict_{q}"), F.struct(F.col("value").alias(name), "confidence").alias(q)), "call_id", "left")
+        conflict = conflict | F.coalesce(F.col(f"_conflict_{q}"), F.lit(False))
+    return rows.withColumn("conflict", conflict).drop(*[f"_conflict_{q}" for q in questions])
+
+
+def classify(utterances: DataFrame, config: Config, adapter, facts: DataFrame | None = None) -> DataFrame:
+    """The whole classification: front gates on the caller's facts, reasons to abstain, turns, windows, an
+    injected model call over each window (see ``asked``), the windows' signals as one, and the rules. facts:
+    call_id (once) and the columns that gates name; a call that a gate decides is not shown to the model.
+    Gives call_id, status, code, confidence, review_reason and matched_rule of every call of either table."""
+    sources = list(dict.fromkeys(g["source"] for g in config.gates))
+    calls = utterances.select("call_id").distinct()
+    if facts is None:
+        known = calls
+        for name in sources:
+            known = known.withColumn(name, F.lit(None).cast("string"))
+    else:
+        known = calls.join(facts.select("call_id", *[c if c in facts.columns else F.lit(None).cast("string").alias(c) for c in sources]), "call_id", "full")
+    open_ = known.withColumn("_gate", gate(config)).filter("_gate is null").select("call_id")
     reasons = abstain_reason(utterances)
-    fit = utterances.join(reasons.filter("reason is null").select("call_id"), "call_id", "left_semi")
+    fit = utterances.join(reasons.filter("reason is null").select("call_id"), "call_id", "left_semi").join(open_, "call_id", "left_semi")
     turns = speaker_turns(fit)
     runtime = config.runtime
     windows = turn_windows(turns, runtime.get("context_limit_chars", 100_000), runtime.get("window_chars", 12_000), runtime.get("overlap_turns", 1), runtime.get("max_chunks", 128))
-    texts = windows.select("call_id", "window", F.explode("turns").alias("turn")).join(turns.select("call_id", "turn", "text"), ["call_id", "turn"])
-    texts = texts.groupBy("call_id", "window").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t")).select("call_id", "window", F.col("t.text").alias("texts"))
-
-    def ask(batches):
-        for pdf in batches:
-            rows = [(c, q, float(p), float(k)) for c, t in zip(pdf["call_id"], pdf["texts"]) for q, (p, k) in adapter(list(t)).items()]
-            yield pd.DataFrame(rows, columns=["call_id", "question", "value", "confidence"])
-
-    kind = utterances.schema["call_id"].dataType.simpleString()
-    got = texts.mapInPandas(ask, f"call_id {kind}, question string, value double, confidence double")
-    got = got.groupBy("call_id", "question").agg((F.max("value") - F.min("value") > CONFLICT_SPREAD).alias("conflict"), F.avg("value").alias("p_yes"), F.min("confidence").alias("confidence"))
-    wide = got.groupBy("call_id").pivot("question", list(config.questions)).agg(F.first(F.struct("p_yes", "confidence"), ignorenulls=True))
-    conflicts = got.groupBy("call_id").agg(F.max("conflict").alias("conflict"))
-    rows = reasons.join(wide, "call_id", "left").join(conflicts, "call_id", "left")
-    for g in config.gates:
-        rows = rows.withColumn(g["source"], F.lit(None).cast("string"))
-    early = F.coalesce(F.col("reason"), F.when(F.col("conflict").isNull(), "CONTEXT_LIMIT").when(F.col("conflict"), "CONFLICTING_CHUNK_SIGNALS"))
-    done = resolve(rows.withColumn("early", early), config)
-    return done.select("call_id", F.when(F.col("early").isNotNull(), "NEEDS_REVIEW").otherwise(F.col("status")).alias("status"), F.when(F.col("early").isNull(), F.col("code")).alias("code"), F.coalesce("early", "review_reason").alias("review_reason"))
+    texts = windows.select("call_id", "window", F.explode("turns").alias("turn")).join(turns.select("call_id", "turn", F.transform("ids", lambda i: i.cast("string")).alias("ids"), "text"), ["call_id", "turn"])
+    # written once, so that no part of the plan asks the model again
+    said = signals_of(written(asked(texts, config.questions, adapter)), config.questions, config.review)
+    rows = known.join(reasons, "call_id", "left").join(said, "call_id", "left")
+    early = F.when(F.col("_spoken").isNull(), "INCOMPLETE_TRANSCRIPT").otherwise(F.coalesce("reason", F.when(F.col("n").isNull(), "CONTEXT_LIMIT").when(F.col("invalid"), "INVALID_MODEL_OUTPUT").when(F.col("conflict"), "CONFLICTING_CHUNK_SIGNALS")))
+    rows = rows.join(calls.withColumn("_spoken", F.lit(True)), "call_id", "left").withColumn("early", F.when(gate(config).isNull(), early))
+    done = resolve(rows, config)
+    kept = lambda c: F.when(F.col("early").isNull(), F.col(c)).alias(c)
+    return done.select("call_id", F.when(F.col("early").isNotNull(), "NEEDS_REVIEW").otherwise(F.col("status")).alias("status"), kept("code"), kept("confidence"), F.coalesce("early", "review_reason").alias("review_reason"), kept("matched_rule"))

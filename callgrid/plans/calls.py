@@ -294,15 +294,56 @@ def turn_windows(spark, sf_dir):
     return disposition.turn_windows(disposition.speaker_turns(u), 100_000, 2_000, 1, 128)
 
 
-@query("classified_calls")
-def classified_calls(spark, sf_dir):
-    """The whole classification with a stand-in for the model: the share of vowels in the text."""
+WINDOWS = {"context_limit_chars": 20_000, "window_chars": 4_000, "overlap_turns": 1, "max_chunks": 16}
+CLASSES = CONFIG | {
+    "questions": {"commitment": {"type": "noul"}, "mood": {"type": "score"}, "topic": {"type": "choice", "criteria": ["long", "short"]}},
+    "resolver": {
+        "default_emit": "REVIEW",
+        "rules": [
+            {"id": "KEEN", "priority": 1, "when": {"all": [{"signal": "commitment", "operator": "NOUL_GTE", "value": 0.6}, {"signal": "topic", "operator": "CHOICE_EQ", "value": "long"}]}, "emit": "COMMITTED"},
+            {"id": "UPSET_CALL", "priority": 2, "when": {"signal": "mood", "operator": "SCORE_LTE", "value": 0.3}, "emit": "UPSET"},
+            {"id": "SHORT", "priority": 3, "when": {"signal": "topic", "operator": "CHOICE_IN", "value": ["short"]}, "emit": "NEUTRAL"},
+        ],
+    },
+    "confidence": {"default_commit_threshold": 0.7, "default_review_threshold": 0.45, "per_code": {"UPSET": {"commit_threshold": 0.85}}},
+    "runtime": WINDOWS,
+}
+
 
-    def vowels(texts):
-        t = " ".join(texts).lower()
-        share = sum(t.count(v) for v in "aeiou") / max(1, len(t))
-        return {"commitment": (min(1.0, 2 * share), 0.8), "mood": (share, 0.9)}
+def vowels(questions: dict, texts: list[str]) -> dict:
+    """A stand-in for the model: the share of vowels in the text, and its length."""
+    t = " ".join(texts)
+    share, long_ = sum(t.count(v) for v in "aeiouAEIOU") / max(1, len(t)), min(1.0, len(t) / 4000)
+    topic = {"value": "long" if long_ >= 0.5 else "short", "probabilities": {"long": long_, "short": 1 - long_}, "confidence": max(long_, 1 - long_)}
+    return {"commitment": {"p_yes": min(1.0, 2 * share), "confidence": 0.8}, "mood": {"value": share, "confidence": 0.9}, "topic": topic}
 
-    config = disposition.compile_config(CONFIG | {"questions": {"commitment": {"type": "noul"}, "mood": {"type": "noul"}}, "resolver": {"default_emit": "REVIEW", "rules": [{"id": "C", "priority": 1, "when": {"signal": "commitment", "operator": "NOUL_GTE", "value": 0.6}, "emit": "COMMITTED"}]}, "runtime": {"context_limit_chars": 20_000, "window_chars": 4_000, "overlap_turns": 1, "max_chunks": 16}})
-    u = _spoken(spark, sf_dir).filter("role <> 'IVR' or call_id % 2 = 0").withColumn("speaker", F.col("role"))
-    return disposition.classify(u, config, vowels)
+
+@query(
+    "classified_calls",
+    """with recursive u as (select * from v_utterances where role <> 'IVR' or call_id % 2 = 0),
+      why as (select call_id, case when not bool_and(role in ('AGENT', 'CUSTOMER')) then 'UNCERTAIN_SPEAKER_ROLE' when not bool_and(length(trim(text)) > 0) then 'EMPTY_TRANSCRIPT_TURN' end reason from u group by 1),
+      facts as (select distinct call_id, case when call_id % 5 <> 0 then case when call_id % 9 = 0 then 'NO_ANSWER' else 'OK' end end line from v_utterances),
+      s as (select call_id, turn, text, start_ms, end_ms, case when lag(role) over (partition by call_id order by start_ms, end_ms, turn) = role then 0 else 1 end k from u where call_id in (select call_id from why where reason is null)),
+      g as (select *, sum(k) over (partition by call_id order by start_ms, end_ms, turn rows between unbounded preceding and current row) g from s),
+      t as (select call_id, g::int i, (sum(length(text)) + count(*) - 1)::bigint n, sum(length(text) - length(regexp_replace(text, '[aeiouAEIOU]', '', 'g')))::bigint v from g group by 1, 2),
+      fit as (select call_id from t group by 1 having sum(n) <= 20000 and (max(n) <= 4000 or sum(n) <= 4000)),
+      w as (select call_id, i, n, 0 as win, [i] as held, n as used from t where i = 1 and call_id in (select call_id from fit)
+        union all select t.call_id, t.i, t.n, win + (used + t.n > 4000)::int, case when used + t.n <= 4000 then list_append(held, t.i) when w.n + t.n <= 4000 then [w.i, t.i] else [t.i] end,
+          case when used + t.n <= 4000 then used + t.n when w.n + t.n <= 4000 then w.n + t.n else t.n end from w join t on t.call_id = w.call_id and t.i = w.i + 1),
+      p as (select call_id, win, unnest(arg_max(held, i)) i from w where call_id in (select call_id from w group by 1 having max(win) < 16) group by 1, 2),
+      q as (select p.call_id, p.win, sum(t.v)::double / greatest(1, sum(t.n) + count(*) - 1) share, least(1.0, (sum(t.n) + count(*) - 1) / 4000.0)::double l from p join t on t.call_id = p.call_id and t.i = p.i group by 1, 2),
+      a as (select call_id, count(*) n, avg(least(1.0, 2 * share)) c, avg(share) m, min(greatest(l, 1 - l)) k, sum(l) sl, sum(1 - l) ss,
+        max(least(1.0, 2 * share)) - min(least(1.0, 2 * share)) > 0.25 or max(share) - min(share) > 0.25 or count(distinct case when greatest(l, 1 - l) >= 0.45 then l >= 0.5 end) > 1 bad from q group by 1),
+      r as (select f.call_id, line, reason, n, c, m, k, bad, case when sl >= ss then 'long' else 'short' end topic, u.call_id is not null spoken from facts f left join (select distinct call_id from u) u on u.call_id = f.call_id left join why on why.call_id = f.call_id left join a on a.call_id = f.call_id),
+      d as (select *, case when line = 'NO_ANSWER' then 'NO_CONNECTION' when not spoken or reason is not null or n is null or bad then null when c >= 0.6 and topic = 'long' then 'KEEN' when m <= 0.3 then 'UPSET_CALL' when topic = 'short' then 'SHORT' end id from r),
+      e as (select *, case id when 'NO_CONNECTION' then 1.0 when 'KEEN' then least(0.8, k) when 'UPSET_CALL' then 0.9 when 'SHORT' then k end conf, case id when 'UPSET_CALL' then 0.85 else 0.7 end least_conf from d),
+      z as (select *, case when id = 'NO_CONNECTION' then null when not spoken then 'INCOMPLETE_TRANSCRIPT' when reason is not null then reason when n is null then 'CONTEXT_LIMIT' when bad then 'CONFLICTING_CHUNK_SIGNALS' when id is null then 'NO_RULE_MATCHED' when conf < least_conf then 'LOW_CONFIDENCE' end fault from e)
+      select call_id, case when fault is null then 'RESOLVED' else 'NEEDS_REVIEW' end status, case when fault is null then case id when 'NO_CONNECTION' then 'NO_CONTACT' when 'KEEN' then 'COMMITTED' when 'UPSET_CALL' then 'UPSET' else 'NEUTRAL' end end code, case when fault is null then round(conf, 9) end confidence, fault review_reason, case when fault is null then id end matched_rule from z""",
+)
+def classified_calls(spark, sf_dir):
+    """The whole classification, with facts, all three kinds of question and a stand-in for the model."""
+    every = _spoken(spark, sf_dir)
+    u = every.filter("role <> 'IVR' or call_id % 2 = 0").withColumn("speaker", F.col("role"))
+    line = F.when(F.col("call_id") % 5 != 0, F.when(F.col("call_id") % 9 == 0, "NO_ANSWER").otherwise("OK"))
+    facts = every.select("call_id").distinct().withColumn("line", line)
+    return disposition.classify(u, disposition.compile_config(CLASSES), vowels, facts).withColumn("confidence", F.round("confidence", 9))
