@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from callgrid.functions.patterns import ACCOUNT, PHONE
 
 
+@functools.cache
+def _foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """Lower-case letters that full case folding changes: to one letter, and to several."""
+    letters = (chr(i) for i in range(128, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000)
+    changed = {c: c.casefold() for c in letters if c.lower() == c != c.casefold()}
+    return {c: f for c, f in changed.items() if len(f) == 1}, {c: f for c, f in changed.items() if len(f) > 1}
+
+
+def casefolded(c: Column) -> Column:
+    """Full case folding: lower case, a letter's variants as one, and sharp s, ligatures and the like as the
+    letters they stand for. Texts without such letters are only lower-cased."""
+    one, several = _foldings()
+    low = F.lower(c)
+    single = F.translate(low, "".join(one), "".join(one.values()))
+    both = functools.reduce(lambda t, f: F.replace(t, F.lit(f[0]), F.lit(f[1])), several.items(), single)
+    return F.when(low.rlike("[" + "".join(several) + "]"), both).when(low.rlike("[^\\x00-\\x7f]"), single).otherwise(low)
+
+
 def normalised_phrase(c: Column) -> Column:
-    """Lower case, punctuation as space, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
+    """Case-folded, punctuation as space, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(casefolded(c), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
 
 
 def normalised_words(c: Column) -> Column:
-    """Lower-case words without punctuation at their edges."""
-    return F.filter(F.transform(F.split(F.lower(c), r"(?U)\s+"), lambda w: F.regexp_replace(w, r"(?U)^[^\w]+|[^\w]+$", "")), lambda w: w != "")
+    """Case-folded words without punctuation at their edges."""
+    return F.filter(F.transform(F.split(casefolded(c), r"(?U)\s+"), lambda w: F.regexp_replace(w, r"(?U)^[^\w]+|[^\w]+$", "")), lambda w: w != "")
 
 
 def csv_cell(c: Column) -> Column:

@@ -119,7 +119,7 @@ def findings_export(calls: DataFrame, findings: DataFrame, scope: Scope, start:
 
 def exported(rows: DataFrame, path: str, limit: int = MAX_EXPORT_ROWS) -> int:
     """Writes an export (bounded by limit) as one CSV file with CRLF line ends; more rows are an error."""
-    got = rows.toPandas()
+    got = rows.limit(limit + 1).toPandas()
     if len(got) > limit:
         raise ValueError("the export has more rows than allowed")
     got.to_csv(path, index=False, lineterminator="\r\n")
@@ -127,17 +127,14 @@ def exported(rows: DataFrame, path: str, limit: int = MAX_EXPORT_ROWS) -> int:
 
 
 def call_detail(calls: DataFrame, audits: DataFrame, reviews: DataFrame, findings: DataFrame, scope: Scope) -> DataFrame:
-    """One row a call: its newest audit with a superseded flag, its findings and its reviews. Children are
-    aggregated by call before they are joined."""
+    """One row a call: its newest audit with a superseded flag, its findings and its reviews. Only children of
+    calls in scope are read on, and they are aggregated by call before they are joined."""
     seen = scoped(calls, scope).filter(alive())
-    top = audits.withColumn("_top", F.max("revision").over(_by_call())).filter("revision = _top").select("call_id", "audit_id", F.col("revision").alias("audit_revision"), F.col("transcript_revision").alias("_audited"), "decision", "overall_score")
-    notes = reviews.groupBy("audit_id").agg(F.count(F.lit(1)).alias("n_reviews"), F.max("version").alias("current_review_version"))
-    found = findings.groupBy("call_id", "transcript_revision").agg(F.array_sort(F.collect_list(F.struct("rule_id", "status", "severity"))).alias("findings"))
+    own = lambda df, *keys: df.join(seen.select(*keys), list(keys), "left_semi")
+    newest = F.max_by(F.struct("audit_id", F.col("revision").alias("audit_revision"), F.col("transcript_revision").alias("_audited"), "decision", "overall_score"), F.struct("revision", "audit_id"))
+    top = own(audits, "call_id").groupBy("call_id").agg(newest.alias("a")).select("call_id", "a.*")
+    notes = reviews.join(top.select("audit_id"), "audit_id", "left_semi").groupBy("audit_id").agg(F.count(F.lit(1)).alias("n_reviews"), F.max("version").alias("current_review_version"))
+    found = own(findings, "call_id", "transcript_revision").groupBy("call_id", "transcript_revision").agg(F.array_sort(F.collect_list(F.struct("rule_id", "status", "severity"))).alias("findings"))
     rows = seen.join(top, "call_id", "left").join(notes, "audit_id", "left").join(found, ["call_id", "transcript_revision"], "left")
     return rows.withColumn("superseded", F.coalesce(F.col("_audited") != F.col("transcript_revision"), F.lit(True))).withColumn("current_review_version", F.coalesce("current_review_version", F.lit(0))).drop("_audited")
 
-
-def _by_call():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("call_id")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callgrid.session import written
 from callgrid.operators.audit import MAX_QUOTE_CHARS, MAX_QUOTES, OPTIONAL, WEIGHTS, weighted_score
 
 # fixed values: the labels that count as positive and negative, and bounds of a response
@@ -52,11 +53,22 @@ def _evidence_fault(evidence: Column, spoken: Column) -> Column:
     return F.when(evidence.isNull() | (F.size(evidence) > MAX_QUOTES) | ~F.forall(evidence, good), "INVALID_EVIDENCE")
 
 
+def spoken_by_call(utterances: DataFrame) -> DataFrame:
+    """The final utterances of each call's agents: call_id, _spoken (identifier to text), and _twice: whether an
+    identifier is there more than once."""
+    each = utterances.filter("is_final and role = 'AGENT'").groupBy("call_id", F.col("id").cast("string").alias("id")).agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("n"))
+    return each.groupBy("call_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "text"))).alias("_spoken"), (F.max("n") > 1).alias("_twice"))
+
+
 def checked_responses(responses: DataFrame, utterances: DataFrame) -> DataFrame:
     """responses: call_id, response (JSON) and objection_absent. Adds fault, null for a valid response, and
     overall_score. Faults are looked for in the order of the response: its fields, each dimension, the
-    narrative, the notes. A quote must stand in a final utterance of an agent of the same call."""
-    own = utterances.filter("is_final and role = 'AGENT'").groupBy("call_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), "text"))).alias("_spoken"))
+    narrative, the notes. A quote must stand in a final utterance of an agent of the same call. Where such an
+    identifier is there twice, no quote can be traced: REPEATED_UTTERANCE, before all others."""
+    return _checked(responses, spoken_by_call(utterances))
+
+
+def _checked(responses: DataFrame, own: DataFrame) -> DataFrame:
     rows = responses.join(own, "call_id", "left").withColumn("_agent", F.col("_spoken").isNotNull())
     rows = rows.withColumn("_spoken", F.coalesce("_spoken", F.create_map().cast("map<string,string>")))
     rows = rows.withColumns({"_r": F.from_json("response", RESPONSE), "_keys": F.array_sort(F.json_object_keys("response"))})
@@ -86,6 +98,7 @@ def checked_responses(responses: DataFrame, utterances: DataFrame) -> DataFrame:
     narrative = F.col("_r.coaching_narrative")
     indexed = F.transform(dims, lambda d, i: F.struct(d.alias("d"), i.alias("i")))
     fault = F.coalesce(
+        F.when(F.col("_twice"), "REPEATED_UTTERANCE"),
         F.when(F.col("_keys").isNull() | (F.col("_keys") != F.array(*map(F.lit, ("coaching_narrative", "dimensions", "highlights", "improvement_areas")))), "INVALID_SCHEMA"),
         F.when(dims.isNull() | (F.size(dims) != len(WEIGHTS)), "INVALID_DIMENSIONS"),
         _first(indexed, lambda x: dimension(x["d"], x["i"])),
@@ -96,26 +109,28 @@ def checked_responses(responses: DataFrame, utterances: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("fault", fault)
     scores = F.map_from_entries(F.transform(dims, lambda d: F.struct(d["id"], F.when(d["status"] == "NOT_APPLICABLE", "NOT_APPLICABLE").otherwise(d["score"].cast("string")))))
-    return rows.withColumn("overall_score", F.when(F.col("fault").isNull(), weighted_score(scores))).drop("_r", "_keys", "_spoken", "_agent")
+    return rows.withColumn("overall_score", F.when(F.col("fault").isNull(), weighted_score(scores))).drop("_r", "_keys", "_spoken", "_agent", "_twice")
 
 
 def audited(payloads: DataFrame, utterances: DataFrame, evaluate: Callable[[str, str | None], str | None]) -> DataFrame:
     """payloads: call_id, payload (JSON) and objection_absent. Asks a local model, `evaluate(payload, fault)`, at most
     MAX_ATTEMPTS times a call: an answer with a fault gets one repair, with the fault told; no answer (null)
-    is asked for again. Adds response, fault (INVALID_MODEL_OUTPUT, LOCAL_INFERENCE_UNAVAILABLE or null),
+    is asked for again. Utterances are grouped once, and each attempt's answers are written down, so that a lost
+    task's answers are not asked for again. Adds response, fault (INVALID_MODEL_OUTPUT, LOCAL_INFERENCE_UNAVAILABLE or null),
     attempts and overall_score."""
 
     @F.pandas_udf("string")
     def ask(batch: pd.Series, faults: pd.Series, settled: pd.Series) -> pd.Series:
         return pd.Series([None if s else evaluate(p, f) for p, f, s in zip(batch, faults, settled)], dtype=object)
 
+    own = written(spoken_by_call(utterances))
     open_ = payloads.select("call_id", "payload", "objection_absent", F.lit(None).cast("string").alias("told"), F.lit(0).alias("attempts"))
     for _ in range(MAX_ATTEMPTS):
         # rows that are settled keep their answer; the others are asked once more
         settled = F.col("settled") if "settled" in open_.columns else F.lit(False)
         before = F.col("response") if "response" in open_.columns else F.lit(None).cast("string")
         asked = open_.withColumns({"settled": settled, "response": F.when(settled, before).otherwise(ask("payload", "told", settled)), "attempts": F.col("attempts") + (~settled).cast("int")})
-        checked = checked_responses(asked.drop("fault", "overall_score"), utterances)
+        checked = _checked(written(asked.drop("fault", "overall_score")), own)
         repaired = F.col("told").isNotNull() & F.col("response").isNotNull() & F.col("fault").isNotNull()
         valid = F.col("response").isNotNull() & F.col("fault").isNull()
         open_ = checked.withColumns({"settled": F.col("settled") | valid | repaired, "told": F.when(F.col("response").isNotNull() & F.col("fault").isNotNull(), F.col("fault")).otherwise(F.col("told"))})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -244,3 +245,32 @@ def event_frames(spark, sf_dir):
 @query("event_times", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when epoch_us(ts) % 1000000 = 0 then '' else strftime(ts, '.%f') end || 'Z' at_ from events")
 def event_times(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", text.iso_utc(F.col("ts").cast("timestamp"), "Z").alias("at_"))
+
+
+_PURGED = "select call_id from v_calls where tombstoned_at is not null and call_id % 4 > 0 and call_id % 5 > 0"
+
+
+@query(
+    "purged_tables",
+    " union all ".join(
+        f"select '{name}' kind, count(*) n, count(*) filter (where {key} in ({_PURGED})) n_purged, count(*) {after} n_after from {table}"
+        for name, table, key, after in [("calls", "v_calls", "call_id", ""), ("findings", "v_findings", "call_id", f"filter (where call_id not in ({_PURGED}))"), ("jobs", "v_jobs", "call_id", f"filter (where call_id not in ({_PURGED}))"), ("live_rows", "v_event_ms", "user_id", f"filter (where user_id not in ({_PURGED}))"), ("sessions", "v_sessions", "session_id", ""), ("audits", "v_audits", "call_id", ""), ("reviews", "v_reviews", "call_id", "")]
+    ),
+)
+def purged_tables(spark, sf_dir):
+    """Every table after the purge of the calls that are tombstoned, due and not on hold: rows before, rows of
+    purged calls, rows written."""
+    from callgrid.operators.retention import Purge
+    from callgrid.session import work_dir
+
+    v = lambda name: view(spark, sf_dir, name)
+    as_of, i = F.to_timestamp(F.lit("2024-01-30 00:00:00")), F.col("call_id")
+    none = F.lit(None).cast("timestamp")
+    calls = v("v_calls").withColumns({"tombstoned_at": F.col("tombstoned_at").cast("timestamp"), "legal_hold": i % 5 == 0, "content_purged_at": none, "deletion_requested_at": F.when(i % 4 == 1, as_of), "retention_expires_at": F.when(i % 4 > 1, F.to_timestamp(F.lit("2024-01-01 00:00:00"))), "external_ref": F.concat(F.lit("ref-"), i.cast("string")), "payload_sha256": F.sha2(i.cast("string"), 256)})
+    removed = {"findings": v("v_findings"), "jobs": v("v_jobs"), "live_rows": v("v_event_ms").withColumnRenamed("user_id", "call_id")}
+    sessions = v("v_sessions").withColumnRenamed("session_id", "call_id").withColumn("content_purged_at", none)
+    purge = Purge(calls, as_of, removed, {"sessions": sessions}, {"audits": v("v_audits"), "reviews": v("v_reviews")})
+    path = f"{work_dir(spark)}/purge-{uuid.uuid4().hex}"
+    counts = purge.write(path)
+    rows = [(name, n, gone, spark.read.parquet(f"{path}/{name}").count()) for name, (n, gone) in counts.items()]
+    return spark.createDataFrame(rows, "kind string, n long, n_purged long, n_after long")

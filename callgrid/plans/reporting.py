@@ -253,10 +253,12 @@ def idempotent_insert(spark, sf_dir):
     return operations.inserted(a.filter("decision <> 'NEEDS_REVIEW'"), batch, ["call_id", "revision"], "decision").select("call_id", "revision", "outcome")
 
 
-@query("findings_upsert", "select call_id, rule_id, case when call_id % 2 = 0 then 'RESOLVED' else status end status from v_findings where transcript_revision = 1")
+@query("findings_upsert", "select call_id, transcript_revision, rule_id, case when severity = 'HIGH' then 'RESOLVED' else status end status from v_findings")
 def findings_upsert(spark, sf_dir):
-    f = view(spark, sf_dir, "v_findings").filter("transcript_revision = 1").select("call_id", "rule_id", "status")
-    return operations.upserted(f, f.filter("call_id % 2 = 0").withColumn("status", F.lit("RESOLVED")), ["call_id", "rule_id"])
+    """The findings of all revisions, after a batch that resolves the severe ones."""
+    f = view(spark, sf_dir, "v_findings")
+    own = ["call_id", "transcript_revision", "rule_id", "status"]
+    return operations.upserted(f.select(*own), f.filter("severity = 'HIGH'").withColumn("status", F.lit("RESOLVED")).select(*own), own[:3])
 
 
 @query(

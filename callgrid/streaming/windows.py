@@ -46,14 +46,20 @@ def settle(pending: list[dict], next_id: int, window_ms: int | None, segments: l
     return [p for p in pending if p not in closed], next_id, out
 
 
-def utterances(windows: DataFrame) -> DataFrame:
+def utterances(windows: DataFrame, idle_s: int | None = None) -> DataFrame:
     """windows: session, window_ms (null ends the session) and segments, an array of (start_ms, end_ms,
     text) in session time. Utterances as they become known: a row each time a text changes, and one final
-    row. Windows of one batch are taken in order; a window that comes after a later one is dropped."""
+    row. Windows of one batch are taken in order; a window that comes after a later one is dropped. A session's
+    end removes its state; with idle_s, so does that time of the clock without windows, and what is pending is
+    then final (such a query runs on and on)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, next_id, last = state.get if state.exists else ("[]", 0, -1)
-        pending, out = json.loads(held), []
+        pending, out, ended = json.loads(held), [], False
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], *t) for t in settle(pending, next_id, None, [])[2]], columns=["session", "id", "start_ms", "end_ms", "text", "is_final"])
+            return
         rows = pd.concat(list(batches)).sort_values("window_ms", na_position="last", kind="stable")
         for r in rows.itertuples():
             at = None if pd.isna(r.window_ms) else int(r.window_ms)
@@ -61,12 +67,27 @@ def utterances(windows: DataFrame) -> DataFrame:
                 continue
             found = [(s["start_ms"], s["end_ms"], s["text"]) for s in (r.segments if r.segments is not None else [])]
             pending, next_id, told = settle(pending, next_id, at, found)
-            last = last if at is None else at
+            last, ended = (last, True) if at is None else (at, ended)
             out += [(key[0], *t) for t in told]
-        state.update((json.dumps(pending), next_id, last))
+        kept(state, ended, (json.dumps(pending), next_id, last), idle_s)
         yield pd.DataFrame(out, columns=["session", "id", "start_ms", "end_ms", "text", "is_final"])
 
-    return windows.select("session", "window_ms", "segments").groupBy("session").applyInPandasWithState(step, UTTERANCE, "pending string, next_id long, last long", "append", GroupStateTimeout.NoTimeout)
+    return windows.select("session", "window_ms", "segments").groupBy("session").applyInPandasWithState(step, UTTERANCE, "pending string, next_id long, last long", "append", _timeout(idle_s))
+
+
+def kept(state: GroupState, ended: bool, value: tuple, idle_s: int | None) -> None:
+    """Keeps a session's value until its end, or until it has been idle so long."""
+    if ended:
+        if state.exists:
+            state.remove()
+        return
+    state.update(value)
+    if idle_s is not None:
+        state.setTimeoutDuration(idle_s * 1000)
+
+
+def _timeout(idle_s: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_s is None else GroupStateTimeout.ProcessingTimeTimeout
 
 
 def falls(before: list[str] | None, now: list[str]) -> bool:
@@ -77,13 +98,17 @@ def falls(before: list[str] | None, now: list[str]) -> bool:
     return n >= MIN_SAMPLES and n0 >= MIN_SAMPLES and s0 * n - s * n0 >= Decimal(DROP) * n * n0 and p + p0 >= Decimal(MIN_PROB) * (n + n0)
 
 
-def alerts(signals: DataFrame, window_ms: int = WINDOW_MS, cooldown_ms: int = COOLDOWN_MS) -> DataFrame:
+def alerts(signals: DataFrame, window_ms: int = WINDOW_MS, cooldown_ms: int = COOLDOWN_MS, idle_s: int | None = None) -> DataFrame:
     """signals: call_id, start_ms, score, prob (decimals or texts of them), ended. The alerts of
     ``sentiment.alerts`` as a stream: a window is judged once a later one has begun or the call has ended
-    (a row with `ended`, whose other columns count for nothing); signals for a judged window are dropped."""
+    (a row with `ended`, whose other columns count for nothing); signals for a judged window are dropped. A
+    call's end removes its state, and with idle_s so does that time of the clock without signals."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, judged, kept = state.get if state.exists else ("{}", -1, None)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, judged, told = state.get if state.exists else ("{}", -1, None)
         windows, out = {int(k): v for k, v in json.loads(held).items()}, []
         rows = pd.concat(list(batches)).sort_values("start_ms", na_position="last", kind="stable")
         ended = bool(rows["ended"].fillna(False).any())
@@ -96,14 +121,14 @@ def alerts(signals: DataFrame, window_ms: int = WINDOW_MS, cooldown_ms: int = CO
         for w in sorted(windows):
             if judged < w and (w < newest or ended):
                 at = (w + 1) * window_ms
-                if falls(windows.get(w - 1), windows[w]) and (kept is None or at - kept >= cooldown_ms):
-                    kept = at
+                if falls(windows.get(w - 1), windows[w]) and (told is None or at - told >= cooldown_ms):
+                    told = at
                     out.append((key[0], at))
                 judged = w
         windows = {w: v for w, v in windows.items() if w >= judged}
-        state.update((json.dumps(windows), judged, kept))
+        kept(state, ended, (json.dumps(windows), judged, told), idle_s)
         yield pd.DataFrame(out, columns=["call_id", "alert_ms"])
 
     kind = signals.schema["call_id"].dataType.simpleString()
     rows = signals.select("call_id", "start_ms", F.col("score").cast("string").alias("score"), F.col("prob").cast("string").alias("prob"), "ended")
-    return rows.groupBy("call_id").applyInPandasWithState(step, f"call_id {kind}, alert_ms long", "windows string, judged long, kept long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("call_id").applyInPandasWithState(step, f"call_id {kind}, alert_ms long", "windows string, judged long, kept long", "append", _timeout(idle_s))
