@@ -2,7 +2,6 @@
 
 import base64
 import json
-import os
 import time
 
 import pytest
@@ -14,20 +13,11 @@ from callgrid.plans.catalog import QUERIES
 from callgrid.sources.derived import view
 from callgrid.streaming import feed, media, sessions
 from callgrid.streaming.run import drained, keyed_state
+from tests_source import source
 
 SF = "/root/testdata/sf0.001"
 
 
-def source(spark, folder, schema, batches, late=()):
-    """A stream with a batch for each list of rows."""
-    folder.mkdir(exist_ok=True)
-    for i, rows in enumerate(batches):
-        path = folder / f"{i:03}.json"
-        path.write_text("".join(json.dumps(r) + "\n" for r in rows))
-        os.utime(path, (1_000_000 + i, 1_000_000 + i))
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
-
-
 EVENT = "session_id string, ts timestamp, event_id long, move string, generation long"
 
 
