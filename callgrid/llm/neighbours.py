@@ -8,7 +8,8 @@ to them. The product over the functions is the estimated success of a bucket. A
 bucket and perturbed ones in order of that estimate, found without listing the buckets there are, until
 the estimates add up to `mass`. Candidates of all tables are merged and reranked by their exact distance
 in double precision. Queries that found fewer than k, and those whose neighbours may lie in
-more than MOST_PROBES buckets, are held against all rows, in blocks.
+more than `most_probes` buckets of a table, are held against all rows: the rows are dealt out in shares, and
+the queries go to each share in blocks.
 
 Of vectors without structure (64 independent components), the 10 nearest are hardly nearer than the
 rest, and no hashing tells them apart well: there, half of the rows are compared for a recall of 0.9.
@@ -33,9 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from callgrid.llm.common import mix, signed, stash
+from callgrid.llm.common import mix, n_parts, release, signed, stash
 
-CHUNK_VALUES, QUERY_BATCH, HELD, SALTS, MOST_PROBES = 1 << 18, 256, 20_000, 64, 1 << 17
+CHUNK_VALUES, QUERY_BATCH, HELD, SALTS, MOST_PROBES, GAVE_UP = 1 << 18, 256, 20_000, 64, 1 << 17, -1
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -56,11 +57,11 @@ _erf = np.vectorize(math.erf, otypes=[float])
 class Geometry:
     """Projections, cells and estimated success for vectors of one length."""
 
-    def __init__(self, dim: int, sample: np.ndarray, near: int, tables: int, functions: int, width: float, seed: int):
+    def __init__(self, dim: int, sample: np.ndarray, near: int, tables: int, functions: int, width: float, seed: int, most_probes: int = MOST_PROBES):
         rng = np.random.default_rng([seed, dim])
         self.a = rng.standard_normal((tables, dim, functions))
         self.mean = sample.mean(axis=0) if len(sample) else np.zeros(dim)
-        self.sample, self.near = sample, near
+        self.sample, self.near, self.most_probes = sample, near, most_probes
         placed = (sample - self.mean) @ self.a
         spread = placed.std(axis=1) if len(sample) > 1 else np.ones((tables, functions))
         self.width = np.maximum(width * spread, 1e-12)
@@ -95,7 +96,7 @@ class Geometry:
 
     def probes(self, x: np.ndarray, table: int, mass: float) -> Iterator[np.ndarray]:
         """For each query its buckets in order of estimated success, up to the mass; none where that
-        would be more than MOST_PROBES."""
+        would be more than most_probes."""
         at = self.place(x)[table]
         centre, spread = self.slope * at, self.spread * self.reach(x)[:, None] / self.usual * np.ones(at.shape)
         for q in range(len(x)):
@@ -115,20 +116,20 @@ class Geometry:
             while True:
                 cost, picks = np.zeros(1), np.zeros((1, 0), np.int64)
                 for odd, cell in zip(odds, cells):
-                    if len(cost) * len(odd) > 8 * MOST_PROBES:
+                    if len(cost) * len(odd) > 8 * self.most_probes:
                         cost = np.zeros(0)
                         break
                     sums = cost[:, None] + odd[None]
                     i, k = np.nonzero(sums <= limit)
                     cost, picks = sums[i, k], np.column_stack([picks[i], cell[k]])
-                if not 0 < len(cost) <= MOST_PROBES:
+                if not 0 < len(cost) <= self.most_probes:
                     break
                 success = np.exp(best - cost)
                 # the tails that were left out of the cells are all that can be missing
                 if success.sum() >= mass or (len(cost) == reached and limit > 40):
                     break
                 reached, limit = len(cost), limit + 1.5
-            if not 0 < len(cost) <= MOST_PROBES:
+            if not 0 < len(cost) <= self.most_probes:
                 yield np.zeros(0, np.int64)
                 continue
             order = np.argsort(cost, kind="stable")
@@ -149,7 +150,7 @@ def named(cells: np.ndarray) -> np.ndarray:
     return signed(h)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 2, width: float = 2.0, bucket_rows: int = 64, mass: float = 0.72, sample: int = 2048, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 2, width: float = 2.0, bucket_rows: int = 64, mass: float = 0.72, sample: int = 2048, seed: int = 11, most_probes: int = MOST_PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, its own row left out."""
     base, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
     some = base.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
@@ -166,7 +167,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         if dim not in geometry:
             own = some[some["dim"] == dim]["v"]
             x = np.array(own.tolist(), dtype=np.float64).reshape(len(own), dim)
-            geometry[dim] = Geometry(dim, x, near, tables, functions, width, seed)
+            geometry[dim] = Geometry(dim, x, near, tables, functions, width, seed, most_probes)
         return geometry[dim]
 
     def by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -192,8 +193,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         index.join(sizes, ["dim", "t", "bucket"])
         .groupBy("dim", "t", "bucket", F.pmod(F.xxhash64("id"), chunks).alias("chunk"))
         .agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-        .select("dim", "t", "bucket", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("vs"))
+        .select("dim", "t", "bucket", "chunk", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("vs"))
     )
+    release(index)
+    shares = max(n_parts(vectors), SALTS)
+    # where queries that a table gave up meet nothing, so that they are known afterwards
+    nowhere = packed.select("dim").distinct().select("dim", F.lit(GAVE_UP).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("bucket"), F.array().cast("array<bigint>").alias("ids"), F.array().cast(kind).alias("vs"))
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,6 +208,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                     x = matrix(part.column("v"), dim)
                     for t in range(tables):
                         visits = list(of(dim).probes(x, t, mass))
+                        lost = np.flatnonzero([not len(v) for v in visits])
+                        if len(lost):
+                            salt = np.asarray(part.column("id"))[lost] % SALTS
+                            by = np.argsort(salt, kind="stable")
+                            yield asking(part, dim, GAVE_UP, salt[by], lost[by])
                         q, b = np.repeat(np.arange(len(visits)), [len(v) for v in visits]), np.concatenate(visits)
                         order = np.argsort(b, kind="stable")
                         if len(b):
@@ -227,6 +237,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     def found(queries_: DataFrame, everything: bool) -> DataFrame:
         def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            lost: set[int] = set()
 
             def flush() -> pa.RecordBatch:
                 q = np.repeat(np.array(list(held), dtype=np.int64), [len(x[0]) for x in held.values()])
@@ -240,6 +251,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                     ids, qids = (np.asarray(batch.column(c)[r].values) for c in ("ids", "qids"))
                     vs, qs = (np.asarray(batch.column(c)[r].values, dtype=np.float64).reshape(-1, dim) for c in ("vs", "qs"))
                     single = len(np.unique(ids)) == len(ids)
+                    if batch.column("t")[r].as_py() == GAVE_UP:
+                        lost.update(qids.tolist())
+                        continue
                     for q, x in zip(qids.tolist(), qs):
                         d, i = np.sqrt(((vs - x) ** 2).sum(axis=1)), ids
                         if not single:  # an identifier counts once, at its smallest distance
@@ -264,17 +278,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                         yield flush()
             if held:
                 yield flush()
+            if lost:
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(lost), pa.int64()), pa.nulls(len(lost), pa.int64()), pa.nulls(len(lost), pa.float64())], ["query_id", "vec_id", "score"])
 
         schema = f"dim int, t int, bucket long, qids array<long>, qs {kind}"
         if everything:
-            met = queries_.mapInArrow(blocks, schema).drop("t", "bucket").join(packed.filter("t = 0").drop("t", "bucket"), "dim")
+            asked_ = queries_.mapInArrow(blocks, schema).drop("bucket").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+            rows = packed.filter("t = 0").withColumn("share", F.pmod(F.xxhash64("bucket", "chunk"), F.lit(shares)).cast("int")).select("dim", "share", "ids", "vs")
+            met = asked_.join(rows, ["dim", "share"])
         else:
-            met = queries_.mapInArrow(probes, schema).join(packed, ["dim", "t", "bucket"])
-        near = met.select("dim", "ids", "vs", "qids", "qs").mapInArrow(rerank, "query_id long, vec_id long, score double")
+            met = queries_.mapInArrow(probes, schema).join(packed.drop("chunk").unionByName(nowhere), ["dim", "t", "bucket"])
+        near = met.select("dim", "t", "ids", "vs", "qids", "qs").mapInArrow(rerank, "query_id long, vec_id long, score double")
         return near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
 
     first = stash(found(asked, mass >= 1))
-    short = stash(asked.join(first.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= k), "id", "left_anti"))
+    # a query without a row that was given up has k rows or is short of them
+    fine = first.groupBy(F.col("query_id").alias("id")).agg(F.count("vec_id").alias("c"), F.count(F.lit(1)).alias("n")).filter(f"c >= {k} and c = n")
+    short = stash(asked.join(fine, "id", "left_anti"))
+    first = first.filter("vec_id is not null")
     if not short.isEmpty():
         first = first.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(found(short, True))
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)

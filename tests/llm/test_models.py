@@ -107,6 +107,22 @@ def test_few_rows_are_compared_where_vectors_have_structure():
         assert compared / len(asked) / len(x) < most and np.mean([m[w].mean() for m, w in zip(met, want)]) >= 0.9
 
 
+def test_queries_beyond_the_probes_are_exact(spark):
+    """Where a table gives a query up, it is held against all rows, though other tables find k."""
+    rng = np.random.default_rng(8)
+    rows = {i: v for i, v in enumerate(rng.standard_normal((600, 16)))}
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "vec_id long, embedding array<double>")
+    asked = {i: rows[i] for i in range(0, 600, 20)}
+    want = exact_neighbours(rows, asked, 10)
+    for most in (1, 6):
+        got = {}
+        for r in neighbours.nearest(table, table.filter("vec_id % 20 = 0"), most_probes=most).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        recall = {q: len({*got[q]} & {i for _, i in want[q]}) / 10 for q in want}
+        assert all(len(v) == 10 for v in got.values())
+        assert all(x == 1 for x in recall.values()) if most == 1 else np.mean(list(recall.values())) >= 0.9
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (8, []), (9, [1.0, 2.0, 3.0]), (2, [0.0, 1.0])]
