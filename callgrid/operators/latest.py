@@ -37,6 +37,15 @@ def latest_reviews(reviews: DataFrame, calls: DataFrame | None = None) -> DataFr
     return top.select("audit_id", "_top.*")
 
 
+def latest_dispositions(calls: DataFrame, dispositions: DataFrame) -> DataFrame:
+    """Calls with their newest disposition of the call's own transcript revision; an older transcript's counts for
+    nothing, and a call without one is PENDING (status)."""
+    own = [c for c in dispositions.columns if c not in ("call_id", "transcript_revision")]
+    seen = dispositions.join(calls.select("call_id", "transcript_revision"), ["call_id", "transcript_revision"], "left_semi")
+    top = seen.groupBy("call_id").agg(F.max_by(F.struct(*own), "revision").alias("_top")).select("call_id", "_top.*")
+    return calls.join(top, "call_id", "left").withColumn("status", F.coalesce("status", F.lit("PENDING")))
+
+
 def next_revision(existing: DataFrame, batch: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Rows of a batch with the revision numbers that follow those present."""
     base = existing.groupBy(*keys).agg(F.max("revision").alias("_base"))

@@ -11,7 +11,7 @@ from callgrid.operators.scope import Scope, scoped
 
 # fixed values: seconds of the longest age shown, idle and drain limits, feed and history sizes
 MAX_AGE_S, STALE_S, IDLE_S, DRAIN_S, RECENT_S, HISTORY, MAX_BATCH = 31_536_000, 45, 90, 7_260, 900, 10_000, 100
-MAX_ATTEMPTS = 3
+MAX_ATTEMPTS, MAX_CALL_MS = 3, 7_200_000
 RANGES = 64
 
 
@@ -182,9 +182,25 @@ def version_status(versions: DataFrame, active: DataFrame, events: DataFrame) ->
     return rows.select(*key, status.alias("status"), "approved_by")
 
 
-def prepared_segments(segments: DataFrame) -> DataFrame:
+def segment_faults(segments: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Segments with text that no transcript may hold: their keys (such as call and id) and fault, TIMING (seconds
+    that are null or not finite, before 0, turned, or beyond the longest call) or REPEATED (keys there twice)."""
+    spoken = segments.filter(F.length(F.trim("text")) > 0)
+    end = F.lit(MAX_CALL_MS / 1000)
+    fine = F.col("start_s").between(0, end) & F.col("end_s").between(F.col("start_s"), end)  # a NaN is larger than any number
+    wrong = spoken.filter(~F.coalesce(fine, F.lit(False))).select(*keys, F.lit("TIMING").alias("fault"))
+    twice = spoken.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys, F.lit("REPEATED").alias("fault"))
+    return wrong.unionByName(twice)
+
+
+def prepared_segments(segments: DataFrame, strict: bool = False) -> DataFrame:
     """Segments of a recogniser as utterances: blank text dropped, seconds to milliseconds (halves to even),
-    channel to role where the mapping is trusted, confidence outside 0 to 1 to null."""
+    channel to role where the mapping is trusted, confidence outside 0 to 1 to null. With `strict`, a segment
+    that ``segment_faults`` names is an error."""
+    if strict:
+        bad = F.assert_true(F.col("fault").isNull(), F.concat(F.lit("segment "), F.col("id").cast("string"), F.lit(": "), F.col("fault")))
+        faults = segment_faults(segments).groupBy("id").agg(F.min("fault").alias("fault"))
+        segments = segments.join(faults, "id", "left").withColumn("_fine", bad).filter("_fine is null").drop("_fine", "fault")
     fine = F.col("confidence").between(0, 1) & ~F.isnan("confidence")
     role = F.when(~F.coalesce("trusted", F.lit(False)), "UNKNOWN").when(F.col("channel") == 0, "AGENT").when(F.col("channel") == 1, "CUSTOMER").otherwise("UNKNOWN")
     return segments.filter(F.length(F.trim("text")) > 0).select("id", role.alias("role"), F.bround(F.col("start_s") * 1000).cast("long").alias("start_ms"), F.bround(F.col("end_s") * 1000).cast("long").alias("end_ms"), F.trim("text").alias("text"), F.when(fine, F.col("confidence")).alias("confidence"))

@@ -121,6 +121,14 @@ def prepared_segments(spark, sf_dir):
     return operations.prepared_segments(rows)
 
 
+@query("segment_faults", "with s as (select case when event_type = 'error' then event_id // 2 else event_id end id, event_id % 9000 start_s, event_id % 9000 + value - 20 end_s from events) select id, 'TIMING' fault from s where start_s > 7200 or end_s > 7200 or end_s < start_s union all select id, 'REPEATED' from s group by id having count(*) > 1")
+def segment_faults(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    start = (F.col("event_id") % 9000).cast("double")
+    rows = e.select(F.when(F.col("event_type") == "error", F.expr("event_id div 2")).otherwise(F.col("event_id")).alias("id"), start.alias("start_s"), (start + F.col("value") - 20).alias("end_s"), F.col("event_type").alias("text"))
+    return operations.segment_faults(rows)
+
+
 @query("orphan_files", "select c_custkey, 'file-' || c_custkey path from customer c where c_custkey % 10 <> 0 and not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o.o_orderstatus = 'P')")
 def orphan_files(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")

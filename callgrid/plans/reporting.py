@@ -261,6 +261,13 @@ def findings_upsert(spark, sf_dir):
     return operations.upserted(f.select(*own), f.filter("severity = 'HIGH'").withColumn("status", F.lit("RESOLVED")).select(*own), own[:3])
 
 
+@query("latest_dispositions", "with d as (select *, row_number() over (partition by a.call_id order by a.revision desc) r from v_audits a join (select call_id own, transcript_revision own_revision from v_calls) c on c.own = a.call_id and c.own_revision = a.transcript_revision) select c.call_id, d.revision, coalesce(d.decision, 'PENDING') status, d.rubric_version config_id from v_calls c left join d on d.call_id = c.call_id and d.r = 1")
+def latest_dispositions(spark, sf_dir):
+    """The newest decision on each call's own transcript; audits stand in for dispositions."""
+    d = view(spark, sf_dir, "v_audits").select("call_id", "transcript_revision", "revision", F.col("decision").alias("status"), F.col("rubric_version").alias("config_id"))
+    return latest.latest_dispositions(view(spark, sf_dir, "v_calls"), d).select("call_id", "revision", "status", "config_id")
+
+
 @query(
     "own_scores_notes",
     f"""with {_CURRENT} select cur.audit_id, len(string_split(remarks, '|')) n_checklist, len(list_filter(string_split(remarks, '|'), lambda r: r = 'call [REDACTED] now')) n_redacted, case when version % 2 = 0 then 3 else 2 end n_notes, case when version % 2 = 0 then 'seen by [REDACTED]' end last_note

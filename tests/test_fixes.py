@@ -130,3 +130,17 @@ def test_purge_states_and_snapshots(spark, tmp_path):
     assert {r["call_id"] for r in read("jobs").collect()} == {1, None, 9} and read("audits").count() == 5
     assert {r["call_id"]: r["content_purged_at"] for r in read("sessions").collect()} == {5: day(10), 6: day(1), 1: None}
     assert {r["call_id"] for r in read("calls").filter("agent_id = '[deleted]'").collect()} == {5, 6} and read("calls").filter("content_purged_at is not null").count() == 3
+
+
+def test_segments_with_faults(spark):
+    from callgrid.operators.operations import prepared_segments, segment_faults
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 0.0, 1.0, "a"), (2, nan, 1.0, "a"), (3, 0.0, nan, "a"), (4, 0.0, inf, "a"), (5, -1.0, 1.0, "a"), (6, 2.0, 1.0, "a"), (7, 0.0, 7200.001, "a"), (8, None, 1.0, "a"), (9, nan, 1.0, "  "), (10, 0.0, 7200.0, "a"), (11, 1.0, 2.0, "a"), (11, 3.0, 4.0, "b"), (12, 1.0, 2.0, "a"), (12, 1.0, 2.0, "")]
+    table = spark.createDataFrame([(*r, 0, True, 0.5) for r in rows], "id long, start_s double, end_s double, text string, channel int, trusted boolean, confidence double")
+    got = sorted(tuple(r) for r in segment_faults(table).collect())
+    assert got == [(2, "TIMING"), (3, "TIMING"), (4, "TIMING"), (5, "TIMING"), (6, "TIMING"), (7, "TIMING"), (8, "TIMING"), (11, "REPEATED")]
+    assert sorted(r["id"] for r in prepared_segments(table.filter("id in (1, 10, 12)"), strict=True).collect()) == [1, 10, 12]
+    for bad in (2, 11):
+        with pytest.raises(Exception, match=f"segment {bad}"):
+            prepared_segments(table.filter(f"id in (1, {bad})"), strict=True).collect()
