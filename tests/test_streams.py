@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from callgrid.operators import operations
+from callgrid.operators import intake, operations
 from callgrid.operators.scope import Scope
 from callgrid.plans.catalog import QUERIES
 from callgrid.sources.derived import view
@@ -112,7 +112,15 @@ def test_live_rows_in_the_state(spark, tmp_path):
             assert time.time() < end
 
         try:
-            until({("s", "u1", "one!"), ("s", "u2", "two")})
+            # by the batch form, the newest text of an utterance is held
+            kept = spark.createDataFrame([], "session_id string, utterance_id string, text string, expires_us long")
+            for i, rows in enumerate(batches):
+                newest = {(r["session_id"], r["utterance_id"]): r["text"] for r in sorted(rows, key=lambda r: r["event_id"]) if r["session_id"]}
+                kept = intake.buffered(kept, spark.createDataFrame([(*k, t) for k, t in newest.items()], "session_id string, utterance_id string, text string"), i)
+                want = {(r["session_id"], r["utterance_id"], r["text"]) for r in kept.filter("session_id = 's'").collect()}
+                if i == 0:
+                    until(want)
+            assert want == {("s", "u1", "one!"), ("s", "u2", "two!"), ("s", "u3", "three"), ("s", "u4", "four")}
             source(spark, folder, UTTERANCE, batches)
             until({("s", "u2", "two!"), ("s", "u3", "three"), ("s", "u4", "four")})
             assert [r["utterance_id"] for r in spark.table("live_rows_out").filter("change = 'TRUNCATED'").collect()] == ["u1"]
