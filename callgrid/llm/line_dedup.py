@@ -1,7 +1,8 @@
 """Line dedup over a suffix array of line sequences.
 
 The lines of all documents form sequences of line keys (128 bits of the trimmed line; blank lines are
-not part of them). A line that occurs once ends every repeat, so only suffixes that begin with a
+not part of them). Of documents with one text (by 128 bits of it) only the first takes part: every run of the
+others starts earlier in it, so these are repeats as a whole. A line that occurs once ends every repeat, so only suffixes that begin with a
 repeated line are kept. Prefix doubling ranks them by their first 1, 2, 4, ... lines: pairs of ranks are
 counted and sorted as distinct values over the cluster, and a rank is a value's place in that order. It
 goes on until no run of the length is shared. The order by the last ranks is the suffix array; the
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from callgrid.llm.common import _WS, n_parts, order_id, release, slices, stash, text_buffers, text_of
 from callgrid.llm.running import running_totals
 
-MIN_LINES = 1
+MIN_LINES, WHOLE = 1, -1
 
 
 def lines(off: np.ndarray, data: np.ndarray):
@@ -47,7 +48,8 @@ def lines(off: np.ndarray, data: np.ndarray):
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """Runs of min_lines lines that occur earlier: _id, _th, pos (the number of the run's first line)."""
+    """Runs of min_lines lines that occur earlier: _id, _th, pos (the number of the run's first line; WHOLE for all
+    runs of a document whose text an earlier one has)."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,13 +64,31 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([part.column("_id").take(take), part.column("_th").take(take), pa.array(pos.astype(np.int32)), pa.array(key[:, 0]), pa.array(key[:, 1])], ["_id", "_th", "pos", "r1", "r2"])
 
     keyed = docs.select(order_id(id_col).alias("_id"), F.xxhash64(text_of(text_col)).alias("_th"), text_of(text_col).alias("_text"))
-    array = suffix_array(keyed.mapInArrow(keys, "_id long, _th long, pos int, r1 long, r2 long"))
+    copies = copied(keyed)
+    found = keyed.mapInArrow(keys, "_id long, _th long, pos int, r1 long, r2 long")
+    twice = stash(found.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
+    # copies leave once the lines that occur once have left, so that few rows are dealt out for it
+    rest = stash(found.join(twice, ["r1", "r2"]).join(copies, ["_id", "_th"], "left_anti"))
+    array = suffix_array(rest)
+    release(twice, rest)
     # neighbours with a shorter common prefix begin another interval
     bounds = array.withColumns({"_all": F.lit(0), "_new": (F.col("lcp") < min_lines).cast("long")})
     placed = running_totals(bounds, "_all", ["place"], {"_before": "_new"}).withColumn("interval", F.col("_before") + F.col("_new"))
     at = F.struct("_id", "_th", "pos")
     first = placed.groupBy("interval").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    return placed.join(stash(first.drop("c")), "interval").filter(at > F.col("first")).select("_id", "_th", "pos")
+    runs = placed.join(stash(first.drop("c")), "interval").filter(at > F.col("first")).select("_id", "_th", "pos")
+    return runs.unionByName(copies.withColumn("pos", F.lit(WHOLE)))
+
+
+def copied(keyed: DataFrame) -> DataFrame:
+    """_id, _th of the documents whose text an earlier one has, each once."""
+    texts = keyed.select("_id", "_th", F.unhex(F.md5("_text")).alias("_md"))
+    at = F.struct("_id", "_th")
+    # a table of its own, so that a join with a text of very many copies can be cut
+    first = stash(texts.groupBy("_md").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
+    out = stash(texts.join(first, "_md").filter(at > F.col("first")).select("_id", "_th").distinct())
+    release(first)
+    return out
 
 
 def suffix_array(lines_: DataFrame) -> DataFrame:
@@ -134,10 +154,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 first = np.searchsorted(s, off)
                 pos = part.column("_pos")
                 n_at = np.diff(np.asarray(pos.offsets)) if len(pos) else np.zeros(0, np.int64)
-                start = np.repeat(first[:-1], n_at) + np.asarray(pos.flatten())
+                of, at = np.repeat(np.arange(part.num_rows), n_at), np.asarray(pos.flatten())
+                start, end = first[of] + at, first[of] + at + min_lines
+                copy = at == WHOLE
+                start[copy], end[copy] = first[of[copy]], first[of[copy] + 1]
+                long_ = end - start >= min_lines
                 edge = np.zeros(len(s) + 1, dtype=np.int64)
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + min_lines, -1)
+                np.add.at(edge, start[long_], 1)
+                np.add.at(edge, end[long_], -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 keep = np.ones(len(begin), dtype=bool)
                 keep[full[gone]] = False
