@@ -38,8 +38,25 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(int(lens.sum())) + np.repeat(starts - (np.cumsum(lens) - lens), lens)
 
 
+def require(path: str) -> None:
+    """A ValueError unless the model is of the kind that is encoded here: byte-pair merges with byte fallback, the
+    identity as normaliser, a mark before each text and for each space, and no pieces of the user's own."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    norm, how = model.normalizer_spec, model.trainer_spec
+    plain = norm.name == "identity" and not norm.precompiled_charsmap and not norm.normalization_rule_tsv
+    spaced = norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces and not how.treat_whitespace_as_suffix
+    if not (plain and spaced and how.model_type == how.BPE and how.byte_fallback):
+        raise ValueError("the model normalises its texts, or is not of byte-pair merges with byte fallback")
+    if any(p.type in (p.USER_DEFINED, p.UNUSED) for p in model.pieces):
+        raise ValueError("the model has pieces of the user's own")
+
+
 class Model:
-    """Pieces, scores and byte pieces of a model file; its normaliser must be the identity."""
+    """Pieces, scores and byte pieces of a model file that ``require`` lets pass."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -298,6 +315,7 @@ OUTPUTS = ("ids", "n_tokens", "ids_sha256", "round_trip")
 def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns named in `keep`, then ids (array of piece numbers), n_tokens, ids_sha256 (of the
     numbers as little-endian 32 bits) and round_trip (whether decoding gives the text back)."""
+    require(path)
     rows = docs.select(carried(keep, OUTPUTS).alias("_row"), text_of(text_col).alias("_text"))
     schema = T.StructType([rows.schema["_row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())])
 
@@ -321,6 +339,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text")
 
 def decode(rows: DataFrame, path: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
     """The columns named in `keep`, then text: what the piece numbers stand for (null for null)."""
+    require(path)
     rows = rows.select(carried(keep, ("text",)).alias("_row"), quoted(ids_col).alias("_ids"))
     schema = T.StructType([rows.schema["_row"], T.StructField("text", T.StringType())])
 

@@ -184,3 +184,26 @@ def test_toxicity_of_odd_rows(spark, odd, odd_rows, empty):
     assert toxicity.score(empty, toxicity.train(empty, labels)).count() == 0
     whole = toxicity.train(odd, labels, least_chi=0.0, least_rows=1)
     assert len(toxicity.score(odd, whole).collect()) == len(odd_rows)
+
+
+def test_models_of_another_kind_are_refused(spark, tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    import public_tokenizers
+    from callgrid.llm import pieces
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces.require(path)
+
+    def changed(change):
+        model = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            model.ParseFromString(f.read())
+        change(model)
+        (tmp_path / "m.model").write_bytes(model.SerializeToString())
+        return str(tmp_path / "m.model")
+
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for change in (lambda m: setattr(m.normalizer_spec, "name", "nmt_nfkc"), lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True), lambda m: setattr(m.trainer_spec, "model_type", 1), lambda m: setattr(m.trainer_spec, "byte_fallback", False), lambda m: setattr(m.pieces[500], "type", 4)):
+        with pytest.raises(ValueError, match="model"):
+            pieces.encode(docs, changed(change), ["doc_id"])
