@@ -14,6 +14,15 @@ from callgrid.streaming.run import drained, streamed
 from tests_source import source
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Streams over a handful of rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_case_folding_is_full(spark):
     texts = ["STRASSE", "straße", "STRAẞE", "ﬀ ﬁ ﬃ", "ΣΊΣΥΦΟΣ σίσυφος", "ǰ ŉ ΐ", "Ꭰ ꭰ", "plain ASCII", "", "ſ K Å", "İstanbul", "և ﬓ", "ᾳ ᾲ ᾷ"]
     got = [tuple(r) for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", casefolded(F.col("t")), normalised_phrase(F.col("t"))).collect()]

@@ -18,6 +18,15 @@ from tests_source import source
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Streams over a handful of rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 EVENT = "session_id string, ts timestamp, event_id long, move string, generation long"
 
 
