@@ -153,3 +153,21 @@ def test_segments_with_faults(spark):
     for bad in (2, 11):
         with pytest.raises(Exception, match=f"segment {bad}"):
             prepared_segments(table.filter(f"id in (1, {bad})"), strict=True).collect()
+
+
+def test_recognisers_take_batches(spark):
+    from callgrid.operators.privacy import batch_redactor
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def names(texts):
+        calls.add(1)
+        return [[(t.index("Ann"), t.index("Ann") + 3), (0, 2), (90, 99)] if "Ann" in t else [] for t in texts]
+
+    rows = [(i, t) for i, t in enumerate(["so Ann said", None, "", "call 0151 2345 6789 now", "Ann"] * 40)]
+    table = spark.createDataFrame(rows, "i long, t string").coalesce(1)
+    got = {r["i"] % 5: r["s"] for r in table.select("i", batch_redactor(names)(F.col("t")).alias("s")).collect()}
+    assert got == {0: "[REDACTED] [REDACTED] said", 1: None, 2: "", 3: "call [REDACTED] now", 4: "[REDACTED]"} and calls.value == 1
+    for bad in (batch_redactor(lambda texts: []), batch_redactor(names, limit=5)):
+        with pytest.raises(Exception, match="recogniser|too long"):
+            table.select(bad(F.col("t"))).collect()
