@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -70,5 +72,10 @@ class Listing(DataSource):
 def listed(spark: SparkSession, path: str, prefix: str = "", depth: int = 1) -> DataFrame:
     """path, size and modified of every file below a folder (of any store that Arrow opens) whose relative path
     begins with the prefix."""
-    spark.dataSource.register(Listing)
+    module = sys.modules[__name__]  # Spark plans with it in a process that has none of the files sent to executors
+    cloudpickle.register_pickle_by_value(module)
+    try:
+        spark.dataSource.register(Listing)
+    finally:
+        cloudpickle.unregister_pickle_by_value(module)
     return spark.read.format("file_listing").option("prefix", prefix).option("depth", str(depth)).load(path)

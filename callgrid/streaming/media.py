@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from callgrid.operators.media import MAX_MS, MAX_STREAM_BYTES, session_lines
+from callgrid.streaming.run import keyed
 
 # fixed values: bytes of a millisecond, seconds without a line
 BYTES_PER_MS, IDLE_S = 16, 30
@@ -139,4 +140,4 @@ def media_sessions(lines: DataFrame, idle_s: int | None = IDLE_S, late: str = "1
     lines are taken by arrival. Lines without account, call, generation, time or arrival are left out."""
     whole = " and ".join(f"{c} is not null" for c in ("account_id", "call_id", "generation", "ts", "arrival"))
     rows = session_lines(lines.filter(whole).select("account_id", "call_id", F.col("generation").cast("long").alias("generation"), "ts", F.unix_millis("ts").alias("ms"), F.col("arrival").cast("long").alias("arrival"), F.coalesce("value", F.lit("")).alias("value"))).drop("value")
-    return rows.withWatermark("ts", late).groupBy("account_id", "call_id").transformWithStateInPandas(MediaSession(idle_s), RESULT, "append", "EventTime")
+    return keyed(rows.withWatermark("ts", late).groupBy("account_id", "call_id"), MediaSession(idle_s), RESULT, "EventTime")

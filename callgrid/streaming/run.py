@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import sys
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, GroupedData, SparkSession
+from pyspark.sql.streaming import StatefulProcessor
 
 from callgrid.session import work_dir
 
@@ -25,6 +28,17 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
+def keyed(rows: GroupedData, processor: StatefulProcessor, schema: str, time: str) -> DataFrame:
+    """The rows of each key through a stateful processor. Spark first looks at a processor in a Python process
+    that has none of the files sent to the executors, so it is sent whole, with the module that it is from."""
+    module = sys.modules[type(processor).__module__]
+    cloudpickle.register_pickle_by_value(module)
+    try:
+        return rows.transformWithStateInPandas(processor, schema, "append", time)
+    finally:
+        cloudpickle.unregister_pickle_by_value(module)
+
+
 def drained(stream: DataFrame, checkpoint: str | None = None, out: str | None = None) -> DataFrame:
     """Runs the stream until its source is read and its timers up to the watermark have fired (one with
     timers or times to live of the clock never ends, and is to be started as any other). checkpoint

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from callgrid.streaming.run import keyed
+
 # fixed values: seconds that a live session may be idle and that one may drain, minutes that live rows stay, live rows of a session
 IDLE_S, DRAIN_S, TTL_MIN, MAX_ROWS = 90, 7_260, 15, 500
 #: From which states a move leads on.
@@ -125,7 +127,7 @@ def lifecycle(events: DataFrame, limits: Limits = Limits(), late: str = "10 seco
     kind = events.schema["session_id"].dataType.simpleString()
     rows = events.filter("session_id is not null and ts is not null and event_id is not null").withWatermark("ts", late)
     rows = rows.select("session_id", "ts", F.unix_micros("ts").alias("us"), F.col("event_id").cast("long").alias("event_id"), "move", F.col("generation").cast("long").alias("generation"))
-    return rows.groupBy("session_id").transformWithStateInPandas(Lifecycle(limits), MOVE.format(kind=kind), "append", "EventTime")
+    return keyed(rows.groupBy("session_id"), Lifecycle(limits), MOVE.format(kind=kind), "EventTime")
 
 
 ROW = "session_id {kind}, utterance_id string, start_ms long, text string, change string"
@@ -167,4 +169,4 @@ def live_rows(utterances: DataFrame, ttl_s: float = TTL_MIN * 60, most: int = MA
     kind = utterances.schema["session_id"].dataType.simpleString()
     rows = utterances.filter("session_id is not null and utterance_id is not null and event_id is not null")
     rows = rows.select("session_id", F.col("utterance_id").cast("string").alias("utterance_id"), "event_id", F.coalesce(F.col("start_ms").cast("long"), F.lit(0)).alias("start_ms"), "text")
-    return rows.groupBy("session_id").transformWithStateInPandas(LiveRows(int(ttl_s * 1000), most), ROW.format(kind=kind), "append", "ProcessingTime")
+    return keyed(rows.groupBy("session_id"), LiveRows(int(ttl_s * 1000), most), ROW.format(kind=kind), "ProcessingTime")

@@ -2,6 +2,10 @@
 
 import base64
 import json
+import os
+import pathlib
+import subprocess
+import sys
 import time
 
 import pytest
@@ -211,3 +215,24 @@ def test_feed_sink_repeats_batches_and_purges(spark, tmp_path):
     assert [r["frame"] for r in shown] == ['id: 5\nevent: call.updated\ndata: {"call_id":4}\n\n', 'id: 5\nevent: reset_required\ndata: {"reason":"cursor_expired"}\n\n']
     f.writer("us", "call_id")(again, 4)
     assert [w for w in numbers() if w[0] == "o"] == [("o", 4, 5), ("o", 5, 7), ("o", 6, 7)]
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config(map={"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "1"}).getOrCreate()
+from callgrid.session import ship
+from callgrid.streaming import run, sessions
+ship(spark)
+rows = spark.sql("select 'a' session_id, timestamp'2024-01-01' ts, 1L event_id, 'START' move, cast(null as long) generation")
+print([r["outcome"] for r in run.drained(sessions.lifecycle(run.streamed(rows))).collect()])
+"""
+
+
+def test_streams_run_from_any_folder(tmp_path):
+    """Spark looks at a stateful processor in a process that knows no files sent to executors."""
+    top = str(pathlib.Path(sessions.__file__).parents[2])
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_CONF_DIR")}
+    out = subprocess.run([sys.executable, "-c", ELSEWHERE, top], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "['APPLIED']" in out.stdout, out.stderr[-2000:]
