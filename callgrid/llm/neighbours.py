@@ -6,13 +6,16 @@ them at any size. A neighbour's projection lies normally around the query's; how
 mean, and its spread, come from sample vectors and their neighbours, scaled by the query's own distance
 to them. The product over the functions is the estimated success of a bucket. A query visits the home
 bucket and perturbed ones in order of that estimate, found without listing the buckets there are, until
-the estimates add up to `mass`. Candidates of all tables are merged and reranked by their exact distance
-in double precision. Queries that found fewer than k, and those whose neighbours may lie in
-more than `most_probes` buckets of a table, are held against all rows: the rows are dealt out in shares, and
-the queries go to each share in blocks.
+the estimates add up to `mass` or `most_probes` are taken. What it meets there is compared exactly, and
+the k-th distance bounds its search.
 
-Of vectors without structure (64 independent components), the 10 nearest are hardly nearer than the
-rest, and no hashing tells them apart well: there, half of the rows are compared for a recall of 0.9.
+The estimates promise nothing on other rows, so an exact check follows: the buckets of the first table lie
+in packs, side by side, and the packs are dealt out in shares. Blocks of queries go to every share with
+their bounds, and a query is compared with the rows of each bucket whose centre and radius do not place it
+beyond the bound. The result is that of brute force on any rows. Where vectors have structure, most
+buckets are left out; of vectors without (64 independent components), the 10 nearest are hardly nearer
+than the rest, and all are compared. Work is then queries times rows, while a task holds one pack and one
+block at a time.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an
 identifier. Vectors meet only vectors of their own length. Of equal vectors only the k + 1 smallest
@@ -36,7 +39,8 @@ from pyspark.sql import Window
 
 from callgrid.llm.common import mix, n_parts, release, signed, stash
 
-CHUNK_VALUES, QUERY_BATCH, HELD, SALTS, MOST_PROBES, GAVE_UP = 1 << 18, 256, 20_000, 64, 1 << 17, -1
+CHUNK_VALUES, BLOCK_VALUES, VISIT_VALUES, QUERY_BATCH, SHARE_ROWS, SALTS, MOST_PROBES, PROBES = 1 << 18, 1 << 16, 1 << 21, 256, 200_000, 64, 1 << 17, 32
+HELD, SHRINK = 200_000, 1 << 19  # rows that a task holds before they are sent on, and before they are cut to k of a query
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -95,8 +99,7 @@ class Geometry:
         return named(np.floor((self.place(x) + self.shift[:, None]) / self.width[:, None]).astype(np.int64))
 
     def probes(self, x: np.ndarray, table: int, mass: float) -> Iterator[np.ndarray]:
-        """For each query its buckets in order of estimated success, up to the mass; none where that
-        would be more than most_probes."""
+        """For each query its buckets in order of estimated success, up to the mass or the likeliest most_probes."""
         at = self.place(x)[table]
         centre, spread = self.slope * at, self.spread * self.reach(x)[:, None] / self.usual * np.ones(at.shape)
         for q in range(len(x)):
@@ -111,27 +114,19 @@ class Geometry:
                 best += log[0]
                 odds.append(log[0] - log)
                 cells.append(cell[order])
-            # perturbation sets by what they cost against the likeliest bucket; the limit is raised until they hold the mass
-            limit, reached = 2.0, -1.0
+            # perturbation sets by what they cost against the likeliest bucket: parts of the m cheapest are
+            # among the m cheapest parts; m is raised until they hold the mass
+            m = min(64, self.most_probes)
             while True:
                 cost, picks = np.zeros(1), np.zeros((1, 0), np.int64)
                 for odd, cell in zip(odds, cells):
-                    if len(cost) * len(odd) > 8 * self.most_probes:
-                        cost = np.zeros(0)
-                        break
-                    sums = cost[:, None] + odd[None]
-                    i, k = np.nonzero(sums <= limit)
-                    cost, picks = sums[i, k], np.column_stack([picks[i], cell[k]])
-                if not 0 < len(cost) <= self.most_probes:
-                    break
+                    sums = (cost[:, None] + odd[None]).reshape(-1)
+                    keep = np.argpartition(sums, m - 1)[:m] if len(sums) > m else np.arange(len(sums))
+                    cost, picks = sums[keep], np.column_stack([picks[keep // len(odd)], cell[keep % len(odd)]])
                 success = np.exp(best - cost)
-                # the tails that were left out of the cells are all that can be missing
-                if success.sum() >= mass or (len(cost) == reached and limit > 40):
+                if success.sum() >= mass or len(cost) < m or m == self.most_probes:
                     break
-                reached, limit = len(cost), limit + 1.5
-            if not 0 < len(cost) <= self.most_probes:
-                yield np.zeros(0, np.int64)
-                continue
+                m = min(8 * m, self.most_probes)
             order = np.argsort(cost, kind="stable")
             taken = np.searchsorted(np.cumsum(success[order]), mass) + 1
             yield np.unique(named(picks[order[:taken]]))
@@ -150,8 +145,68 @@ def named(cells: np.ndarray) -> np.ndarray:
     return signed(h)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 2, width: float = 2.0, bucket_rows: int = 64, mass: float = 0.72, sample: int = 2048, seed: int = 11, most_probes: int = MOST_PROBES) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query, its own row left out."""
+def closest(ids: np.ndarray, vs: np.ndarray, qids: np.ndarray, qs: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and distance of pairs of different identifiers: for each query the k nearest identifiers
+    with all ties, as far as they lie within its bound, and some more. A product of matrices finds the pairs,
+    with an allowance for its rounding; their distance is taken from the vectors themselves."""
+    eps = 4 * np.finfo(float).eps * (vs.shape[1] + 8)
+    with np.errstate(over="ignore", invalid="ignore"):
+        middle = vs.mean(axis=0)
+        v, x = vs - middle, qs - middle
+        size = (x**2).sum(axis=1)[:, None], (v**2).sum(axis=1)[None]
+        low = x @ v.T
+        low *= -2
+        low += (1 - eps) * size[0]
+        low += (1 - eps) * size[1]
+        most = bound**2 * (1 + eps)
+        fits = ~(low > most[:, None])
+        many = np.flatnonzero(fits.sum(axis=1) > 4 * (k + 1))
+        if len(many):  # the limit is that of the k-th identifier beside the query's own
+            high = low[many] + 2 * eps * (size[0][many] + size[1])
+            high[np.isnan(high)] = np.inf
+            order = np.argsort(ids, kind="stable")
+            head = np.flatnonzero(np.append(True, ids[order][1:] != ids[order][:-1]))
+            if len(head) < len(ids):
+                high = np.minimum.reduceat(high[:, order], head, axis=1)
+            if high.shape[1] > k + 1:
+                limit = np.partition(high, k, axis=1)[:, k]
+                fits[many] &= ~(low[many] > limit[:, None])
+        i, j = np.nonzero(fits)
+        other = qids[i] != ids[j]
+        i, j = i[other], j[other]
+        d = np.concatenate([np.sqrt(((vs[j[at : at + SHRINK]] - qs[i[at : at + SHRINK]]) ** 2).sum(axis=1)) for at in range(0, max(1, len(i)), SHRINK)])
+    return qids[i], ids[j], d
+
+
+def within(vs: np.ndarray, sizes: np.ndarray, qs: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Which runs of rows (buckets of these sizes, side by side) may hold a row within each query's bound."""
+    head = np.append(0, np.cumsum(sizes)[:-1])
+    with np.errstate(over="ignore", invalid="ignore"):
+        middle = vs.mean(axis=0)
+        v, x = vs - middle, qs - middle
+        centre = np.add.reduceat(v, head, axis=0) / sizes[:, None]
+        radius = np.sqrt(np.maximum.reduceat(((v - np.repeat(centre, sizes, axis=0)) ** 2).sum(axis=1), head))
+        size = (x**2).sum(axis=1)[:, None] + (centre**2).sum(axis=1)[None]
+        low = np.sqrt(np.maximum(size * (1 - 1e-9) - 2 * x @ centre.T, 0))
+        return ~(low > (radius[None] + bound[:, None]) * (1 + 1e-9))
+
+
+def cut(found: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest identifiers of each query, each at its smallest distance, ties to the smaller one."""
+    q, i, d = found
+    order = np.lexsort((d, i, q))
+    q, i, d = q[order], i[order], d[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (i[1:] != i[:-1])
+    q, i, d = q[new], i[new], d[new]
+    order = np.lexsort((i, d, q))
+    q, i, d = q[order], i[order], d[order]
+    top = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[top], i[top], d[top]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 2, width: float = 2.0, bucket_rows: int = 64, mass: float = 0.72, sample: int = 2048, seed: int = 11, most_probes: int = PROBES) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of each query, its own row left out."""
     base, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
     some = base.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()
     total = max(1, base.count())
@@ -196,27 +251,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         .select("dim", "t", "bucket", "chunk", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("vs"))
     )
     release(index)
-    shares = max(n_parts(vectors), SALTS)
-    # where queries that a table gave up meet nothing, so that they are known afterwards
-    nowhere = packed.select("dim").distinct().select("dim", F.lit(GAVE_UP).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("bucket"), F.array().cast("array<bigint>").alias("ids"), F.array().cast(kind).alias("vs"))
-
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, some_ in by_dim(batch):
-                for lo in range(0, some_.num_rows, QUERY_BATCH):
-                    part = some_.slice(lo, QUERY_BATCH)
+                step = max(1, min(QUERY_BATCH, VISIT_VALUES // (dim * most_probes)))
+                for lo in range(0, some_.num_rows, step):
+                    part = some_.slice(lo, step)
                     x = matrix(part.column("v"), dim)
                     for t in range(tables):
                         visits = list(of(dim).probes(x, t, mass))
-                        lost = np.flatnonzero([not len(v) for v in visits])
-                        if len(lost):
-                            salt = np.asarray(part.column("id"))[lost] % SALTS
-                            by = np.argsort(salt, kind="stable")
-                            yield asking(part, dim, GAVE_UP, salt[by], lost[by])
                         q, b = np.repeat(np.arange(len(visits)), [len(v) for v in visits]), np.concatenate(visits)
                         order = np.argsort(b, kind="stable")
-                        if len(b):
-                            yield asking(part, dim, t, b[order], q[order])
+                        yield asking(part, dim, t, b[order], q[order])
 
     def asking(part: pa.RecordBatch, dim: int, t: int, b: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
         """A row for each bucket (in order) with the numbers and vectors of the queries that visit it."""
@@ -226,77 +272,60 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         at = pa.array((np.append(head, len(b)) * dim).astype(np.int32))
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(head), dim, np.int32)), pa.array(np.full(len(head), t, np.int32)), pa.array(b[head]), pa.ListArray.from_arrays(edge, take.column("id")), pa.ListArray.from_arrays(at, take.column("v").flatten())], ["dim", "t", "bucket", "qids", "qs"])
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The queries in blocks, to be held against everything."""
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        n = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return cut(tuple(map(np.concatenate, zip(*held))), k)
+
         for batch in batches:
-            for dim, some_ in by_dim(batch):
-                for lo in range(0, some_.num_rows, QUERY_BATCH):
-                    part = some_.slice(lo, QUERY_BATCH)
-                    yield asking(part, dim, 0, np.zeros(part.num_rows, np.int64), np.arange(part.num_rows))
-
-    def found(queries_: DataFrame, everything: bool) -> DataFrame:
-        def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            lost: set[int] = set()
-
-            def flush() -> pa.RecordBatch:
-                q = np.repeat(np.array(list(held), dtype=np.int64), [len(x[0]) for x in held.values()])
-                out = pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([x[0] for x in held.values()])), pa.array(np.concatenate([x[1] for x in held.values()]))], ["query_id", "vec_id", "score"])
-                held.clear()
-                return out
-
-            for batch in batches:
-                for r in range(batch.num_rows):
-                    dim = batch.column("dim")[r].as_py()
-                    ids, qids = (np.asarray(batch.column(c)[r].values) for c in ("ids", "qids"))
-                    vs, qs = (np.asarray(batch.column(c)[r].values, dtype=np.float64).reshape(-1, dim) for c in ("vs", "qs"))
-                    single = len(np.unique(ids)) == len(ids)
-                    if batch.column("t")[r].as_py() == GAVE_UP:
-                        lost.update(qids.tolist())
-                        continue
-                    for q, x in zip(qids.tolist(), qs):
-                        d, i = np.sqrt(((vs - x) ** 2).sum(axis=1)), ids
-                        if not single:  # an identifier counts once, at its smallest distance
-                            order = np.lexsort((d, i))
-                            d, i = d[order], i[order]
-                            new = np.append(True, i[1:] != i[:-1])
-                            d, i = d[new], i[new]
-                        if len(d) > k + 1:
-                            near = d <= np.partition(d, k)[k]
-                            d, i = d[near], i[near]
-                        own = i != q
-                        d, i = d[own], i[own]
-                        if q in held:
-                            i, d = np.concatenate([held[q][0], i]), np.concatenate([held[q][1], d])
-                        order = np.lexsort((i, d))
-                        i, d = i[order], d[order]
-                        if len(i):
-                            _, first = np.unique(i, return_index=True)
-                            first = np.sort(first)[:k]
-                            held[q] = (i[first], d[first])
-                    if len(held) > HELD:
-                        yield flush()
-            if held:
-                yield flush()
-            if lost:
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(lost), pa.int64()), pa.nulls(len(lost), pa.int64()), pa.nulls(len(lost), pa.float64())], ["query_id", "vec_id", "score"])
-
-        schema = f"dim int, t int, bucket long, qids array<long>, qs {kind}"
-        if everything:
-            asked_ = queries_.mapInArrow(blocks, schema).drop("bucket").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-            rows = packed.filter("t = 0").withColumn("share", F.pmod(F.xxhash64("bucket", "chunk"), F.lit(shares)).cast("int")).select("dim", "share", "ids", "vs")
-            met = asked_.join(rows, ["dim", "share"])
-        else:
-            met = queries_.mapInArrow(probes, schema).join(packed.drop("chunk").unionByName(nowhere), ["dim", "t", "bucket"])
-        near = met.select("dim", "t", "ids", "vs", "qids", "qs").mapInArrow(rerank, "query_id long, vec_id long, score double")
-        return near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-
-    first = stash(found(asked, mass >= 1))
-    # a query without a row that was given up has k rows or is short of them
-    fine = first.groupBy(F.col("query_id").alias("id")).agg(F.count("vec_id").alias("c"), F.count(F.lit(1)).alias("n")).filter(f"c >= {k} and c = n")
-    short = stash(asked.join(fine, "id", "left_anti"))
-    first = first.filter("vec_id is not null")
-    if not short.isEmpty():
-        first = first.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(found(short, True))
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+            for r in range(batch.num_rows):
+                dim = batch.column("dim")[r].as_py()
+                ids, qids, sizes, bounds = (np.asarray(batch.column(c)[r].values) for c in ("ids", "qids", "sizes", "bounds"))
+                vs, qs = (np.asarray(batch.column(c)[r].values, dtype=np.float64).reshape(-1, dim) for c in ("vs", "qs"))
+                for lo in range(0, len(qids), 2 * QUERY_BATCH):
+                    q, x, bound = (a[lo : lo + 2 * QUERY_BATCH] for a in (qids, qs, bounds))
+                    may = within(vs, sizes, x, bound) if len(sizes) > 1 else np.ones((len(q), 1), bool)
+                    if may.mean() > 0.5:
+                        runs = [(slice(None), slice(None))]
+                    else:
+                        end = np.cumsum(sizes)
+                        runs = [(np.flatnonzero(may[:, b]), slice(end[b] - sizes[b], end[b])) for b in np.flatnonzero(may.any(axis=0))]
+                    for some_q, some_v in runs:
+                        held.append(closest(ids[some_v], vs[some_v], q[some_q], x[some_q], bound[some_q], k))
+                        n += len(held[-1][0])
+                    if n > SHRINK or len(held) > SHRINK // 16:
+                        held = [merged()]
+                        n = len(held[0][0])
+                    if n > HELD:
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, merged())], ["query_id", "vec_id", "score"])
+                        held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, merged())], ["query_id", "vec_id", "score"])
+
+    met = "query_id long, vec_id long, score double"
+    top = Window.partitionBy("query_id").orderBy("score", "vec_id")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        own = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        return own.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k)
+
+    # the likeliest buckets give each query a distance that its k-th neighbour is not beyond
+    visits = asked.mapInArrow(probes, f"dim int, t int, bucket long, qids array<long>, qs {kind}").join(packed, ["dim", "t", "bucket"])
+    free = F.array_repeat(F.lit(float("inf")), F.size("qids"))
+    first = visits.select("dim", "ids", "vs", F.array(F.size("ids")).alias("sizes"), "qids", "qs", free.alias("bounds")).mapInArrow(rerank, met)
+    bounds = ranked(first).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+    # and all buckets that may hold a nearer row are gone through
+    shares = max(n_parts(vectors), SALTS, math.ceil(total / SHARE_ROWS))
+    pack = F.pmod(F.xxhash64("bucket", "chunk"), F.ceil(F.lit(total) * F.col("dim") / CHUNK_VALUES))
+    packs = packed.filter("t = 0").groupBy("dim", pack.alias("pack")).agg(F.collect_list(F.struct("ids", "vs")).alias("runs"))
+    rows = packs.select("dim", F.pmod("pack", F.lit(shares)).cast("int").alias("share"), F.flatten("runs.ids").alias("ids"), F.flatten("runs.vs").alias("vs"), F.transform("runs.ids", F.size).alias("sizes"))
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.lit(max(1, asked.count())) * F.col("dim") / BLOCK_VALUES))
+    bounded = asked.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    blocks = bounded.groupBy("dim", block.alias("block")).agg(F.collect_list(F.struct("id", "v", "bound")).alias("q"))
+    everywhere = blocks.select("dim", F.col("q.id").alias("qids"), F.flatten("q.v").alias("qs"), F.col("q.bound").alias("bounds"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    pairs = everywhere.join(rows, ["dim", "share"]).select("dim", "ids", "vs", "sizes", "qids", "qs", "bounds")
+    out = stash(pairs.mapInArrow(rerank, met))
+    release(packed)
+    return ranked(out).select("query_id", "rank", "vec_id", "score")
