@@ -1,6 +1,7 @@
 """Exact results on vectors of many kinds, and what a query sends to other tasks."""
 
 import numpy as np
+import pytest
 
 from callgrid.llm import neighbours
 
@@ -12,3 +13,41 @@ def test_a_query_visits_a_bounded_number_of_buckets():
     for t in range(2):
         for some, more in zip(few.probes(x[:20], t, 0.72), all_.probes(x[:20], t, 0.72)):
             assert len(some) == 32 < len(more) and set(some.tolist()) < set(more.tolist())
+
+
+def truth(rows, asked, k=10):
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    out = []
+    for q, v in rows:
+        if q in asked:
+            d = np.sqrt(((x - np.array(v)) ** 2).sum(axis=1))
+            order = [j for j in np.lexsort((ids, d)) if ids[j] != q][:k]
+            out += [(q, r, int(ids[j]), d[j]) for r, j in enumerate(order, 1)]
+    return out
+
+
+def kinds():
+    rng = np.random.default_rng(5)
+    n = 3000
+    noise = rng.standard_normal((n, 24))
+    yield "scales", noise * rng.lognormal(0, 2, (n, 1))
+    yield "one far group", np.where(np.arange(n)[:, None] % 50 == 0, 40 + 0.01 * noise, noise)
+    yield "clusters of many widths", rng.standard_normal((30, 24))[rng.integers(30, size=n)] * 5 + noise * rng.lognormal(-3, 2, (n, 1))
+    yield "few values", rng.integers(0, 2, (n, 24)).astype(float) + (np.arange(n) % 7 == 0)[:, None]
+    yield "a line", np.outer(rng.standard_normal(n) ** 3, np.ones(24)) + 1e-3 * noise
+    yield "far from the origin", 1e6 + noise
+
+
+KINDS = list(kinds())
+
+
+@pytest.mark.parametrize("name,x", KINDS, ids=[name for name, _ in KINDS])
+def test_nearest_are_the_true_ones(spark, name, x):
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(table, table.filter("vec_id % 100 = 0")).orderBy("query_id", "rank").collect()
+    want = truth(rows, set(range(0, len(rows), 100)))
+    found = {(r["query_id"], r["vec_id"]) for r in got}
+    assert len(found & {(q, i) for q, _, i, _ in want}) / len(want) == 1
+    assert [tuple(r)[:3] for r in got] == [w[:3] for w in want]
+    assert np.allclose([r["score"] for r in got], [w[3] for w in want], rtol=1e-12, atol=0)
