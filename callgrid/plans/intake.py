@@ -232,7 +232,9 @@ _CASE = """concat('{"case_id":"', case when c_custkey % 13 = 1 then 'x-' else 'c
 @query("case_faults", "select case when k % 13 = 1 then 'x-' else 'case-' end || k case_id, case when k % 11 = 0 then 'fields' when k % 13 = 1 then 'identifier' when k % 17 = 2 then 'flags' when k % 19 = 3 then 'rules' when k % 23 = 4 then 'labels' when k % 29 = 5 then 'dimensions' when k % 31 = 6 then 'scores' end fault from (select c_custkey k from customer) c where fault is not null")
 def case_faults(spark, sf_dir):
     """Faults of evaluation cases, from their lines of JSON."""
-    lines = _table(spark, sf_dir, "customer").select(F.expr(_CASE).alias("raw"))
+    # keys are few bytes and their lines much work, so a small file is dealt to all cores first
+    keys = _table(spark, sf_dir, "customer").select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    lines = keys.select(F.expr(_CASE).alias("raw"))
     return files.case_faults(files.parsed_cases(lines))
 
 
