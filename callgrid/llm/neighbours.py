@@ -12,10 +12,11 @@ the k-th distance bounds its search.
 The estimates promise nothing on other rows, so an exact check follows: the buckets of the first table lie
 in packs, side by side, and the packs are dealt out in shares. Blocks of queries go to every share with
 their bounds, and a query is compared with the rows of each bucket whose centre and radius do not place it
-beyond the bound. The result is that of brute force on any rows. Where vectors have structure, most
-buckets are left out; of vectors without (64 independent components), the 10 nearest are hardly nearer
-than the rest, and all are compared. Work is then queries times rows, while a task holds one pack and one
-block at a time.
+beyond the bound. The result is that of brute force on any rows. Where squares would leave the range of
+doubles, powers of two are taken out first, so that components may have any finite size; distances beyond
+the largest double are infinite, and ties. Where vectors have structure, most buckets are left out; of
+vectors without (64 independent components), the 10 nearest are hardly nearer than the rest, and all are
+compared. Work is then queries times rows, while a task holds one pack and one block at a time.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an
 identifier. Vectors meet only vectors of their own length. Of equal vectors only the k + 1 smallest
@@ -41,6 +42,7 @@ from callgrid.llm.common import mix, n_parts, release, signed, stash
 
 CHUNK_VALUES, BLOCK_VALUES, VISIT_VALUES, QUERY_BATCH, SHARE_ROWS, SALTS, MOST_PROBES, PROBES = 1 << 18, 1 << 16, 1 << 21, 256, 200_000, 64, 1 << 17, 32
 HELD, SHRINK = 200_000, 1 << 19  # rows that a task holds before they are sent on, and before they are cut to k of a query
+LEAST, FARTHEST, CELLS = 1e-290, 1e100, 1 << 62  # squares below this have lost digits; hashing takes larger components and cells as these
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -51,6 +53,27 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.filter(F.col(id_col).isNotNull() & vec.isNotNull()).filter(fine).select(F.col(id_col).cast("long").alias("id"), own.alias("v"), F.size(vec).alias("dim"))
 
 
+def level(*arrays: np.ndarray) -> int:
+    """The power of two that brings the largest component to between 0.5 and 1."""
+    return int(np.frexp(max(np.abs(a).max(initial=0) for a in arrays))[1])
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows, also where the squares leave the range of doubles."""
+    with np.errstate(over="ignore", under="ignore"):
+        d2 = ((y - x) ** 2).sum(axis=1)
+        d = np.sqrt(d2)
+        odd = np.flatnonzero(~((d2 > LEAST) & (d2 < np.inf)))
+        if len(odd):
+            # a difference that overflows is taken of the halves
+            gap = y[odd] - x[odd]
+            wide = ~np.isfinite(gap).all(axis=1)
+            gap[wide] = y[odd[wide]] / 2 - x[odd[wide]] / 2
+            at = np.frexp(np.abs(gap).max(axis=1, initial=0))[1]
+            d[odd] = np.ldexp(np.sqrt((np.ldexp(gap, -at[:, None]) ** 2).sum(axis=1)), at + wide)
+    return d
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
 
@@ -64,6 +87,8 @@ class Geometry:
     def __init__(self, dim: int, sample: np.ndarray, near: int, tables: int, functions: int, width: float, seed: int, most_probes: int = MOST_PROBES):
         rng = np.random.default_rng([seed, dim])
         self.a = rng.standard_normal((tables, dim, functions))
+        self.level = level(sample)
+        sample = self.scaled(sample)
         self.mean = sample.mean(axis=0) if len(sample) else np.zeros(dim)
         self.sample, self.near, self.most_probes = sample, near, most_probes
         placed = (sample - self.mean) @ self.a
@@ -84,19 +109,23 @@ class Geometry:
         self.width = np.maximum(self.width, self.spread if len(sample) > 2 else 1e-12)
         self.shift = offset * self.width
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore", under="ignore"):
+            return np.clip(np.ldexp(x, -self.level), -FARTHEST, FARTHEST)
+
     def reach(self, x: np.ndarray) -> np.ndarray:
         """Each query's estimated distance of a k-th neighbour: that of its `near`-th sample vector."""
         if not len(self.sample):
             return np.ones(len(x))
         at = min(self.near, len(self.sample)) - 1
-        return np.sqrt(np.maximum(np.partition(squares(x, self.sample), at, axis=1)[:, at], 1e-12))
+        return np.sqrt(np.maximum(np.partition(squares(self.scaled(x), self.sample), at, axis=1)[:, at], 1e-12))
 
     def place(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) @ self.a  # tables, rows, functions
+        return (self.scaled(x) - self.mean) @ self.a  # tables, rows, functions
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """The bucket of every vector in every table."""
-        return named(np.floor((self.place(x) + self.shift[:, None]) / self.width[:, None]).astype(np.int64))
+        return named(np.clip(np.floor((self.place(x) + self.shift[:, None]) / self.width[:, None]), -CELLS, CELLS).astype(np.int64))
 
     def probes(self, x: np.ndarray, table: int, mass: float) -> Iterator[np.ndarray]:
         """For each query its buckets in order of estimated success, up to the mass or the likeliest most_probes."""
@@ -106,7 +135,9 @@ class Geometry:
             best, odds, cells = 0.0, [], []
             for j in range(at.shape[1]):
                 w, c, s = self.width[table, j], centre[q, j] + self.shift[table, j], spread[q, j]
-                cell = np.arange(math.floor((c - 4 * s) / w), math.floor((c + 4 * s) / w) + 1)
+                # of one function, the likeliest most_probes cells lie within so many of the centre's
+                home = max(-CELLS, min(CELLS, math.floor(c / w)))
+                cell = np.arange(max(home - self.most_probes, math.floor((c - 4 * s) / w)), min(home + self.most_probes, math.floor((c + 4 * s) / w)) + 1)
                 edge = 0.5 * (1 + _erf((np.append(cell, cell[-1] + 1) * w - c) / (s * math.sqrt(2))))
                 p = np.diff(edge)
                 order = np.argsort(-p, kind="stable")[: max(1, int((p > 1e-9).sum()))]
@@ -145,50 +176,63 @@ def named(cells: np.ndarray) -> np.ndarray:
     return signed(h)
 
 
+def tame(vs: np.ndarray, qs: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Rows, queries and bounds less a power of two, if squares of the largest could leave the range of
+    doubles; what is lost of the smallest lies far below LEAST. And the square beyond which distances may
+    be infinite as doubles."""
+    at = level(vs, qs)
+    if abs(at) < 300:
+        return vs, qs, bound, np.inf
+    return np.ldexp(vs, -at), np.ldexp(qs, -at), np.ldexp(bound, -at), np.ldexp(np.finfo(float).max, -at) ** 2 * (1 - 1e-9)
+
+
 def closest(ids: np.ndarray, vs: np.ndarray, qids: np.ndarray, qs: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, row and distance of pairs of different identifiers: for each query the k nearest identifiers
     with all ties, as far as they lie within its bound, and some more. A product of matrices finds the pairs,
     with an allowance for its rounding; their distance is taken from the vectors themselves."""
     eps = 4 * np.finfo(float).eps * (vs.shape[1] + 8)
-    with np.errstate(over="ignore", invalid="ignore"):
-        middle = vs.mean(axis=0)
-        v, x = vs - middle, qs - middle
+    with np.errstate(over="ignore", under="ignore"):
+        v, x, bound, far = tame(vs, qs, bound)
+        middle = v.mean(axis=0)
+        v, x = v - middle, x - middle
         size = (x**2).sum(axis=1)[:, None], (v**2).sum(axis=1)[None]
         low = x @ v.T
         low *= -2
         low += (1 - eps) * size[0]
         low += (1 - eps) * size[1]
-        most = bound**2 * (1 + eps)
+        most = bound**2 * (1 + eps) + LEAST
         fits = ~(low > most[:, None])
         many = np.flatnonzero(fits.sum(axis=1) > 4 * (k + 1))
         if len(many):  # the limit is that of the k-th identifier beside the query's own
-            high = low[many] + 2 * eps * (size[0][many] + size[1])
-            high[np.isnan(high)] = np.inf
+            high = low[many] + 2 * eps * (size[0][many] + size[1]) + LEAST
             order = np.argsort(ids, kind="stable")
             head = np.flatnonzero(np.append(True, ids[order][1:] != ids[order][:-1]))
             if len(head) < len(ids):
                 high = np.minimum.reduceat(high[:, order], head, axis=1)
             if high.shape[1] > k + 1:
                 limit = np.partition(high, k, axis=1)[:, k]
+                limit[limit > far] = np.inf
                 fits[many] &= ~(low[many] > limit[:, None])
         i, j = np.nonzero(fits)
         other = qids[i] != ids[j]
         i, j = i[other], j[other]
-        d = np.concatenate([np.sqrt(((vs[j[at : at + SHRINK]] - qs[i[at : at + SHRINK]]) ** 2).sum(axis=1)) for at in range(0, max(1, len(i)), SHRINK)])
+        step = max(1, VISIT_VALUES // vs.shape[1])
+        d = np.concatenate([apart(qs[i[at : at + step]], vs[j[at : at + step]]) for at in range(0, max(1, len(i)), step)])
     return qids[i], ids[j], d
 
 
 def within(vs: np.ndarray, sizes: np.ndarray, qs: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """Which runs of rows (buckets of these sizes, side by side) may hold a row within each query's bound."""
     head = np.append(0, np.cumsum(sizes)[:-1])
-    with np.errstate(over="ignore", invalid="ignore"):
-        middle = vs.mean(axis=0)
-        v, x = vs - middle, qs - middle
+    with np.errstate(over="ignore", under="ignore"):
+        v, x, bound, _ = tame(vs, qs, bound)
+        middle = v.mean(axis=0)
+        v, x = v - middle, x - middle
         centre = np.add.reduceat(v, head, axis=0) / sizes[:, None]
         radius = np.sqrt(np.maximum.reduceat(((v - np.repeat(centre, sizes, axis=0)) ** 2).sum(axis=1), head))
         size = (x**2).sum(axis=1)[:, None] + (centre**2).sum(axis=1)[None]
         low = np.sqrt(np.maximum(size * (1 - 1e-9) - 2 * x @ centre.T, 0))
-        return ~(low > (radius[None] + bound[:, None]) * (1 + 1e-9))
+        return ~(low > (radius[None] + bound[:, None]) * (1 + 1e-9) + math.sqrt(LEAST))
 
 
 def cut(found: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,8 +328,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                 dim = batch.column("dim")[r].as_py()
                 ids, qids, sizes, bounds = (np.asarray(batch.column(c)[r].values) for c in ("ids", "qids", "sizes", "bounds"))
                 vs, qs = (np.asarray(batch.column(c)[r].values, dtype=np.float64).reshape(-1, dim) for c in ("vs", "qs"))
-                for lo in range(0, len(qids), 2 * QUERY_BATCH):
-                    q, x, bound = (a[lo : lo + 2 * QUERY_BATCH] for a in (qids, qs, bounds))
+                step = max(1, min(2 * QUERY_BATCH, VISIT_VALUES // len(ids)))
+                for lo in range(0, len(qids), step):
+                    q, x, bound = (a[lo : lo + step] for a in (qids, qs, bounds))
                     may = within(vs, sizes, x, bound) if len(sizes) > 1 else np.ones((len(q), 1), bool)
                     if may.mean() > 0.5:
                         runs = [(slice(None), slice(None))]

@@ -1,5 +1,7 @@
 """Exact results on vectors of many kinds, and what a query sends to other tasks."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -51,3 +53,48 @@ def test_nearest_are_the_true_ones(spark, name, x):
     assert len(found & {(q, i) for q, _, i, _ in want}) / len(want) == 1
     assert [tuple(r)[:3] for r in got] == [w[:3] for w in want]
     assert np.allclose([r["score"] for r in got], [w[3] for w in want], rtol=1e-12, atol=0)
+
+
+def sizes():
+    rng = np.random.default_rng(6)
+    n = 1500
+    noise = rng.standard_normal((n, 8))
+    clusters = rng.standard_normal((20, 8))[rng.integers(20, size=n)] + 0.01 * noise
+    odd = np.arange(n)[:, None] % 2 == 1
+    yield "small", 1e-200 * noise
+    yield "small clusters", 1e-162 * clusters
+    yield "subnormal", 1e-310 * noise
+    yield "large", 1e200 * noise
+    yield "large clusters", 1e160 * clusters
+    yield "the largest", 1e307 * noise
+    yield "small beside usual", noise * np.where(odd, 1, 1e-170)
+    yield "large beside usual", noise * np.where(odd, 1, 1e170)
+    yield "all sizes", noise * 10 ** rng.uniform(-300, 300, (n, 1))
+    # of the largest components, differences and distances overflow: all are infinite, and ties
+    yield "beyond doubles", 1.7e308 * np.sign(rng.standard_normal((n, 14)))
+
+
+SIZES = list(sizes())
+
+
+@pytest.mark.parametrize("name,x", SIZES, ids=[name for name, _ in SIZES])
+def test_components_of_any_size(spark, name, x):
+    """Squares that overflow or vanish leave neither a query without result nor its neighbours out."""
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(table, table.filter("vec_id % 100 = 0")).orderBy("query_id", "rank").collect()
+    want = []
+    for q, v in rows[::100]:
+        own = sorted((math.dist(v, w), i) for i, w in rows if i != q)[:10]
+        want += [(q, r, i, d) for r, (d, i) in enumerate(own, 1)]
+    assert [tuple(r)[:3] for r in got] == [w[:3] for w in want]
+    assert np.allclose([r["score"] for r in got], [w[3] for w in want], rtol=1e-12, atol=0)
+
+
+def test_a_far_query_lists_few_cells():
+    """One whose k-th sample vector is 10 ** 12 times farther than usual has as many cells within its spread."""
+    x = np.random.default_rng(3).standard_normal((3000, 8))
+    geometry = neighbours.Geometry(8, x[:2048], 9, 2, 12, 2.0, 11, 32)
+    for t in range(2):
+        for visits in geometry.probes(np.array([x[0] * 1e12, x[0] * 1e300]), t, 0.72):
+            assert 1 <= len(visits) <= 32
