@@ -1,6 +1,10 @@
 """Exact results on vectors of many kinds, and what a query sends to other tasks."""
 
+import json
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -98,3 +102,31 @@ def test_a_far_query_lists_few_cells():
     for t in range(2):
         for visits in geometry.probes(np.array([x[0] * 1e12, x[0] * 1e300]), t, 0.72):
             assert 1 <= len(visits) <= 32
+
+
+SMALL_DRIVER = """
+import json, sys
+from pyspark.sql import SparkSession
+from callgrid.llm import neighbours
+
+conf = {"spark.driver.maxResultSize": "4m", "spark.sql.autoBroadcastJoinThreshold": sys.argv[2], "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"}
+spark = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
+neighbours.CHUNK_VALUES = 1 << 11
+table = spark.read.parquet(sys.argv[1])
+got = neighbours.nearest(table, table.filter("vec_id % 5 = 0")).orderBy("query_id", "rank").collect()
+print("GOT", json.dumps([tuple(r)[:3] for r in got]))
+"""
+
+
+@pytest.mark.parametrize("limit", ["10m", "500k"])
+def test_copies_of_queries_do_not_pass_through_the_driver(spark, tmp_path, limit):
+    """400 queries are sent to 64 buckets and to 63 shares, 13 MB each time; the driver takes 4 MB here. The file
+    is within the first limit of broadcasts, so that 64 copies of its queries seem to be, too. Within the second
+    are only the queries, so that copies for all shares seem to be."""
+    x = np.random.default_rng(8).standard_normal((2000, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/rows")
+    run = subprocess.run([sys.executable, "-c", SMALL_DRIVER, f"{tmp_path}/rows", limit], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
+    want = truth(rows, set(range(0, len(rows), 5)))
+    assert json.loads(run.stdout.rpartition("GOT")[2]) == [list(w[:3]) for w in want]
