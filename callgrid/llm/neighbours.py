@@ -362,18 +362,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     visits = asked.mapInArrow(probes, f"dim int, t int, bucket long, qids array<long>, qs {kind}").join(packed.hint("merge"), ["dim", "t", "bucket"])
     free = F.array_repeat(F.lit(float("inf")), F.size("qids"))
     first = visits.select("dim", "ids", "vs", F.array(F.size("ids")).alias("sizes"), "qids", "qs", free.alias("bounds")).mapInArrow(rerank, met)
-    bounds = ranked(first).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+    bounds = stash(ranked(first).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound")))
     # and all buckets that may hold a nearer row are gone through
     n_packs = F.ceil(F.lit(total) * F.col("dim") / CHUNK_VALUES)
-    shares = F.least(F.lit(max(n_parts(vectors), SALTS, math.ceil(total / SHARE_ROWS))), n_packs)
+    n_asked = max(1, asked.count())
+    # copies of queries are no more than rows, as long as a share holds few enough rows for a task
+    shares = F.least(F.lit(max(min(n_parts(vectors), total // n_asked), SALTS, math.ceil(total / SHARE_ROWS))), n_packs)
     pack = F.pmod(F.xxhash64("bucket", "chunk"), n_packs)
     packs = packed.filter("t = 0").groupBy("dim", pack.alias("pack")).agg(F.collect_list(F.struct("ids", "vs")).alias("runs"))
     rows = packs.select("dim", F.pmod("pack", shares).alias("share"), F.flatten("runs.ids").alias("ids"), F.flatten("runs.vs").alias("vs"), F.transform("runs.ids", F.size).alias("sizes"))
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.lit(max(1, asked.count())) * F.col("dim") / BLOCK_VALUES))
+    block = F.pmod(F.xxhash64("id"), F.ceil(F.lit(n_asked) * F.col("dim") / BLOCK_VALUES))
     bounded = asked.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     blocks = bounded.groupBy("dim", block.alias("block")).agg(F.collect_list(F.struct("id", "v", "bound")).alias("q"))
     everywhere = blocks.select("dim", F.col("q.id").alias("qids"), F.flatten("q.v").alias("qs"), F.col("q.bound").alias("bounds"), F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
     pairs = everywhere.join(rows.hint("merge"), ["dim", "share"]).select("dim", "ids", "vs", "sizes", "qids", "qs", "bounds")
     out = stash(pairs.mapInArrow(rerank, met))
-    release(packed)
+    release(packed, bounds)
     return ranked(out).select("query_id", "rank", "vec_id", "score")
